@@ -39,7 +39,7 @@ def clean_text(text: Column) -> Column:
 
 def tokens(text: Column, max_words: int = 1) -> Column:
     """Lower-case whitespace tokens; with ``max_words`` above 1 also the longer n-grams."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(text), r"\s+"), "")
     if max_words == 1:
         return words
     grams = words

@@ -18,6 +18,7 @@ from auctionlens.constants import BUCKET_DELETE_BELOW, BUCKET_GROW_ABOVE, BUCKET
 from auctionlens.functions.measures import (
     bernoulli_variance, negative_concentration, split_entropy, truncated,
 )
+from auctionlens.functions.predicates import with_keys
 
 HISTOGRAM_BINS = 30
 
@@ -44,7 +45,7 @@ def bucketize(df: DataFrame, features: Sequence[str], min_imps: float = BUCKET_M
     """
     n = len(features)
     state = (
-        df.dropna(subset=list(features))
+        with_keys(df, features)
         .groupBy(*features)
         .agg(*_sums())
         .withColumn("level", F.lit(None).cast("int"))
@@ -69,7 +70,11 @@ def bucketize(df: DataFrame, features: Sequence[str], min_imps: float = BUCKET_M
 
 
 def level_keys(buckets: DataFrame, features: Sequence[str], k: int) -> DataFrame:
-    """Distinct keys of one level, under names of their own."""
+    """Distinct keys of one level, under names of their own.
+
+    The marker is part of the distinct key, so the join shuffles the keys anew;
+    a hot key on the other side can then be split at run time.
+    """
     return (
         buckets.where(F.col("level") == k)
         .select(*[F.col(f).alias(f"bucket_{f}") for f in features[k:]], F.lit(True).alias("in_bucket"))
@@ -78,11 +83,10 @@ def level_keys(buckets: DataFrame, features: Sequence[str], k: int) -> DataFrame
 
 
 def _match(df: DataFrame, keys: DataFrame, features: Sequence[str], k: int, open_only: bool = False) -> DataFrame:
-    """Left join to the keys of level k; settled rows are kept out of it by a key of their own."""
+    """Left join to the keys of level k; with ``open_only`` settled rows match nothing."""
     on = [F.col(f) == F.col(f"bucket_{f}") for f in features[k:]]
     if open_only:
-        keys = keys.withColumn("bucket_level", F.lit(-1))
-        on.append(F.coalesce("level", F.lit(-1)) == F.col("bucket_level"))
+        on.append(F.col("level").isNull())
     joined = df.join(keys, on, "left")
     return joined.drop(*[c for c in keys.columns if c != "in_bucket"])
 
@@ -109,7 +113,7 @@ def _mask(features: Sequence[str]) -> list[Column]:
 
 def bucket_perf(df: DataFrame, buckets: DataFrame, features: Sequence[str]) -> DataFrame:
     """Other data measured on existing bucket keys; what no bucket holds is dropped."""
-    base = df.dropna(subset=list(features)).groupBy(*features).agg(*_sums())
+    base = with_keys(df, features).groupBy(*features).agg(*_sums())
     assigned = assign_levels(base, buckets, features).where("level IS NOT NULL")
     return (
         assigned.select("level", *_mask(features), "imps", "clicks").groupBy("level", *features).agg(*_sums())
@@ -119,7 +123,7 @@ def bucket_perf(df: DataFrame, buckets: DataFrame, features: Sequence[str]) -> D
 def bucket_perf_campaign(df: DataFrame, buckets: DataFrame, features: Sequence[str]) -> DataFrame:
     """``bucket_perf`` per campaign, with the remainder of each campaign as the last level."""
     keys = [*features, "campaign_id"]
-    base = df.dropna(subset=keys).groupBy(*keys).agg(*_sums())
+    base = with_keys(df, keys).groupBy(*keys).agg(*_sums())
     assigned = assign_levels(base, buckets, features).withColumn(
         "level", F.coalesce("level", F.lit(len(features)))
     )
@@ -142,7 +146,7 @@ def bucket_update(
     Grown groups leave the remainder; buckets that stay as they are need no row.
     """
     state = (
-        df.dropna(subset=list(features))
+        with_keys(df, features)
         .groupBy(*features)
         .agg(*_sums())
         .withColumn("level", F.lit(None).cast("int"))
@@ -216,7 +220,7 @@ def contingency(df: DataFrame, key: str, flag: Column, weight: str = "imps") ->
     """Weight per category with and without the flag."""
     w = F.col(weight)
     return (
-        df.dropna(subset=[key])
+        with_keys(df, [key])
         .groupBy(key)
         .agg(
             F.sum(F.when(flag, w).otherwise(0)).alias("weight_true"),
@@ -226,7 +230,7 @@ def contingency(df: DataFrame, key: str, flag: Column, weight: str = "imps") ->
 
 
 def _key_buckets(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=list(keys)).groupBy(*keys).agg(*_sums()).where("imps >= 1")
+    return with_keys(df, keys).groupBy(*keys).agg(*_sums()).where("imps >= 1")
 
 
 def key_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:

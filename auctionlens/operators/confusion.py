@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auctionlens.functions.predicates import with_keys
+
 CTR_NODE = ["campaign_group_id", "country_group_id", "tag_id", "creative_size_bucket_id"]
 CPA_NODE = [*CTR_NODE, "pixel_id"]
 
@@ -20,8 +22,9 @@ def _first_decision() -> Column:
     Hour digits and decision are packed into one number, so that the smallest
     one keeps the aggregation hash-based.
     """
-    digits = F.translate("ymdh", "- :", "").cast("bigint")
-    return (F.min(digits * 2 + F.col("is_passed")) % 2).alias("is_passed")
+    hour = F.col("ymdh")
+    digits = F.concat(hour.substr(1, 4), hour.substr(6, 2), hour.substr(9, 2), hour.substr(12, 2))
+    return (F.min(digits.cast("bigint") * 2 + F.col("is_passed")) % 2).alias("is_passed")
 
 
 def _in_test(value: str) -> Column:
@@ -42,7 +45,7 @@ def cpa_nodes(merged: DataFrame, goals: DataFrame) -> DataFrame:
     Nodes of a line item without a goal row are left out.
     """
     nodes = (
-        merged.dropna(subset=CPA_NODE)
+        with_keys(merged, CPA_NODE)
         .groupBy(*CPA_NODE)
         .agg(
             _first_decision(),
@@ -68,7 +71,7 @@ def cpa_nodes(merged: DataFrame, goals: DataFrame) -> DataFrame:
 def ctr_nodes(merged: DataFrame, goals: DataFrame) -> DataFrame:
     """As ``cpa_nodes`` for click-rate goals."""
     nodes = (
-        merged.dropna(subset=CTR_NODE)
+        with_keys(merged, CTR_NODE)
         .groupBy(*CTR_NODE)
         .agg(
             _first_decision(),

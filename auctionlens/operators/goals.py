@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auctionlens.constants import GOAL_IMP_TYPES
-from auctionlens.functions.predicates import in_size_bucket, size_area, size_bucket
+from auctionlens.functions.predicates import in_size_bucket, size_area, size_bucket, with_keys
 from auctionlens.functions.timeparts import truncate_to_hour
 from auctionlens.operators.lookups import with_country_group
 
@@ -155,9 +155,9 @@ def click_node_aggregates(
 ) -> DataFrame:
     """Node x hour metrics of the ctr or cpc line items."""
     items = goals_of(goals, goal_type)
+    rows = _to_nodes(ctr_node_rows(fact, items, start, end), country, upper=True)
     return (
-        _to_nodes(ctr_node_rows(fact, items, start, end), country, upper=True)
-        .dropna(subset=NODE)
+        with_keys(rows, NODE)
         .groupBy(*NODE)
         .agg(*[F.sum(c).alias(c) for c in ("booked_rev", "booked_rev_dol", "imps", "clicks")])
     )
@@ -180,9 +180,9 @@ def cpa_node_aggregates(fact: DataFrame, country: DataFrame, goals: DataFrame, s
     """
     items = goals_of(goals, "cpa")
     pixels = goal_pixels(goals)
+    rows = _to_nodes(cpa_node_rows(fact, items, start, end), country, upper=False)
     merged = (
-        _to_nodes(cpa_node_rows(fact, items, start, end), country, upper=False)
-        .dropna(subset=["pixel_id", *NODE])
+        with_keys(rows, ["pixel_id", *NODE])
         .groupBy("pixel_id", *NODE)
         .agg(*[F.sum(c).alias(c) for c in ("booked_rev", "booked_rev_dol", "post_view_convs", "post_click_convs")])
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auctionlens.constants import APP_SIZE_KEPT_MEMBER, EXCLUDED_MEMBERS
 from auctionlens.functions.predicates import (
-    bid_filter, categorised, not_excluded, resold, size_area, supply_class,
+    bid_filter, categorised, not_excluded, resold, size_area, supply_class, with_keys,
 )
 from auctionlens.operators.attribution import (
     attribute, attributed_responses, attributed_rows, count_bids, count_responses, in_hours,
@@ -165,25 +165,24 @@ def four_way_aggregate(
     """
     all_keys = sorted({k for t in FOUR_WAY for k in JOBS[t].keys})
     filters = {t: JOBS[t].imp_filter() for t in FOUR_WAY}
-    wanted = in_hours(imps, hours).where(reduce(lambda a, b: a | b, filters.values()))
-    types = dict(imps.dtypes)
-
-    def row_for(target: str) -> Column:
-        keys = [
-            (F.col(k) if k in JOBS[target].keys else F.lit(None).cast(types[k])).alias(k) for k in all_keys
-        ]
-        return F.when(filters[target], F.struct(F.lit(target).alias("target"), *keys))
-
-    rows = F.array_compact(F.array(*[row_for(t) for t in FOUR_WAY]))
-    slim = wanted.select("auction_id_64", "dh", rows.alias("rows"))
+    targets = F.array_compact(F.array(*[F.when(passes, F.lit(t)) for t, passes in filters.items()]))
+    wanted = (
+        in_hours(imps, hours)
+        .where(reduce(lambda a, b: a | b, filters.values()))
+        .select("auction_id_64", "dh", *all_keys, targets.alias("targets"))
+    )
     matched = attribute(
-        slim,
+        wanted,
         count_bids(in_hours(bids, hours).where(bid_filter(ALL_PAYMENTS)), once=True),
         count_responses(clicks, CLICK_WINDOW, hours),
-    )
+    ).withColumn("target", F.explode("targets"))
+
+    def own(key: str) -> Column:
+        users = [t for t in FOUR_WAY if key in JOBS[t].keys]
+        return F.when(F.col("target").isin(users), F.col(key)).alias(key)
+
     return (
-        matched.select("dh", "n_bids", "n_responses", F.explode("rows").alias("r"))
-        .select("dh", "n_bids", "n_responses", "r.*")
+        matched.select("target", "dh", "n_bids", "n_responses", *[own(k) for k in all_keys])
         .groupBy("target", "dh", *all_keys)
         .agg(attributed_rows(), attributed_responses("clicks"))
     )
@@ -260,7 +259,7 @@ def tree_campaign_imps(
 def day_rollup(hourly: DataFrame, keys: Sequence[str], measure: str = "clicks") -> DataFrame:
     """Hours folded into a day; groups without responses count 0, NULL keys are dropped."""
     return (
-        hourly.dropna(subset=list(keys))
+        with_keys(hourly, keys)
         .groupBy(F.col("dh").substr(1, 10).alias("dd"), *keys)
         .agg(F.sum("imps").alias("imps"), F.coalesce(F.sum(measure), F.lit(0)).alias(measure))
     )

@@ -8,6 +8,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auctionlens.functions.predicates import with_keys
+
 
 def _as_list(feature: str | Sequence[str]) -> list[str]:
     return [feature] if isinstance(feature, str) else list(feature)
@@ -15,7 +17,7 @@ def _as_list(feature: str | Sequence[str]) -> list[str]:
 
 def gini(df: DataFrame, feature: str) -> DataFrame:
     """One row: 1 - sum of squared impression shares of the feature's values."""
-    per_value = df.dropna(subset=[feature]).groupBy(feature).agg(F.sum("imps").cast("double").alias("x"))
+    per_value = with_keys(df, [feature]).groupBy(feature).agg(F.sum("imps").cast("double").alias("x"))
     total = F.sum("x")
     return per_value.agg((1 - F.try_divide(F.sum(F.col("x") * F.col("x")), total * total)).alias("gini"))
 
@@ -24,7 +26,7 @@ def gini_weighted(df: DataFrame, given: str | Sequence[str], feature: str | Sequ
     """One row: impurity of ``feature`` inside each value of ``given``, weighted by impressions."""
     given, feature = _as_list(given), _as_list(feature)
     cells = (
-        df.dropna(subset=[*given, *feature])
+        with_keys(df, [*given, *feature])
         .groupBy(*given, *feature)
         .agg(F.sum("imps").cast("double").alias("x"))
     )

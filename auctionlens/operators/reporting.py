@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auctionlens.constants import SITE_MIN_PERF_IMPS, UNREPORTED_IMP_TYPES
 from auctionlens.functions.measures import per_mille, ratio
-from auctionlens.functions.predicates import in_countries, learning, performance, sized
+from auctionlens.functions.predicates import in_countries, learning, performance, sized, with_keys
 from auctionlens.functions.timeparts import looking_back, time_grain
 
 PSEUDO_NODE = (
@@ -87,7 +87,7 @@ def perf_ratios(perf: DataFrame, keys: Sequence[str]) -> DataFrame:
         "total_imps", "total_revenue", "learn_imps", "learn_rev", "perf_revenue", "perf_imps",
         "perf_managed_revenue", "perf_managed_imps", "perf_xnet_revenue", "perf_xnet_imps",
     ]
-    sums = perf.dropna(subset=list(keys)).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in summed])
+    sums = with_keys(perf, keys).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in summed])
     c = F.col
     flat_imps = c("total_imps") - c("perf_imps")
     flat_revenue = c("total_revenue") - c("perf_revenue")

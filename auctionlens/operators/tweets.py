@@ -54,21 +54,14 @@ def tweet_sentiment(tweets: DataFrame, lexicon: DataFrame, max_words: int = 1) -
 
 
 def term_sentiment(tweets: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Mean score of the tweets a term outside the lexicon occurs in, each tweet counted once.
-
-    Score and unknown terms of a tweet come out of the same grouping, so the
-    terms are not joined back to their tweets.
-    """
-    unknown = F.when(F.col("score").isNull(), F.col("term"))
-    per_tweet = (
-        _scored_terms(tweets, lexicon, ["tweet_id"], 1)
-        .groupBy("tweet_id")
-        .agg(_score(), F.collect_set(unknown).alias("terms"))
-    )
+    """Mean score of the tweets a term outside the lexicon occurs in, each tweet counted once."""
+    terms = tweets.select("tweet_id", F.array_distinct(tokens(F.col("text"))).alias("terms"))
     return (
-        per_tweet.select("sentiment", F.explode("terms").alias("term"))
+        terms.join(tweet_sentiment(tweets, lexicon), "tweet_id")
+        .select("sentiment", F.explode("terms").alias("term"))
         .groupBy("term")
         .agg(F.sum("sentiment").alias("total"), F.count(F.lit(1)).alias("tweets"))
+        .join(lexicon.select("term"), "term", "left_anti")
         .select("term", F.try_divide(F.col("total").cast("double"), F.col("tweets").cast("double")).alias("sentiment"))
     )
 

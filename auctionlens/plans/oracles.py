@@ -433,9 +433,9 @@ _CHECKED = f"imp_type IN (5, 7, 11) AND ymdh >= '{q.START}' AND ymdh <= '{q.END}
 _sql("node_metrics", "perf_fact country", f"""
 SELECT ymdh, {_VOLUMES}, {_BOOKED}
 FROM perf_fact
-WHERE {_CHECKED} AND campaign_group_id = 4 AND tag_id = 3 AND pixel_id IN (0, 104)
+WHERE {_CHECKED} AND campaign_group_id = 8 AND tag_id = 2 AND pixel_id IN (0, 108)
   AND width * height > 74000 AND width * height <= 90000
-  AND geo_country IN (SELECT code FROM country WHERE country_group_id = 2)
+  AND geo_country IN (SELECT code FROM country WHERE country_group_id = 1)
 GROUP BY ymdh""")
 
 

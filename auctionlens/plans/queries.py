@@ -289,7 +289,7 @@ def _(t):
 
 @_query("node_metrics")
 def _(t):
-    return goals.node_metrics(t["perf_fact"], t["country"], 4, 2, 3, 2, START, END, 104)
+    return goals.node_metrics(t["perf_fact"], t["country"], 8, 1, 2, 2, START, END, 108)
 
 
 @_query("ctr_node_rows")

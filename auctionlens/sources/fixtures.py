@@ -178,13 +178,13 @@ SELECT CAST(o_custkey % 40 AS INT) AS campaign_group_id, CAST(o_orderkey % 5 AS
 FROM orders""",
     "nodes": """
 SELECT campaign_group_id, CAST(site_id % 5 AS INT) AS country_group_id, tag_id,
-  CASE WHEN width * height > 90000 THEN 3 WHEN width * height > 74000 THEN 2 WHEN width * height = 7128 THEN 4
-    WHEN width * height = 33782 THEN 5 WHEN width * height = 7200 THEN 6 ELSE 1 END AS creative_size_bucket_id,
+  CASE WHEN area > 90000 THEN 3 WHEN area > 74000 THEN 2 WHEN area = 7128 THEN 4 WHEN area = 33782 THEN 5
+    WHEN area = 7200 THEN 6 ELSE 1 END AS creative_size_bucket_id,
   100 + campaign_group_id AS pixel_id, ymdh,
   '1996-01-01 00' AS qt_start_time_adjusted, '1998-12-31 23' AS qt_finish_time,
   (campaign_group_id + tag_id) % 2 AS is_passed, imps, clicks, post_click_convs, post_view_convs,
   booked_revenue_adv_curr AS booked_rev
-FROM perf_fact""",
+FROM (SELECT *, width * height AS area FROM perf_fact) f""",
     "tweets": """
 SELECT doc_id AS tweet_id, text, lang, source AS screen_name,
   CASE doc_id % 5 WHEN 0 THEN 'WA' WHEN 1 THEN 'CA' WHEN 2 THEN 'NY' WHEN 3 THEN 'TX' ELSE NULL END AS state
