@@ -37,14 +37,17 @@ def clean_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(spaced, r"^\s+|\s+$", ""), r"\s+", " ")
 
 
+def _phrases(words: Column, n: int) -> Column:
+    """All runs of ``n`` neighbouring words."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
+    return F.coalesce(
+        F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")), F.array().cast("array<string>")
+    )
+
+
 def tokens(text: Column, max_words: int = 1) -> Column:
-    """Lower-case whitespace tokens; with ``max_words`` above 1 also the longer n-grams."""
+    """Lower-case whitespace tokens; with ``max_words`` above 1 also the longer phrases."""
     words = F.array_remove(F.split(F.lower(text), r"\s+"), "")
     if max_words == 1:
         return words
-    grams = words
-    for n in range(2, max_words + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
-        longer = F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        grams = F.concat(grams, F.coalesce(longer, F.array().cast("array<string>")))
-    return grams
+    return F.concat(words, *[_phrases(words, n) for n in range(2, max_words + 1)])

@@ -266,7 +266,9 @@ def key_report_histogram(df: DataFrame, keys: Sequence[str], bins: int = HISTOGR
         F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
     )
-    position = F.floor((F.col("x") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))).cast("int")
+    # Rounded, so that a point on a bin edge falls on the same side everywhere.
+    offset = (F.col("x") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))
+    position = F.floor(F.round(offset, 6)).cast("int")
     # ``ends`` has two rows, one per metric.
     counted = (
         points.join(F.broadcast(ends), "metric")

@@ -639,9 +639,9 @@ ends AS (
     CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi
   FROM points GROUP BY metric),
 counted AS (
-  SELECT p.metric, least(CAST(floor((x - lo) * 30 / (hi - lo)) AS INT), 29) AS bin, count(*) AS k
+  SELECT p.metric, least(CAST(floor(round((x - lo) * 30 / (hi - lo), 6)) AS INT), 29) AS bin, count(*) AS k
   FROM points p JOIN ends e ON e.metric = p.metric
-  GROUP BY p.metric, least(CAST(floor((x - lo) * 30 / (hi - lo)) AS INT), 29))
+  GROUP BY p.metric, least(CAST(floor(round((x - lo) * 30 / (hi - lo), 6)) AS INT), 29))
 SELECT e.metric, CAST(g.bin AS INT) AS bin, round(lo + (hi - lo) / 30 * g.bin, 6) AS bin_start,
   round(coalesce(c.k, 0) * 100.0 / e.n, 6) AS percent
 FROM ends e CROSS JOIN (SELECT unnest(range(30)) AS bin) g
