@@ -236,24 +236,37 @@ def tree_campaign_imps(
     campaigns: DataFrame,
     end_hour: str,
     hours: Sequence[str] | None = None,
+    counted: bool = False,
 ) -> DataFrame:
     """Every impression bought by the campaigns, with the pixels fired up to ``end_hour``.
 
-    All columns of ``imps`` are kept; the output is one row per impression, bid
-    and pixel, as those rows are the result.
+    All columns of ``imps`` are kept. Repeated bids and pixels of an auction are
+    joined as one counted row; with ``counted`` the result stays that way, with
+    the number of equal rows in ``copies``, otherwise they are written out last.
     """
     chosen = campaigns.select("campaign_id")
-    bought = in_hours(bids, hours).select(
-        "auction_id_64", "dh", "campaign_id", *[c for c in ("targeted_segments",) if c in bids.columns]
-    ).join(chosen, "campaign_id", "left_semi")
+    bid_columns = ["campaign_id", *[c for c in ("targeted_segments",) if c in bids.columns]]
+    bought = (
+        in_hours(bids, hours)
+        .join(chosen, "campaign_id", "left_semi")
+        .groupBy("auction_id_64", "dh", *bid_columns)
+        .agg(F.count(F.lit(1)).alias("n_bids"))
+    )
     fired = (
         pixels.where(F.col("dh") <= end_hour)
         .join(chosen, "campaign_id", "left_semi")
-        .select("auction_id_64", "pixel_id", F.col("dh").alias("pixel_dh"))
+        .groupBy("auction_id_64", "pixel_id", F.col("dh").alias("pixel_dh"))
+        .agg(F.count(F.lit(1)).alias("n_fires"))
     )
     wide = in_hours(imps, hours).join(bought, ["auction_id_64", "dh"], "inner")
     in_time = (wide["auction_id_64"] == fired["auction_id_64"]) & (fired["pixel_dh"] >= wide["dh"])
-    return wide.join(fired, in_time, "left").drop(fired["auction_id_64"], fired["pixel_dh"])
+    copies = F.col("n_bids") * F.coalesce("n_fires", F.lit(1))
+    matched = wide.join(fired, in_time, "left").select(
+        *[wide[c] for c in imps.columns], *bid_columns, "pixel_id", copies.alias("copies")
+    )
+    if counted:
+        return matched
+    return matched.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
 
 
 def day_rollup(hourly: DataFrame, keys: Sequence[str], measure: str = "clicks") -> DataFrame:

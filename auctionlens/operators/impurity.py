@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import permutations
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,30 +42,38 @@ def _weighted() -> Column:
 def impurity_matrix(df: DataFrame, features: Sequence[str], digits: int = 3) -> DataFrame:
     """Impurity of every feature given every other, plus its own (``given`` = '').
 
-    The data is reduced to the distinct feature combinations first; only those
-    are spread over the pairs, and every pair is then one group of one
-    aggregation. The diagonal is 0.
+    The data is reduced to the distinct feature combinations first. These are
+    spread over the unordered pairs and the single features, which is one group
+    of one aggregation each; only the resulting cells are read in both
+    directions. The diagonal is 0.
     """
     base = df.groupBy(*features).agg(F.sum("imps").cast("double").alias("x"))
 
-    def entry(given: str, feature: str) -> Column:
+    def value(feature: str) -> Column:
+        return F.col(feature).cast("string") if feature else F.lit("")
+
+    def entry(first: str, second: str) -> Column:
         return F.struct(
-            F.lit(given).alias("given"),
-            F.lit(feature).alias("feature"),
-            (F.col(given).cast("string") if given else F.lit("")).alias("g"),
-            F.col(feature).cast("string").alias("v"),
+            F.lit(first).alias("f1"), F.lit(second).alias("f2"), value(first).alias("v1"), value(second).alias("v2")
         )
 
-    pairs = [entry(a, b) for a, b in permutations(features, 2)] + [entry("", f) for f in features]
+    pairs = [entry(a, b) for a, b in combinations(features, 2)] + [entry("", f) for f in features]
     cells = (
         base.select("x", F.explode(F.array(*pairs)).alias("p"))
         .select("x", "p.*")
-        .where("g IS NOT NULL AND v IS NOT NULL")
-        .groupBy("given", "feature", "g", "v")
+        .where("v1 IS NOT NULL AND v2 IS NOT NULL")
+        .groupBy("f1", "f2", "v1", "v2")
         .agg(F.sum("x").alias("x"))
     )
-    inside = cells.groupBy("given", "feature", "g").agg(
-        F.sum("x").alias("t"), F.sum(F.col("x") * F.col("x")).alias("ss")
+
+    def reading(given: str, feature: str, at: str) -> Column:
+        return F.struct(F.col(given).alias("given"), F.col(feature).alias("feature"), F.col(at).alias("g"))
+
+    both = F.array(reading("f1", "f2", "v1"), F.when(F.col("f1") != "", reading("f2", "f1", "v2")))
+    inside = (
+        cells.select("x", F.explode(F.array_compact(both)).alias("r"))
+        .groupBy("r.given", "r.feature", "r.g")
+        .agg(F.sum("x").alias("t"), F.sum(F.col("x") * F.col("x")).alias("ss"))
     )
     measured = inside.groupBy("given", "feature").agg(F.round(_weighted(), digits).alias("impurity"))
     diagonal = df.sparkSession.createDataFrame([(f, f, 0.0) for f in features], measured.schema)
