@@ -100,8 +100,9 @@ def trigger_of(value_type: Column) -> Column:
 
 
 def matches_any(text: Column, keywords: Sequence[str]) -> Column:
-    """Case-blind containment of any keyword; no keyword means no match."""
+    """Case-blind containment of any keyword; blank keywords do not count, none at all match nothing."""
     hit = F.lit(False)
     for word in keywords:
-        hit = hit | F.lower(text).contains(word.strip().lower())
+        if word.strip():
+            hit = hit | F.lower(text).contains(word.strip().lower())
     return hit

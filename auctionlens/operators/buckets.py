@@ -172,6 +172,21 @@ def bucket_update(
     return state.where("action IS NOT NULL").select("level", *features, "imps", "clicks", "action")
 
 
+def bucket_variance(buckets: DataFrame) -> DataFrame:
+    """One row: both variance measures over rows that are one bucket each."""
+    imps, clicks = F.col("imps"), F.col("clicks")
+    return buckets.agg(
+        F.sum(bernoulli_variance(clicks, imps)).alias("variance"),
+        F.sum(negative_concentration(clicks, imps)).alias("variance_2"),
+    )
+
+
+def bucket_entropy(buckets: DataFrame) -> DataFrame:
+    """One row: entropy over rows that are one bucket each, also truncated."""
+    entropy = F.sum(split_entropy(F.col("imps"), F.col("clicks")))
+    return buckets.agg(entropy.alias("entropy"), truncated(entropy).alias("entropy_int"))
+
+
 def level_scores(buckets: DataFrame) -> DataFrame:
     """Entropy, concentration, size and volume of each level."""
     imps, clicks = F.col("imps"), F.col("clicks")

@@ -589,6 +589,15 @@ _GAIN = f"round(1 - CAST(total_entropy AS DOUBLE) / nullif({_ent('imps', 'clicks
 _sql("campaign_gain", "perf_fact", f"""
 {_applied('1 = 1')}, {_scores('per_campaign')}
 SELECT round(total_var, 6) AS total_var, total_entropy AS conditional_entropy, {_GAIN} FROM total""")
+_sql("bucket_variance", "perf_fact", f"""
+{_BUILT}
+SELECT round(sum(CAST(clicks AS DOUBLE) * (1 - CAST(clicks AS DOUBLE) / imps)), 6) AS variance,
+  round(-sum(CAST(clicks AS DOUBLE) * clicks / imps), 6) AS variance_2
+FROM bbuckets""")
+_sql("bucket_entropy", "perf_fact", f"""
+{_BUILT}
+SELECT round(sum({_ent('imps', 'clicks')}), 6) AS entropy, CAST(trunc(sum({_ent('imps', 'clicks')})) AS BIGINT) AS entropy_int
+FROM bbuckets""")
 _sql("level_scores", "perf_fact", f"""
 {_BUILT}, {_scores('bbuckets')}
 SELECT level, round(entropy, 6) AS entropy, round(variance, 6) AS variance, buckets, imps, clicks FROM scores""")

@@ -375,6 +375,17 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+@_query("bucket_variance")
+def _(t):
+    built = buckets.bucketize(t["perf_fact"], FEATURES, MIN_IMPS)
+    return _rounded(buckets.bucket_variance(built), "variance", "variance_2")
+
+
+@_query("bucket_entropy")
+def _(t):
+    return _rounded(buckets.bucket_entropy(buckets.bucketize(t["perf_fact"], FEATURES, MIN_IMPS)), "entropy")
+
+
 @_query("level_scores")
 def _(t):
     scores = buckets.level_scores(buckets.bucketize(t["perf_fact"], FEATURES, MIN_IMPS))

@@ -22,6 +22,12 @@ def read_hourly(
     return table if hours is None else table.where(F.col("dh").isin(list(hours)))
 
 
+def partition_hours(spark: SparkSession, table: str) -> DataFrame:
+    """Hours of a partitioned catalog table, from its partition names only."""
+    names = spark.sql(f"SHOW PARTITIONS {table}")
+    return names.select(F.right("partition", F.lit(13)).alias("dh")).distinct()
+
+
 def read_snapshot(
     spark: SparkSession,
     url: str,
