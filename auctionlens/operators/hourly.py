@@ -175,7 +175,7 @@ def four_way_aggregate(
         wanted,
         count_bids(in_hours(bids, hours).where(bid_filter(ALL_PAYMENTS)), once=True),
         count_responses(clicks, CLICK_WINDOW, hours),
-    ).withColumn("target", F.explode("targets"))
+    ).withColumn("target", F.explode_outer("targets"))
 
     def own(key: str) -> Column:
         users = [t for t in FOUR_WAY if key in JOBS[t].keys]

@@ -123,7 +123,7 @@ def page_anchor_counts(features: DataFrame) -> DataFrame:
     texts = F.concat(F.array("title"), "ref_titles")
     words = F.flatten(F.transform(texts, lambda t: F.split(F.lower(t), " ")))
     return (
-        features.select("domain", F.explode(words).alias("term"))
+        features.select("domain", F.explode_outer(words).alias("term"))
         .where("term <> ''")
         .groupBy("domain", "term")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -53,12 +53,24 @@ def tweet_sentiment(tweets: DataFrame, lexicon: DataFrame, max_words: int = 1) -
     return _scored_terms(tweets, lexicon, ["tweet_id"], max_words).groupBy("tweet_id").agg(_score())
 
 
+def _each(terms: Column) -> Column:
+    """Explode for use with a NOT NULL filter behind it.
+
+    An inner explode would make the optimizer test the array for emptiness
+    first, and so tokenise every text twice.
+    """
+    return F.explode_outer(terms).alias("term")
+
+
 def term_sentiment(tweets: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Mean score of the tweets a term outside the lexicon occurs in, each tweet counted once."""
     terms = tweets.select("tweet_id", F.array_distinct(tokens(F.col("text"))).alias("terms"))
+    # Both sides grow with the tweets, and the terms should stay spread out.
+    scores = tweet_sentiment(tweets, lexicon).hint("merge")
     return (
-        terms.join(tweet_sentiment(tweets, lexicon), "tweet_id")
-        .select("sentiment", F.explode("terms").alias("term"))
+        terms.join(scores, "tweet_id")
+        .select("sentiment", _each(F.col("terms")))
+        .where("term IS NOT NULL")
         .groupBy("term")
         .agg(F.sum("sentiment").alias("total"), F.count(F.lit(1)).alias("tweets"))
         .join(lexicon.select("term"), "term", "left_anti")
@@ -68,9 +80,8 @@ def term_sentiment(tweets: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def term_frequency(tweets: DataFrame) -> DataFrame:
     """Occurrences of each term over the occurrences of all terms."""
-    counts = tweets.select(F.explode(tokens(F.col("text"))).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    terms = tweets.select(_each(tokens(F.col("text")))).where("term IS NOT NULL")
+    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").cast("double").alias("total")).scalar()
     return counts.select("term", (F.col("n").cast("double") / total).alias("frequency"))
 
