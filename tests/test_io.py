@@ -139,6 +139,7 @@ def test_shared_folder_must_be_named_on_a_cluster(spark):
 
         class sparkContext:
             master = "yarn"
+            getCheckpointDir = staticmethod(lambda: None)
 
     with pytest.raises(ValueError):
         shared_folder(Cluster)
