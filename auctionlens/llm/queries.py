@@ -1,0 +1,33 @@
+"""The registered queries of the corpus operators, and their SQL where it can express them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import corpus_pipeline
+from pyspark.sql import DataFrame, SparkSession
+
+from auctionlens.llm import mixing, neardup, packing, pii, rules
+from auctionlens.llm.common import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def on(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
+    """The operator on a whole table."""
+    return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
+
+
+def llm_queries() -> dict[str, Query]:
+    return {
+        "op2_best_fit_packing": on("documents", packing.pack_documents),
+        "op5_poisson_mixing": on("documents", mixing.query),
+        "op6_pii_surrogates": on("documents", pii.query),
+        "op8_quality_rules": on("documents", rules.query),
+        "op9_minhash_odd_sketch": on("documents", neardup.near_duplicates),
+        "pipeline": corpus_pipeline.run,
+    }
+
+
+def llm_oracles() -> dict[str, str]:
+    return {"op5_poisson_mixing": mixing.SQL, "op8_quality_rules": rules.SQL}
