@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from auctionlens.plans.oracles import all_oracles
+from auctionlens.plans.queries import all_queries
 
 ROOT = os.environ.get("TESTDATA_DIR", "/root/testdata")
 TABLES = (
@@ -36,16 +38,16 @@ def canonical(records):
     return sorted(records, key=lambda t: [(x is not None, str(type(x)), x) for x in t])
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_matches_sql(spark, databases, name):
     size = "sf0.01" if name in LARGER else "sf0.001"
-    df = driver.queries()[name](spark, f"{ROOT}/{size}")
+    df = all_queries()[name](spark, f"{ROOT}/{size}")
     columns = sorted(df.columns)
     got = canonical(tuple(r[c] for c in columns) for r in df.collect())
     if name in NO_SQL:
         assert got
         return
-    want = databases[size].sql(driver.oracle_sql()[name])
+    want = databases[size].sql(all_oracles()[name])
     types = dict(zip(want.columns, map(str, want.types)))
     assert sorted(want.columns) == columns
     assert {c: SQL_TYPES[t] for c, t in df.dtypes} == types
@@ -55,7 +57,7 @@ def test_query_matches_sql(spark, databases, name):
 
 
 def test_all_queries_have_sql_or_a_reason():
-    assert set(driver.queries()) == set(driver.oracle_sql()) | NO_SQL
+    assert set(all_queries()) == set(all_oracles()) | NO_SQL
 
 
 def test_entry(spark):
