@@ -28,12 +28,14 @@ WORDS, PERCENT = 5, 75
 #: A pair at 75 % shares none of the bands with a probability of (1 - 0.75 ** 4) ** 32 = 5e-6.
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 1024
+#: Bits of the parity bitmap of the full set, which bounds the symmetric difference from below.
+PARITY_BITS = 2048
 #: A pair goes to the full sets unless its estimate is this far below the threshold: about 5 standard errors.
 MARGIN = 0.20
 #: Classes of a bucket that meet in one task at most: twice as many.
 BLOCK = 512
 
-SIGNATURE = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>"
+SIGNATURE = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>, parity array<bigint>"
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -71,33 +73,39 @@ def min_hashes(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
     """The parity bitmap of (function, minimum) as 64-bit words."""
     place = mix((np.arange(len(samples), dtype=np.uint64) << np.uint64(32)) | samples) % np.uint64(SKETCH_BITS)
-    parity = np.bincount(place.astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1
+    return parity_bits(place, SKETCH_BITS)
+
+
+def parity_bits(place: np.ndarray, bits: int) -> np.ndarray:
+    parity = np.bincount(place.astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(parity).view(np.int64)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, size and digest of the shingle set, band keys, odd sketch; bands are null for an empty set."""
+    """doc_id, size and digest of the shingle set, band keys, odd sketches of samples and set; null for an empty set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = multipliers(BANDS * ROWS, 41), multipliers(BANDS * ROWS, 42)
         weights, salt = multipliers(ROWS, 43), multipliers(BANDS, 44)
         for batch in batches:
-            size, digest, bands, sketch = [], [], [], []
+            size, digest, bands, sketch, parity = [], [], [], [], []
             for s in shingle_sets(batch.column(1)):
                 size.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 if not len(s):
-                    bands.append(None)
-                    sketch.append(None)
+                    for column in (bands, sketch, parity):
+                        column.append(None)
                     continue
                 samples = min_hashes(s, a, b)
                 key = mix((samples.reshape(BANDS, ROWS) * weights).sum(axis=1, dtype=np.uint64) + salt)
                 bands.append(key.view(np.int64))
                 sketch.append(odd_sketch(samples))
+                parity.append(parity_bits(s % np.uint64(PARITY_BITS), PARITY_BITS))
             longs = pa.list_(pa.int64())
             columns = [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()),
-                       pa.array(bands, longs), pa.array(sketch, longs)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
+                       pa.array(bands, longs), pa.array(sketch, longs), pa.array(parity, longs)]
+            names = ["doc_id", "n_shingles", "digest", "bands", "sketch", "parity"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select("doc_id", "text").mapInArrow(rows, SIGNATURE)
 
@@ -120,11 +128,16 @@ def estimate(a: str, b: str):
     return F.lit(1.0) + F.lit(SKETCH_BITS / (4.0 * samples)) * F.log(1 - 2 * odd / F.lit(float(SKETCH_BITS)))
 
 
-def leader_pairs(reps: DataFrame) -> DataFrame:
-    """(a, b): each class with the leader, of all its buckets, that its sketch is nearest to."""
-    buckets = reps.select("rep", F.explode("bands").alias("band"))
+def shared_buckets(reps: DataFrame) -> DataFrame:
+    """(band, place, rep, a, n) of the buckets with several classes; ``a`` is the bucket's leader, ``n`` its size."""
+    buckets = reps.select("rep", F.posexplode("bands").alias("place", "band"))
     leaders = buckets.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = buckets.join(leaders, "band").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
+    return written(buckets.join(leaders, "band"), "buckets")
+
+
+def leader_pairs(buckets: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): each class with the leader, of all its buckets, that its sketch is nearest to."""
+    pairs = buckets.where("rep > a").select("a", F.col("rep").alias("b")).distinct()
     sketch = reps.select("rep", "sketch")
     scored = (
         pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
@@ -133,58 +146,71 @@ def leader_pairs(reps: DataFrame) -> DataFrame:
     return scored.groupBy("b").agg(F.max_by("a", F.struct("similar", -F.col("a"))).alias("a")).select("a", "b")
 
 
-def block_pairs(reps: DataFrame, component: DataFrame) -> DataFrame:
-    """(a, b): classes of one bucket in different components whose sketches are near; found in bounded blocks."""
-    joined = reps.join(component, "rep", "left").select(
-        "rep", "sketch", F.coalesce("component", "rep").alias("component"), F.explode("bands").alias("band")
+def block_pairs(buckets: DataFrame, reps: DataFrame, component: DataFrame) -> DataFrame:
+    """(a, b): classes of one bucket in different components whose sketches are near; found in bounded blocks.
+
+    A pair that shares several buckets is returned by the first of them alone.
+    """
+    slim = buckets.join(component, "rep", "left").select(
+        "band", "place", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
-    slim = joined.select("band", "rep", "component")
     # Buckets of several components; those of one are settled.
-    open_ = slim.groupBy("band").agg(
-        F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
-    ).where("low < high").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = joined.join(open_, "band").select("band", "rep", "component", "sketch", "blocks", own.alias("own"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = F.struct("rep", "component", "sketch", "own")
+    open_ = slim.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = open_.where("low < high").select("band")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = written(
+        slim.join(open_, "band").select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own")),
+        "open",
+    )
+    met = placed.join(reps.select("rep", "size", "sketch", "parity", "bands"), "rep").withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    )
+    member = F.struct("rep", "component", "own", "size", "sketch", "parity", "bands")
     groups = met.groupBy(
-        "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+        "band", "place", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
     ).agg(F.collect_list(member).alias("members"))
     # The estimate is at least the cut up to this many odd bits.
     cut = PERCENT / 100 - MARGIN
     most = SKETCH_BITS / 2 * (1 - np.exp(4 * BANDS * ROWS / SKETCH_BITS * (cut - 1)))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = lambda x: x.flatten().to_numpy(zero_copy_only=False)
         for batch in batches:
             found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for low, high, members in zip(*(batch.column(i) for i in range(3))):
-                flat = members.values
-                rep = flat.field("rep").to_numpy(zero_copy_only=False)
-                comp = flat.field("component").to_numpy(zero_copy_only=False)
-                block = flat.field("own").to_numpy(zero_copy_only=False)
-                bits = flat.field("sketch").flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1)
-                left = block == low.as_py()
-                right = block == high.as_py()
-                for i in np.flatnonzero(left):
-                    odd = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                    hit = (odd <= most) & (comp[right] != comp[i])
-                    if low.as_py() == high.as_py():
-                        hit &= rep[right] > rep[i]
-                    partner = rep[right][hit]
-                    found_a.append(np.minimum(partner, rep[i]))
-                    found_b.append(np.maximum(partner, rep[i]))
+            for place, low, high, members in zip(*(batch.column(i) for i in range(4))):
+                flat, place, same = members.values, place.as_py(), low.as_py() == high.as_py()
+                rep, comp, block, size = (
+                    flat.field(x).to_numpy(zero_copy_only=False) for x in ("rep", "component", "own", "size")
+                )
+                sketch, parity, bands = (wide(flat.field(x)).reshape(len(rep), -1) for x in ("sketch", "parity", "bands"))
+                right = np.flatnonzero(block == high.as_py())
+                for i in np.flatnonzero(block == low.as_py()):
+                    at = right[comp[right] != comp[i]]
+                    if same:
+                        at = at[rep[at] > rep[i]]
+                    at = at[np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= most]
+                    # Odd bits of the full sets: no more than the symmetric difference, so this loses no link.
+                    odd = np.bitwise_count(parity[at] ^ parity[i]).sum(axis=1, dtype=np.int64)
+                    at = at[odd * (100 + PERCENT) <= (size[at] + size[i]) * (100 - PERCENT)]
+                    at = at[(bands[at] == bands[i]).argmax(axis=1) == place]
+                    found_a.append(np.minimum(rep[at], rep[i]))
+                    found_b.append(np.maximum(rep[at], rep[i]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"]
             )
 
-    # Spread anew: a bucket's blocks are as many rows, and each is work for its own.
-    return groups.select("low", "high", "members").mapInArrow(near, "a bigint, b bigint").distinct()
+    return groups.select("place", "low", "high", "members").mapInArrow(near, "a bigint, b bigint")
+
+
+def candidate_sets(buckets: DataFrame, docs: DataFrame) -> DataFrame:
+    """The full sets of all classes that share a bucket; only their texts are taken apart again."""
+    ids = written(buckets.select(F.col("rep").alias("doc_id")).distinct().orderBy("doc_id"), "candidates")
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    return written(full_sets(texts).dropDuplicates(["doc_id"]), "sets")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough; only texts of candidates are taken apart again."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(full_sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
@@ -225,12 +251,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = written(linked.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     reps = written(
         linked.join(classes, (F.col("doc_id") == F.col("rep")) & (linked.digest == classes.digest), "left_semi")
-        .select(F.col("doc_id").alias("rep"), "bands", "sketch").dropDuplicates(["rep"]),
+        .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "bands", "sketch", "parity").dropDuplicates(["rep"]),
         "reps",
     )
-    stars = written(confirm(written(leader_pairs(reps), "pairs"), docs), "stars")
-    rest = written(block_pairs(reps, components(stars)), "pairs")
-    component = components(stars.union(confirm(rest, docs)))
+    buckets = shared_buckets(reps)
+    sets = candidate_sets(buckets, docs)
+    stars = written(confirm(leader_pairs(buckets, reps), sets), "stars")
+    rest = written(block_pairs(buckets, reps, components(stars)), "pairs")
+    component = components(stars.union(confirm(rest, sets)))
     of_class = classes.join(component, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     named = signed.join(of_class, "digest", "left").select(
         "doc_id", "n_shingles",
