@@ -13,12 +13,15 @@ length.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,67 +35,53 @@ GRID = 256
 ROUNDS, STEP, SHARPNESS = 4000, 0.1, 8.0
 #: Pieces that are ranked in one task at most, about.
 RANK_ROWS = 50_000
-#: Entries of a task's two caches: whole words, and their lower-case letters.
-CACHE, CORES = 150_000, 400_000
+#: Pieces whose ids a task remembers at most.
+CACHE = 300_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-#: Marks that are one token group of their own after letters, in the tokenizer's splitting rule.
-_MARKS = ".,;:!?*$%&#"
 
 
-class Words:
-    """Ids of texts, word by word: the tokenizer drops white space, so no token spans two words.
-
-    Ids of frequent words are kept; a word of letters with marks behind it shares
-    the letters' ids. Anything else goes to the tokenizer as it is.
-    """
+class Ids(dict):
+    """Packed ids of the pieces into which the tokenizer splits a normalised text, learned as they come."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.words) + len(new) > CACHE:
-            self.words.clear()
-        if len(self.cores) > CORES:
-            self.cores.clear()
-        words, cores = self.words, self.cores
-        plain, odd = [], []
-        for w in new:
-            core = w.rstrip(_MARKS)
-            (plain if core.isascii() and core.isalpha() else odd).append((w, core.lower(), w[len(core) :]))
-        lone = self.tokenizer.model.tokenize
-        for w, core, marks in plain:
-            for x in (core, marks):
-                if x and x not in cores:
-                    cores[x] = np.array([t.id for t in lone(x)], "<u4").tobytes() if x is core else self._encode([x])[0]
-            words[w] = cores[core] + cores[marks] if marks else cores[core]
-        words.update(zip((w for w, *_ in odd), self._encode([w for w, *_ in odd])))
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            if any(s in text for s in self.special) or not text.isprintable() and any(c in text for c in _OTHER_BREAKS):
-                yield np.frombuffer(self._encode([text])[0], "<u4")
-                continue
-            words = text.split()
-            new = set(words).difference(self.words)
-            if new:
-                self._learn(new)
-                if len(self.words) > CACHE or not self.words.keys() >= set(words):
-                    self._learn(set(words).difference(self.words))
-            yield np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
-
-
-#: What Python takes for white space and the tokenizer's rule does not.
-_OTHER_BREAKS = "\x1c\x1d\x1e\x1f"
+        # The byte-level alphabet: visible bytes stand for themselves, the others for characters from 256 on.
+        visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = iter(range(256, 512))
+        self.alphabet = [chr(b if b in visible else next(hidden)) for b in range(256)]
+
+    def _packed(self, piece: str) -> bytes:
+        mapped = "".join([self.alphabet[b] for b in piece.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(mapped)])
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        if piece.isascii() or piece.isalpha():
+            ids = self._packed(piece)
+        else:  # numerals that are no decimal digits stand alone
+            ids = b"".join(map(self._packed, _LETTERS_OR_NUMERAL.findall(piece)))
+        self[piece] = ids
+        return ids
+
+    def of_text(self, text: str) -> np.ndarray:
+        if any(x in text for x in (*self.special, *_UNLIKE)):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        return np.frombuffer(b"".join(map(self.__getitem__, _PIECE.findall(text.lower()))), "<u4")
+
+
+#: What Python and the tokenizer treat unlike, by white space or by lower case.
+_UNLIKE = "\x1c\x1d\x1e\x1f\x85\u180e\u03a3"
+#: The tokenizer's splitting rule for lower-case text; letters come with numerals that are no decimal digits.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_LETTERS_OR_NUMERAL = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -110,13 +99,13 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     path = path or tokenizer_path()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path)
+        known = Ids(path)
         end = np.array([END_ID], "<u4")
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             texts = batch.column(1).fill_null("").to_pylist()
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(texts)):
-                ids = np.concatenate([ids, end])
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts):
+                ids = np.concatenate([known.of_text(text), end])
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     for column, value in zip(out, (doc_id, piece, start, len(part), zlib.crc32(part.tobytes()))):
