@@ -346,7 +346,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 columns = [
                     pa.array(np.arange(row, row + n)), batch.column(0).slice(first, n),
                     pa.array(folds[first : first + n] % FOLDS == HELD_OUT), pa.array(sizes.astype(np.int64)),
-                    pa.array(n_known), pa.array(base), pa.array(score),
+                    pa.array(n_known), pa.array(base, pa.float64()), pa.array(score, pa.float64()),
                     pa.ListArray.from_arrays(ends, np.ascontiguousarray(tail["word"])),
                     pa.ListArray.from_arrays(ends, times.astype(np.int32)),
                 ]
