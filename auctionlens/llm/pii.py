@@ -60,11 +60,14 @@ _SECRET = re.compile(
     r"|(?P<cloud>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b)",
     re.IGNORECASE,
 )
-_SECRET_WORD = re.compile(r"(?i)passw|pwd|token|secret|key|AKIA|ASIA|gh[pousr]_")
-_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+#: What any secret's surroundings hold, in lower case; a plain search for these is much faster than the pattern.
+_SECRET_WORDS = ("passw", "pwd", "token", "secret", "key", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
+#: Where digits may stand together; patterns that begin with a set of characters are searched fastest.
+_RUN = re.compile(r"[\d+(][\d ().+\-]{5,}")
+_IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+\-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
-_FULL_NAME = re.compile(r"\b([A-ZÀ-ÞΆ-ΫА-Я]\w+)(?= ([A-ZÀ-ÞΆ-ΫА-Я]\w{2,}))")
+_FULL_NAME = re.compile(r"([A-ZÀ-ÞΆ-ΫА-Я]\w+)(?= ([A-ZÀ-ÞΆ-ΫА-Я]\w{2,}))")
 
 Mention = tuple[int, int, str, str]  # start, end, kind, canonical value
 
@@ -78,6 +81,10 @@ def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def _begins_word(text: str, at: int) -> bool:
+    return at == 0 or not (text[at - 1].isalnum() or text[at - 1] == "_")
+
+
 def mentions(text: str) -> list[Mention]:
     """All mentions of a text, in order and without overlaps."""
     found: list[Mention] = []
@@ -87,19 +94,21 @@ def mentions(text: str) -> list[Mention]:
         if local and domain:
             found.append((at - len(local[0]), domain.end(), "email", (local[0] + "@" + domain[0]).lower()))
         at = text.find("@", at + 1)
-    for m in _DIGITS.finditer(text):
-        kind = m.lastgroup
-        value = m[0] if kind == "ip" else re.sub(r"\D", "", m[0])
-        if kind != "card" or luhn(value):
-            found.append((m.start(), m.end(), kind, value))
-    if _SECRET_WORD.search(text):
+    for run in _RUN.finditer(text):
+        for m in _DIGITS.finditer(text, run.start(), run.end() + 2):
+            kind = m.lastgroup
+            value = m[0] if kind == "ip" else re.sub(r"\D", "", m[0])
+            if kind != "card" or luhn(value):
+                found.append((m.start(), m.end(), kind, value))
+    lower = text.lower()
+    if any(w in lower for w in _SECRET_WORDS):
         for m in _SECRET.finditer(text):
             kind = "secret" if m["secret"] else "cloud"
             if kind == "cloud" or re.search(r"\d", m["secret"]):
                 found.append((m.start(kind), m.end(kind), "secret", m[kind]))
     for m in _IBAN.finditer(text):
         value = m[0].replace(" ", "")
-        if 15 <= len(value) <= 34 and _mod97(value) == 1:
+        if _begins_word(text, m.start()) and 15 <= len(value) <= 34 and _mod97(value) == 1:
             found.append((m.start(), m.end(), "iban", value))
     found += _names(text)
     found.sort(key=lambda x: (x[0], -x[1]))
@@ -112,7 +121,10 @@ def mentions(text: str) -> list[Mention]:
 
 def _names(text: str) -> list[Mention]:
     """Full names that begin with a known given name, and later mentions of their parts in the same text."""
-    full = [m for m in _FULL_NAME.finditer(text) if m[1] in _OF_NAME and m[2] not in _OF_NAME]
+    full = [
+        m for m in _FULL_NAME.finditer(text)
+        if m[1] in _OF_NAME and m[2] not in _OF_NAME and _begins_word(text, m.start())
+    ]
     found, parts = [], {}
     for m in full:
         value = f"{m[1]} {m[2]}"
