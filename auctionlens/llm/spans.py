@@ -95,7 +95,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def repeated_sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, drop): the numbers of the sentences to remove, for the documents that lose any.
+    """(doc_id, key, drop): the (first, last) runs to remove, for the documents that lose any.
 
     The first occurrence of a run is that of the smallest doc_id, then of the
     smallest position. Hot runs are reduced to one row per task before the shuffle
@@ -107,9 +107,7 @@ def repeated_sentences(docs: DataFrame) -> DataFrame:
     again = found.groupBy("hash").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1")
     origins = written(again.select("hash", "origin"), "repeated")
     later = found.join(origins, "hash").where(place > F.col("origin"))
-    sentence = F.explode(F.sequence("first", F.col("last") - 1)).alias("sentence")
-    covered = later.select("doc_id", "key", sentence).distinct()
-    return covered.groupBy("doc_id", "key").agg(F.collect_list("sentence").alias("drop"))
+    return later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("drop"))
 
 
 def without(text: str, drop: set[int]) -> tuple[str, int]:
@@ -151,9 +149,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             texts, counts = [], ([], [], [])
             for text, drop in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()):
                 total = len(sentences(text or ""))
-                text, lost = without(text, set(drop)) if drop else (text, 0)
+                gone = {i for run in drop or () for i in range(run["first"], run["last"])}
+                text, lost = without(text, gone) if gone else (text, 0)
                 texts.append(text)
-                for column, value in zip(counts, (total, len(drop or ()), lost)):
+                for column, value in zip(counts, (total, len(gone), lost)):
                     column.append(value)
             arrays = [batch.column(i) for i in range(len(columns))]
             arrays[at] = pa.array(texts, pa.string())
