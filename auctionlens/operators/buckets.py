@@ -69,26 +69,29 @@ def bucketize(df: DataFrame, features: Sequence[str], min_imps: float = BUCKET_M
     )
 
 
-def level_keys(buckets: DataFrame, features: Sequence[str], k: int) -> DataFrame:
-    """Distinct keys of one level, under names of their own.
+def match_buckets(df: DataFrame, buckets: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Rows of distinct keys with one flag ``in_bucket_k`` per level: whether a bucket of it holds the key.
 
-    The marker is part of the distinct key, so the join shuffles the keys anew;
-    a hot key on the other side can then be split at run time.
+    A row is offered with its key of every level, and one equi-join on level and
+    masked key finds the buckets, which are read once.
     """
-    return (
-        buckets.where(F.col("level") == k)
-        .select(*[F.col(f).alias(f"bucket_{f}") for f in features[k:]], F.lit(True).alias("in_bucket"))
-        .distinct()
-    )
-
-
-def _match(df: DataFrame, keys: DataFrame, features: Sequence[str], k: int, open_only: bool = False) -> DataFrame:
-    """Left join to the keys of level k; with ``open_only`` settled rows match nothing."""
-    on = [F.col(f) == F.col(f"bucket_{f}") for f in features[k:]]
-    if open_only:
-        on.append(F.col("level").isNull())
-    joined = df.join(keys, on, "left")
-    return joined.drop(*[c for c in keys.columns if c != "in_bucket"])
+    n = len(features)
+    keys = buckets.where(F.col("level") < n).select(
+        F.col("level").alias("bucket_level"), *[F.col(f).alias(f"bucket_{f}") for f in features]
+    ).distinct()
+    types = {f: df.schema[f].dataType for f in features}
+    offers = F.array(*[
+        F.struct(
+            F.lit(k).alias("level"),
+            *[(F.col(f) if i >= k else F.lit(None).cast(types[f])).alias(f) for i, f in enumerate(features)],
+        )
+        for k in range(n)
+    ])
+    on = [F.col("offer.level") == F.col("bucket_level")]
+    on += [F.col(f"offer.{f}").eqNullSafe(F.col(f"bucket_{f}")) for f in features]
+    offered = df.select(*df.columns, F.explode(offers).alias("offer")).join(keys, on, "left")
+    flags = [F.max(F.coalesce(F.col("bucket_level") == k, F.lit(False))).alias(f"in_bucket_{k}") for k in range(n)]
+    return offered.groupBy(*df.columns).agg(*flags)
 
 
 def assign_levels(df: DataFrame, buckets: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -97,14 +100,8 @@ def assign_levels(df: DataFrame, buckets: DataFrame, features: Sequence[str]) ->
     A row's level depends on its own key only, so the levels need no
     aggregation in between.
     """
-    out = df.withColumn("level", F.lit(None).cast("int"))
-    for k in range(len(features)):
-        out = (
-            _match(out, level_keys(buckets, features, k), features, k)
-            .withColumn("level", F.coalesce("level", F.when(F.col("in_bucket"), F.lit(k))))
-            .drop("in_bucket")
-        )
-    return out
+    first = F.coalesce(*[F.when(F.col(f"in_bucket_{k}"), F.lit(k)) for k in range(len(features))])
+    return match_buckets(df, buckets, features).select(*df.columns, first.alias("level"))
 
 
 def _mask(features: Sequence[str]) -> list[Column]:
@@ -145,17 +142,18 @@ def bucket_update(
 
     Grown groups leave the remainder; buckets that stay as they are need no row.
     """
+    base = with_keys(df, features).groupBy(*features).agg(*_sums())
     state = (
-        with_keys(df, features)
-        .groupBy(*features)
-        .agg(*_sums())
+        match_buckets(base, buckets, features)
         .withColumn("level", F.lit(None).cast("int"))
         .withColumn("action", F.lit(None).cast("string"))
     )
     for k in range(len(features)):
         if k:
-            state = state.groupBy("level", "action", *features).agg(*_sums())
-        matched = F.col("in_bucket").isNotNull()
+            # Open rows of one group share what is left of the key, and so its flags.
+            flags = [F.max(f"in_bucket_{j}").alias(f"in_bucket_{j}") for j in range(k, len(features))]
+            state = state.groupBy("level", "action", *features).agg(*_sums(), *flags)
+        matched = F.col(f"in_bucket_{k}")
         still_open = F.col("level").isNull()
         action = (
             F.when(still_open & matched & (F.col("imps") < delete_below), "delete")
@@ -163,12 +161,8 @@ def bucket_update(
             .otherwise(F.col("action"))
         )
         unchanged_bucket = still_open & matched & F.col("action").isNull()
-        state = (
-            _match(state, level_keys(buckets, features, k), features, k, open_only=True)
-            .withColumn("action", action)
-            .where(~unchanged_bucket)
-        )
-        state = _settle(state, k, features, F.col("action").isNotNull()).drop("in_bucket")
+        state = state.withColumn("action", action).where(~unchanged_bucket)
+        state = _settle(state, k, features, F.col("action").isNotNull())
     return state.where("action IS NOT NULL").select("level", *features, "imps", "clicks", "action")
 
 

@@ -17,14 +17,8 @@ CPA_NODE = [*CTR_NODE, "pixel_id"]
 
 
 def _first_decision() -> Column:
-    """The decision of the earliest hour.
-
-    Hour digits and decision are packed into one number, so that the smallest
-    one keeps the aggregation hash-based.
-    """
-    hour = F.col("ymdh")
-    digits = F.concat(hour.substr(1, 4), hour.substr(6, 2), hour.substr(9, 2), hour.substr(12, 2))
-    return (F.min(digits.cast("bigint") * 2 + F.col("is_passed")) % 2).alias("is_passed")
+    """The decision of the earliest hour, whatever its values; the smallest if an hour has several."""
+    return F.min_by("is_passed", F.struct("ymdh", "is_passed")).alias("is_passed")
 
 
 def _in_test(value: str) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,22 +61,24 @@ def goals_of(goals: DataFrame, goal_type: str) -> DataFrame:
 def conform_line_items(goals: DataFrame) -> DataFrame:
     """All goals in one shape: line item, goal type, value and pixel."""
 
-    def shaped(where: Column, goal_type: Column, value: str, pixel: Column) -> DataFrame:
-        return goals.where(where & F.col(value).isNotNull()).select(
-            F.col("cg_id").alias("line_item"),
-            goal_type.alias("goal_type"),
-            F.col(value).cast("double").alias("goal_value"),
-            pixel.cast("int").alias("pixel_id"),
+    kind = F.col("goal_type")
+
+    def shaped(goal_type: Column, value: str, pixel: Column) -> Column:
+        return F.struct(
+            goal_type.alias("goal_type"), F.col(value).cast("double").alias("goal_value"), pixel.alias("pixel_id")
         )
 
-    kind = F.col("goal_type")
-    frames = [
-        shaped(kind == "ctr", kind, "goal_threshold", F.lit(0)),
-        shaped(kind == "cpc", kind, "goal_threshold", F.lit(0)),
-        shaped(kind == "cpa", F.lit("cpa_post_click"), "pcg_threshold", F.col("pixel_id")),
-        shaped(kind == "cpa", F.lit("cpa_post_view"), "pvg_threshold", F.col("pixel_id")),
-    ]
-    return reduce(DataFrame.unionByName, frames)
+    no_pixel, pixel = F.lit(0), F.col("pixel_id").cast("int")
+    # One pass: a goal of each payout kind becomes one row, or two.
+    rows = F.when(kind.isin("ctr", "cpc"), F.array(shaped(kind, "goal_threshold", no_pixel))).when(
+        kind == "cpa",
+        F.array(
+            shaped(F.lit("cpa_post_click"), "pcg_threshold", pixel),
+            shaped(F.lit("cpa_post_view"), "pvg_threshold", pixel),
+        ),
+    )
+    shapes = goals.select(F.col("cg_id").alias("line_item"), F.explode(rows).alias("g"))
+    return shapes.select("line_item", "g.*").where("goal_value IS NOT NULL")
 
 
 def _sum(column: str, name: str | None = None) -> Column:

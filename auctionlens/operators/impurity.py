@@ -39,13 +39,20 @@ def _weighted() -> Column:
     return F.try_divide(F.sum(F.col("t") - F.try_divide(F.col("ss"), F.col("t"))), F.sum("t"))
 
 
+_CELLS = "array<struct<f1:string,f2:string,v1:string,v2:string>>"
+
+
+def _cell(*columns: str) -> Column:
+    return F.struct(*[(F.col(c) if c else F.lit("")).alias(n) for n, c in zip(("f1", "f2", "v1", "v2"), columns)])
+
+
 def impurity_matrix(df: DataFrame, features: Sequence[str], digits: int = 3) -> DataFrame:
     """Impurity of every feature given every other, plus its own (``given`` = '').
 
     The data is reduced to the distinct feature combinations first. These are
-    spread over the unordered pairs and the single features, which is one group
-    of one aggregation each; only the resulting cells are read in both
-    directions. The diagonal is 0.
+    spread over the unordered pairs, which is one group of one aggregation each;
+    the cells of single features come from those of the pairs, and the cells
+    alone are read in both directions. The diagonal is 0.
     """
     base = df.groupBy(*features).agg(F.sum("imps").cast("double").alias("x"))
 
@@ -57,10 +64,24 @@ def impurity_matrix(df: DataFrame, features: Sequence[str], digits: int = 3) ->
             F.lit(first).alias("f1"), F.lit(second).alias("f2"), value(first).alias("v1"), value(second).alias("v2")
         )
 
-    pairs = [entry(a, b) for a, b in combinations(features, 2)] + [entry("", f) for f in features]
-    cells = (
+    if len(features) < 2:
+        raise ValueError("a matrix needs two features; gini measures one")
+    pairs = [entry(a, b) for a, b in combinations(features, 2)]
+    joint = (
         base.select("x", F.explode(F.array(*pairs)).alias("p"))
         .select("x", "p.*")
+        .groupBy("f1", "f2", "v1", "v2")
+        .agg(F.sum("x").alias("x"))
+    )
+    # A feature alone: its cells with one partner, the first feature's with the second.
+    first, second = features[:2]
+    alone = F.when(
+        (F.col("f1") == first) & (F.col("f2") == second),
+        F.array(_cell("", "f1", "", "v1"), _cell("", "f2", "", "v2")),
+    ).when(F.col("f1") == first, F.array(_cell("", "f2", "", "v2"))).otherwise(F.array().cast(_CELLS))
+    cells = (
+        joint.select("x", F.explode(F.concat(F.array(_cell("f1", "f2", "v1", "v2")), alone)).alias("p"))
+        .select("x", "p.*")
         .where("v1 IS NOT NULL AND v2 IS NOT NULL")
         .groupBy("f1", "f2", "v1", "v2")
         .agg(F.sum("x").alias("x"))

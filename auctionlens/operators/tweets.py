@@ -64,16 +64,13 @@ def _each(terms: Column) -> Column:
 
 def term_sentiment(tweets: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Mean score of the tweets a term outside the lexicon occurs in, each tweet counted once."""
-    terms = tweets.select("tweet_id", F.array_distinct(tokens(F.col("text"))).alias("terms"))
-    # Both sides grow with the tweets, and the terms should stay spread out.
-    scores = tweet_sentiment(tweets, lexicon).hint("merge")
+    tweet = _scored_terms(tweets, lexicon, ["tweet_id"], 1).groupBy("tweet_id").agg(
+        _score(), F.collect_set(F.when(F.col("score").isNull(), F.col("term"))).alias("terms")
+    )
     return (
-        terms.join(scores, "tweet_id")
-        .select("sentiment", _each(F.col("terms")))
-        .where("term IS NOT NULL")
+        tweet.select("sentiment", F.explode("terms").alias("term"))
         .groupBy("term")
         .agg(F.sum("sentiment").alias("total"), F.count(F.lit(1)).alias("tweets"))
-        .join(lexicon.select("term"), "term", "left_anti")
         .select("term", F.try_divide(F.col("total").cast("double"), F.col("tweets").cast("double")).alias("sentiment"))
     )
 

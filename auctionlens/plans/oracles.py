@@ -5,6 +5,7 @@ The statements join row by row and use no shortcut of the Spark plans.
 
 from __future__ import annotations
 
+from auctionlens.constants import APP_SIZE_KEPT_MEMBER, EXCLUDED_MEMBERS
 from auctionlens.plans import queries as q
 from auctionlens.sources.fixtures import with_list
 
@@ -18,10 +19,7 @@ def _sql(name: str, tables: str, body: str) -> None:
     ORACLES[name] = f"WITH {with_list(*tables.split())}{glue}{body}"
 
 
-_MEMBERS = (
-    "332, 865, 718, 948, 1754, 1251, 1886, 634, 1920, 1039, 326, 319, 630, 1544, 1004, 848, 456, 95, 1979, 1739, "
-    "1974, 1656, 1318, 88, 1939, 928, 1906, 1357, 1869, 1972, 1333, 1697"
-)
+_MEMBERS = ", ".join(str(m) for m in EXCLUDED_MEMBERS if m != APP_SIZE_KEPT_MEMBER)
 _EXCL = f"seller_member_id NOT IN ({_MEMBERS}, 818)"
 _EXCL_APP = f"seller_member_id NOT IN ({_MEMBERS})"
 _DISPLAY = f"supply_type < 2 AND device_type = 0 AND {_EXCL} AND content_category_id > 0"
@@ -36,6 +34,14 @@ _CHOSEN_BIDS = f"""payment_type IN (0, 3, 4)
   AND campaign_id IN (SELECT object_id FROM quick_stats WHERE imps > {q.CAMPAIGN_IMPS})"""
 
 
+_CPA_CAMPAIGNS = f"""SELECT object_id FROM quick_stats
+  WHERE time_interval = '7day' AND report_type = 'campaign' AND imps > {q.CPA_CAMPAIGN_IMPS} AND clicks > 2 * post_click_convs
+    AND object_id IN (SELECT campaign_id FROM categorizer
+      WHERE type IN ('rtb_event_payout', 'rtb_cpm_payout') AND value_type = 'pc_cpa'
+      GROUP BY campaign_id HAVING count(*) = 1)"""
+_CPA_BIDS = f"payment_type IN (0, 3, 4) AND campaign_id IN ({_CPA_CAMPAIGNS})"
+
+
 def _later(hour: str, n: int) -> str:
     return f"strftime(strptime({hour}, '%Y-%m-%d %H') + INTERVAL {n} HOUR, '%Y-%m-%d %H')"
 
@@ -89,12 +95,12 @@ _HOURLY: dict[str, str] = {
         _OPEN_BIDS, late=23, measure="pc_convs",
     ),
     "agg_conversions_campaign": _hourly_select(
-        _CAMPAIGN, f"{_RESOLD} AND {_EXCL} AND content_category_id > 0", _CHOSEN_BIDS, late=23, measure="pc_convs"
+        _CAMPAIGN, f"{_RESOLD} AND {_EXCL} AND content_category_id > 0", _CPA_BIDS, late=23, measure="pc_convs"
     ),
     "agg_campaign_clicks": _hourly_select(_CAMPAIGN, f"{_EXCL} AND content_category_id > 0", _CHOSEN_BIDS),
 }
 for _name, _body in _HOURLY.items():
-    _sql(_name, "imps bids clicks conversions quick_stats", _body)
+    _sql(_name, "imps bids clicks conversions quick_stats categorizer", _body)
 
 _TARGET_KEYS = (
     "application_id", "content_category_id", "device_id", "geo_country", "height", "operating_system",
@@ -363,13 +369,20 @@ WHERE (c.profile_id > 0 AND c.profile_id IN (SELECT profile_id FROM targeted))
    OR (g.profile_id > 0 AND g.profile_id IN (SELECT profile_id FROM targeted))""")
 
 _sql("campaign_pixel_meta", "pixel group_pixel campaign_group campaign currency categorizer goal", """
+open_group AS (SELECT id, currency FROM campaign_group WHERE state = 'active' AND deleted = 0),
+open_campaign AS (SELECT id, campaign_group_id FROM campaign WHERE state = 'active' AND deleted = 0),
+open_pixel AS (SELECT id, trigger_type FROM pixel WHERE state = 'active' AND deleted = 0),
+attached AS (
+  SELECT campaign_group_id, pixel_id, post_view_revenue, post_click_revenue FROM group_pixel
+  WHERE state = 'active' AND deleted = 0),
 live AS (
-  SELECT g.id AS campaign_group_id, c.id AS campaign_id, p.id AS pixel_id, p.trigger_type, x.post_view_revenue,
-    x.post_click_revenue, v.conversion_rate
-  FROM pixel p, group_pixel x, campaign_group g, campaign c, currency v
-  WHERE p.deleted = 0 AND p.state = 'active' AND x.deleted = 0 AND x.state = 'active'
-    AND c.deleted = 0 AND c.state = 'active' AND g.deleted = 0 AND g.state = 'active'
-    AND p.id = x.pixel_id AND g.id = x.campaign_group_id AND c.campaign_group_id = g.id AND g.currency = v.code),
+  SELECT a.campaign_group_id, open_campaign.id AS campaign_id, a.pixel_id, open_pixel.trigger_type, a.post_view_revenue,
+    a.post_click_revenue, currency.conversion_rate
+  FROM attached a
+  JOIN open_group ON open_group.id = a.campaign_group_id
+  JOIN currency ON currency.code = open_group.currency
+  JOIN open_campaign ON open_campaign.campaign_group_id = a.campaign_group_id
+  JOIN open_pixel ON open_pixel.id = a.pixel_id),
 split AS (
   SELECT campaign_group_id, campaign_id, pixel_id,
     CASE trigger_type WHEN 'hybrid' THEN 'view' ELSE trigger_type END AS trigger_type,

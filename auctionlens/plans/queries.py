@@ -12,7 +12,6 @@ from auctionlens.functions.predicates import in_size_bucket, size_area, size_buc
 from auctionlens.operators import (
     backfill, buckets, campaign_meta, clog, confusion, goals, hourly, impurity, lookups, pages, reporting, tweets,
 )
-from auctionlens.session import materialize
 from auctionlens.sources.catalog import Catalog
 from auctionlens.sources.fixtures import fixture_catalog
 from auctionlens.sources.readers import parse_tweets
@@ -64,9 +63,16 @@ def _big_campaigns(t: Catalog) -> DataFrame:
     return hourly.big_campaigns(t["quick_stats"], CAMPAIGN_IMPS)
 
 
+def _chosen_campaigns(name: str, t: Catalog) -> DataFrame:
+    """Conversions are kept for the campaigns with a single post-click payout, clicks for all big ones."""
+    if name == "agg_conversions_campaign":
+        return hourly.big_cpa_campaigns(t["categorizer"], t["quick_stats"], CPA_CAMPAIGN_IMPS)
+    return _big_campaigns(t)
+
+
 def _hourly(name: str, t: Catalog) -> DataFrame:
     job = hourly.JOBS[name]
-    campaigns = _big_campaigns(t) if job.chosen_campaigns else None
+    campaigns = _chosen_campaigns(name, t) if job.chosen_campaigns else None
     return hourly.hourly_aggregate(name, t["imps"], t["bids"], t[job.response], campaigns)
 
 
@@ -335,11 +341,6 @@ def _(t):
 # Buckets
 
 
-def _stored_buckets(t: Catalog, fact: DataFrame) -> DataFrame:
-    """Buckets are a stored table to those who apply them; they are joined once per level."""
-    return materialize(buckets.bucketize(fact, FEATURES, MIN_IMPS), "buckets")
-
-
 @_query("bucketize")
 def _(t):
     return buckets.bucketize(t["perf_fact"], FEATURES, MIN_IMPS)
@@ -347,25 +348,27 @@ def _(t):
 
 @_query("bucket_perf")
 def _(t):
-    return buckets.bucket_perf(reporting.reported(t["perf_fact"]), _stored_buckets(t, t["perf_fact"]), FEATURES)
+    built = buckets.bucketize(t["perf_fact"], FEATURES, MIN_IMPS)
+    return buckets.bucket_perf(reporting.reported(t["perf_fact"]), built, FEATURES)
 
 
 @_query("bucket_perf_campaign")
 def _(t):
     return buckets.bucket_perf_campaign(
-        reporting.reported(t["perf_fact"]), _stored_buckets(t, t["perf_fact"]), FEATURES
+        reporting.reported(t["perf_fact"]), buckets.bucketize(t["perf_fact"], FEATURES, MIN_IMPS), FEATURES
     )
 
 
 @_query("campaign_gain")
 def _(t):
-    per_campaign = buckets.bucket_perf_campaign(t["perf_fact"], _stored_buckets(t, t["perf_fact"]), FEATURES)
+    built = buckets.bucketize(t["perf_fact"], FEATURES, MIN_IMPS)
+    per_campaign = buckets.bucket_perf_campaign(t["perf_fact"], built, FEATURES)
     return _rounded(buckets.campaign_gain(per_campaign), "total_var", "info_gain")
 
 
 @_query("bucket_update")
 def _(t):
-    base = _stored_buckets(t, t["perf_fact"])
+    base = buckets.bucketize(t["perf_fact"], FEATURES, MIN_IMPS)
     return buckets.bucket_update(
         reporting.reported(t["perf_fact"]), base, FEATURES, DELETE_BELOW, GROW_ABOVE
     )

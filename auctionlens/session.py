@@ -1,12 +1,8 @@
-"""Session defaults and the shared-folder helper used to cut long lineages."""
+"""Session defaults."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import SparkSession
 
 SHUFFLE_PARTITION_BYTES = 128 << 20
 
@@ -36,27 +32,3 @@ def build_session(
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only for a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="auctionlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as parquet in the shared folder and read it back.
-
-    Unlike a cached DataFrame the copy outlives lost executors, and its file
-    sizes give the planner a true size for join selection.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,6 +39,8 @@ def read_snapshot(
     partitions: int = 1,
 ) -> DataFrame:
     """A warehouse table over JDBC, read in ``partitions`` ranges of ``split_on`` when given."""
+    if partitions > 1 and not (split_on and bounds):
+        raise ValueError("several partitions need split_on and bounds")
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **(properties or {}))
     if split_on and bounds:
         reader = reader.options(
@@ -65,14 +68,11 @@ def read_tweets(spark: SparkSession, path: str) -> DataFrame:
     return parse_tweets(spark.read.text(path))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def read_through(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
     """The stored result at ``path``, computed and written first when it is missing or unfinished."""
-    if not _exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+    finished = f"{path.rstrip('/')}/_SUCCESS"
+    try:
+        spark.read.format("binaryFile").load(finished).schema  # fails if there is no such file
+    except AnalysisException:
         compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from auctionlens.operators import backfill, hourly
 from auctionlens.schemas import CAMPAIGN_PIXEL_META, HOURLY_TABLES, create_table
-from auctionlens.session import materialize, shared_folder
 from auctionlens.sources import readers, sinks
 from auctionlens.sources.catalog import Catalog
 
@@ -126,23 +125,9 @@ def test_drop_old_hours(spark):
     spark.sql("DROP TABLE kept_hours")
 
 
-def test_materialize_uses_the_shared_folder(spark):
-    df = materialize(spark.range(5), "numbers")
-    assert df.count() == 5
-    assert shared_folder(spark).rstrip("/") in df.inputFiles()[0]
-
-
-def test_shared_folder_must_be_named_on_a_cluster(spark):
-    class Cluster:
-        class conf:
-            get = staticmethod(lambda *_: None)
-
-        class sparkContext:
-            master = "yarn"
-            getCheckpointDir = staticmethod(lambda: None)
-
+def test_ranges_of_a_snapshot_need_bounds(spark):
     with pytest.raises(ValueError):
-        shared_folder(Cluster)
+        readers.read_snapshot(spark, "jdbc:none", "t", split_on="id", partitions=4)
 
 
 def test_catalog_renames(spark, tmp_path):
