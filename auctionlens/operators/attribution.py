@@ -29,10 +29,6 @@ def in_hours(df: DataFrame, hours: Sequence[str] | None) -> DataFrame:
     return df if hours is None else df.where(F.col("dh").isin(list(hours)))
 
 
-def in_hour_range(df: DataFrame, first: str, last: str) -> DataFrame:
-    return df.where(F.col("dh").between(first, last))
-
-
 def count_bids(bids: DataFrame, keys: Sequence[str] = (), once: bool = False) -> DataFrame:
     """One row per auction, hour and extra bid key with its number of bids.
 
@@ -46,27 +42,40 @@ def count_bids(bids: DataFrame, keys: Sequence[str] = (), once: bool = False) ->
 
 
 def count_responses(
-    responses: DataFrame, window_hours: int, hours: Sequence[str] | None = None, dedup: bool = False
+    responses: DataFrame, window_hours: int, hours: Sequence[str] | None = None
+) -> DataFrame:
+    """Responses per auction and hour of the response, from the hours that are in time for any of ``hours``."""
+    if hours is not None:
+        in_time = {add_hours(hour, late) for hour in hours for late in range(window_hours + 1)}
+        responses = in_hours(responses, sorted(in_time))
+    return responses.groupBy("auction_id_64", F.col("dh").alias("response_dh")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_responses(
+    bid_counts: DataFrame, response_counts: DataFrame, window_hours: int, dedup: bool = False
 ) -> DataFrame:
-    """Responses per auction and impression hour they are in time for.
+    """Counted bids with the number of responses in time for their hour, NULL without any.
 
-    A response at hour r counts for impression hours r - window .. r, so it is
-    offered to each of them; an equi-join on the hour then replaces the range.
+    Both sides are counted, so an auction has at most one row per hour (and bid
+    key) here, however hot it is.
     """
-    if hours is not None:
-        responses = in_hour_range(responses, min(hours), add_hours(max(hours), window_hours))
-    served = F.transform(
-        F.sequence(F.lit(0), F.lit(window_hours)), lambda late: shift_hour(F.col("dh"), -late)
+    keys = bid_counts.columns
+    timed = bid_counts.withColumn("until", shift_hour(F.col("dh"), window_hours))
+    late = response_counts.withColumnRenamed("auction_id_64", "response_id")
+    in_time = (F.col("auction_id_64") == F.col("response_id")) & F.col("response_dh").between(
+        F.col("dh"), F.col("until")
+    )
+    total = F.sum("n")
+    return (
+        timed.join(late, in_time, "left")
+        .groupBy(*keys)
+        .agg((F.when(total > 0, F.lit(1).cast("bigint")) if dedup else total).alias("n_responses"))
     )
-    offered = responses.select("auction_id_64", F.explode(served).alias("dh"))
-    counted = in_hours(offered, hours).groupBy(*AUCTION).agg(F.count(F.lit(1)).alias("n_responses"))
-    return counted.withColumn("n_responses", F.lit(1).cast("bigint")) if dedup else counted
 
 
-def attribute(imps: DataFrame, bid_counts: DataFrame, response_counts: DataFrame) -> DataFrame:
+def attribute(imps: DataFrame, counted: DataFrame) -> DataFrame:
     """Impressions with a bid, each with its ``n_bids`` and ``n_responses``."""
-    counted = bid_counts.join(response_counts, AUCTION, "left")
-    # The counted side is already partitioned by auction and hour. Joining on one
+    # The counted side may be partitioned by auction already. Joining on one
     # more key gives both inputs a shuffle of their own, and only such joins can
     # have a hot auction's impressions split over several tasks at run time.
     spread = F.xxhash64(*AUCTION)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auctionlens.functions.timeparts import HOUR_FORMAT, as_of_time, shift_hour
+from auctionlens.operators.attribution import in_hours
 
 
 def hours_of(table: DataFrame) -> DataFrame:
@@ -19,31 +20,45 @@ def _cutoff(as_of: str, days: int) -> str:
     return (as_of_time(as_of) - timedelta(days=days)).strftime(HOUR_FORMAT)
 
 
+#: What an hour needs to be ready, and what rules it out, as bits.
+_IMPS, _BIDS, _CLICKS, _FOLLOWED, _DONE = 1, 2, 4, 8, 16
+
+
 def ready_hours(
     imps: DataFrame, bids: DataFrame, clicks: DataFrame, aggregated: DataFrame, as_of: str, lookback_days: int = 8
 ) -> DataFrame:
     """Hours populated in all three logs, not aggregated yet, whose next click hour is there.
 
-    An hour without rows never appears in ``hours_of``, so the joins double as
-    the existence probes.
+    Every log gives its distinct hours after the cut-off, once, and each of these
+    sets a bit; an hour without rows sets none. Partitions before the cut-off
+    are pruned in every log, as the next hour of a wanted one is after it too.
     """
-    cutoff = as_of_time(as_of) - timedelta(days=lookback_days)
     # "Later than the cut-off": on a whole hour the hour itself is too old.
-    first = cutoff.strftime(HOUR_FORMAT)
-    recent = hours_of(imps).where(F.col("dh") > first)
-    click_hours = hours_of(clicks)
+    first = _cutoff(as_of, lookback_days)
+
+    def recent(table: DataFrame) -> DataFrame:
+        return hours_of(table.where(F.col("dh") > first))
+
+    def marked(table: DataFrame, bit: int) -> DataFrame:
+        return recent(table).select("dh", F.lit(bit).alias("bit"))
+
+    # A click hour also follows the hour before it.
+    marks = F.array(
+        F.struct(F.col("dh"), F.lit(_CLICKS).alias("bit")),
+        F.struct(shift_hour(F.col("dh"), -1).alias("dh"), F.lit(_FOLLOWED).alias("bit")),
+    )
+    clicked = recent(clicks).select(F.inline(marks))
+    logs = marked(imps, _IMPS).union(marked(bids, _BIDS)).union(marked(aggregated, _DONE)).union(clicked)
     return (
-        recent.join(hours_of(bids), "dh", "left_semi")
-        .join(click_hours, "dh", "left_semi")
-        .join(hours_of(aggregated), "dh", "left_anti")
-        .withColumn("follow_hour", shift_hour(F.col("dh"), 1))
-        .join(click_hours.withColumnRenamed("dh", "follow_hour"), "follow_hour", "left_semi")
-        .select("dh", "follow_hour")
+        logs.groupBy("dh")
+        .agg(F.bit_or("bit").alias("bits"))
+        .where(F.col("bits") == _IMPS | _BIDS | _CLICKS | _FOLLOWED)
+        .select("dh", shift_hour(F.col("dh"), 1).alias("follow_hour"))
     )
 
 
 def retained_hours(table: DataFrame, as_of: str, days: int = 8) -> DataFrame:
-    return hours_of(table).where(F.col("dh") >= _cutoff(as_of, days))
+    return hours_of(table.where(F.col("dh") >= _cutoff(as_of, days)))
 
 
 def hours_to_load(source: DataFrame, loaded: DataFrame) -> DataFrame:
@@ -51,6 +66,11 @@ def hours_to_load(source: DataFrame, loaded: DataFrame) -> DataFrame:
 
 
 def incremental_rows(source: DataFrame, loaded: DataFrame) -> DataFrame:
-    """Rows of the hours not loaded yet, ready for a dynamic partition overwrite."""
-    # One short string per calendar hour: bounded by the clock, not by the data.
-    return source.join(F.broadcast(hours_of(loaded)), "dh", "left_anti")
+    """Rows of the hours not loaded yet, ready for a dynamic partition overwrite.
+
+    The missing hours are listed first, one short string per calendar hour, so
+    that the scan of the source is given literals and prunes the others. Rows
+    without an hour are in none and left out.
+    """
+    missing = [row["dh"] for row in hours_to_load(source, loaded).where("dh IS NOT NULL").collect()]
+    return in_hours(source, sorted(missing))

@@ -14,7 +14,7 @@ from auctionlens.functions.predicates import (
     bid_filter, categorised, not_excluded, resold, size_area, supply_class, with_keys,
 )
 from auctionlens.operators.attribution import (
-    attribute, attributed_responses, attributed_rows, count_bids, count_responses, in_hours,
+    AUCTION, attribute, attributed_responses, attributed_rows, count_bids, count_responses, in_hours, with_responses,
 )
 
 ALL_PAYMENTS = (0, 3, 4)
@@ -113,16 +113,25 @@ JOBS: dict[str, HourlyJob] = {
     ),
 }
 
+#: Copies of a row that are written out together.
+COPY_BLOCK = 4096
+
 FOUR_WAY = ("agg_social", "agg_display_os", "agg_mobile_app", "agg_mobile_web")
 
 
-def _bids_for(job: HourlyJob, bids: DataFrame, campaigns: DataFrame | None) -> DataFrame:
+def _counted_bids(job: HourlyJob, bids: DataFrame, campaigns: DataFrame | None) -> DataFrame:
+    """The job's bids per auction, hour and bid key.
+
+    The chosen campaigns are the biggest ones, so raw bids are never shuffled on
+    the campaign: they are counted per auction first, and the counted rows meet
+    the campaign list.
+    """
     if not job.chosen_campaigns:
-        return bids.where(bid_filter(job.payments))
+        return count_bids(bids.where(bid_filter(job.payments)), job.bid_keys, job.bid_once)
     if campaigns is None:
         raise ValueError("this job needs the chosen campaigns")
-    paid = bids.where(F.col("payment_type").isin(list(job.payments)))
-    return paid.join(campaigns.select("campaign_id"), "campaign_id", "left_semi")
+    counted = count_bids(bids.where(F.col("payment_type").isin(list(job.payments))), job.bid_keys, job.bid_once)
+    return counted.join(campaigns.select("campaign_id"), "campaign_id", "left_semi")
 
 
 def _responses_for(job: HourlyJob, responses: DataFrame) -> DataFrame:
@@ -144,11 +153,13 @@ def hourly_aggregate(
     if "size" in job.keys:
         wanted = wanted.withColumn("size", size_area())
     wanted = wanted.select("auction_id_64", "dh", *[k for k in job.keys if k not in job.bid_keys])
-    matched = attribute(
-        wanted,
-        count_bids(_bids_for(job, in_hours(bids, hours), campaigns), job.bid_keys, job.bid_once),
-        count_responses(_responses_for(job, responses), job.window_hours, hours, dedup_responses),
+    counted = with_responses(
+        _counted_bids(job, in_hours(bids, hours), campaigns),
+        count_responses(_responses_for(job, responses), job.window_hours, hours),
+        job.window_hours,
+        dedup_responses,
     )
+    matched = attribute(wanted, counted)
     return matched.groupBy("dh", *job.keys).agg(
         attributed_rows(), attributed_responses(job.measure, job.zero_fill)
     )
@@ -171,11 +182,12 @@ def four_way_aggregate(
         .where(reduce(lambda a, b: a | b, filters.values()))
         .select("auction_id_64", "dh", *all_keys, targets.alias("targets"))
     )
-    matched = attribute(
-        wanted,
+    counted = with_responses(
         count_bids(in_hours(bids, hours).where(bid_filter(ALL_PAYMENTS)), once=True),
         count_responses(clicks, CLICK_WINDOW, hours),
-    ).withColumn("target", F.explode_outer("targets"))
+        CLICK_WINDOW,
+    )
+    matched = attribute(wanted, counted).withColumn("target", F.explode_outer("targets"))
 
     def own(key: str) -> Column:
         users = [t for t in FOUR_WAY if key in JOBS[t].keys]
@@ -240,33 +252,47 @@ def tree_campaign_imps(
 ) -> DataFrame:
     """Every impression bought by the campaigns, with the pixels fired up to ``end_hour``.
 
-    All columns of ``imps`` are kept. Repeated bids and pixels of an auction are
-    joined as one counted row; with ``counted`` the result stays that way, with
-    the number of equal rows in ``copies``, otherwise they are written out last.
+    All columns of ``imps`` are kept. Repeated bids and fires of a pixel are one
+    counted row; with ``counted`` the result stays that way, with the number of
+    equal rows in ``copies``, otherwise they are written out last. Bids and fires
+    are counted and joined to each other first, so the wide log is shuffled once.
     """
     chosen = campaigns.select("campaign_id")
     bid_columns = ["campaign_id", *[c for c in ("targeted_segments",) if c in bids.columns]]
-    bought = (
-        in_hours(bids, hours)
-        .join(chosen, "campaign_id", "left_semi")
-        .groupBy("auction_id_64", "dh", *bid_columns)
-        .agg(F.count(F.lit(1)).alias("n_bids"))
-    )
+    bought = count_bids(in_hours(bids, hours), bid_columns).join(chosen, "campaign_id", "left_semi")
     fired = (
         pixels.where(F.col("dh") <= end_hour)
+        .groupBy(F.col("auction_id_64").alias("fired_id"), "pixel_id", "campaign_id", F.col("dh").alias("pixel_dh"))
+        .agg(F.count(F.lit(1)).alias("n"))
         .join(chosen, "campaign_id", "left_semi")
-        .groupBy("auction_id_64", "pixel_id", F.col("dh").alias("pixel_dh"))
-        .agg(F.count(F.lit(1)).alias("n_fires"))
+        .drop("campaign_id")
     )
-    wide = in_hours(imps, hours).join(bought, ["auction_id_64", "dh"], "inner")
-    in_time = (wide["auction_id_64"] == fired["auction_id_64"]) & (fired["pixel_dh"] >= wide["dh"])
-    copies = F.col("n_bids") * F.coalesce("n_fires", F.lit(1))
-    matched = wide.join(fired, in_time, "left").select(
-        *[wide[c] for c in imps.columns], *bid_columns, "pixel_id", copies.alias("copies")
+    in_time = (F.col("auction_id_64") == F.col("fired_id")) & (F.col("pixel_dh") >= F.col("dh"))
+    pairs = (
+        bought.join(fired, in_time, "left")
+        .groupBy(*AUCTION, *bid_columns, "n_bids", "pixel_id")
+        .agg((F.col("n_bids") * F.coalesce(F.sum("n"), F.lit(1))).alias("copies"))
+        .drop("n_bids")
+    )
+    spread = F.xxhash64(*AUCTION)  # a shuffle of its own, which can be split where an auction is hot
+    matched = (
+        in_hours(imps, hours)
+        .withColumn("pair_key", spread)
+        .join(pairs.withColumn("pair_key", spread), ["pair_key", *AUCTION], "inner")
+        .select(*imps.columns, *bid_columns, "pixel_id", "copies")
+    )
+    return matched if counted else _written_out(matched, "copies")
+
+
+def _written_out(df: DataFrame, copies: str, block: int = COPY_BLOCK) -> DataFrame:
+    """Every row as often as ``copies`` says, by way of blocks, so that no row holds all its copies in one array."""
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(copies) - 1) / block))
+    of_block = F.least(F.lit(block).cast("bigint"), F.col(copies) - F.col("__block") * block)
+    return (
+        df.withColumn("__block", F.explode(blocks))
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), of_block)))
+        .drop(copies, "__block", "__copy")
     )
-    if counted:
-        return matched
-    return matched.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
 
 
 def day_rollup(hourly: DataFrame, keys: Sequence[str], measure: str = "clicks") -> DataFrame:

@@ -2,10 +2,12 @@
 
 import itertools
 import random
+import re
 from collections import defaultdict
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from auctionlens.functions.timeparts import add_hours
 from auctionlens.operators import hourly
@@ -197,6 +199,73 @@ def test_tree_campaign_rows(spark):
     assert [(r["auction_id_64"], r["campaign_id"], r["pixel_id"]) for r in got.collect()] == [(1, 3, 50)]
 
 
+def test_a_million_copies_are_written_in_blocks(spark):
+    imps = spark.createDataFrame([imp(1), imp(2)], IMP)
+    many = spark.range(1000).selectExpr("CAST(1 AS BIGINT) AS auction_id_64", f"'{H[1]}' AS dh", "3 AS campaign_id")
+    bids = many.withColumn("payment_type", F.lit(0)).unionByName(spark.createDataFrame([(2, H[1], 0, 3)], BID))
+    pixels = many.withColumn("pixel_id", F.lit(50))
+    chosen = spark.createDataFrame([(3,)], "campaign_id int")
+    got = hourly.tree_campaign_imps(imps, bids, pixels, chosen, H[4])
+    counts = {(r["auction_id_64"], r["pixel_id"]): r["count"] for r in got.groupBy("auction_id_64", "pixel_id").count().collect()}
+    assert counts == {(1, 50): 1_000_000, (2, None): 1}
+
+
+def test_hot_campaign_is_split_over_tasks(spark, conf, tmp_path):
+    """Bids are counted before they meet a campaign list that is too long to broadcast."""
+    conf(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="1KB",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="4KB",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
+        spark__sql__shuffle__partitions="16",
+        spark__sql__adaptive__coalescePartitions__enabled="false",
+    )
+    # Every third bid is of campaign 1.
+    bids = spark.range(12000).selectExpr(
+        "id AS auction_id_64", f"'{H[1]}' AS dh", "0 AS payment_type",
+        "CAST(CASE WHEN id % 3 = 0 THEN 1 ELSE 2 + id % 500 END AS INT) AS campaign_id",
+    )
+    bids.union(bids.where("auction_id_64 < 50")).repartition(12).write.parquet(str(tmp_path / "bids"))
+    imps = spark.createDataFrame([imp(a) for a in range(0, 600)], IMP)
+    chosen = spark.createDataFrame([(c,) for c in range(1, 400)], "campaign_id int")
+    df = hourly.hourly_aggregate(
+        "agg_campaign_clicks", imps, spark.read.parquet(str(tmp_path / "bids")),
+        spark.createDataFrame([(0, H[1]), (0, H[2])], "auction_id_64 bigint, dh string"), chosen,
+    )
+    total = {r["campaign_id"]: r["imps"] for r in df.groupBy("campaign_id").agg(F.sum("imps").alias("imps")).collect()}
+    assert total[1] == 200 + 17 + 2  # twice the bids up to 50, and two clicks on both bids of auction 0
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin\(skew=true\) \[campaign_id", text)
+
+
+@pytest.mark.parametrize("name", ["agg_display_rtb", "agg_conversions_seller"])
+def test_responses_are_not_multiplied_by_hours(spark, name):
+    schema = "auction_id_64 bigint, dh string, post_click_conv int"
+    df = hourly.hourly_aggregate(
+        name, spark.createDataFrame([], IMP), spark.createDataFrame([], BID), spark.createDataFrame([], schema)
+    )
+    assert "explode" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tree_rows_shuffle_the_wide_log_once(spark, conf, tmp_path):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false")
+    spark.createDataFrame([imp(1)], IMP).write.parquet(str(tmp_path / "imps"))
+    bids = spark.createDataFrame([(1, H[1], 0, 3)], BID)
+    pixels = spark.createDataFrame([(1, H[1], 3, 50)], "auction_id_64 bigint, dh string, campaign_id int, pixel_id int")
+    chosen = spark.createDataFrame([(3,)], "campaign_id int")
+    df = hourly.tree_campaign_imps(spark.read.parquet(str(tmp_path / "imps")), bids, pixels, chosen, H[4])
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    indent = lambda line: re.search(r"[A-Z*]", line).start()
+    scan = next(i for i, line in enumerate(lines) if "FileScan parquet" in line)
+    above, depth = 0, indent(lines[scan])
+    for line in reversed(lines[:scan]):
+        if indent(line) < depth:
+            depth = indent(line)
+            above += "Exchange" in line
+    assert above == 1
+
+
 def test_day_rollup_drops_null_keys_and_fills_zero(spark):
     hours = spark.createDataFrame(
         [("2024-01-01 00", "a", 2, None), ("2024-01-01 05", "a", 3, None), ("2024-01-01 05", "b", 1, 1),

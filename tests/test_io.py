@@ -174,3 +174,21 @@ def test_incremental_load(spark, tmp_path):
         loaded = readers.read_hourly(spark, path, HOURLY_TABLES["agg_social"])
         sinks.write_hours(backfill.incremental_rows(source, loaded), path)
     assert readers.read_hourly(spark, path, HOURLY_TABLES["agg_social"]).count() == 2
+
+
+def test_hour_planning_prunes_every_log(spark, tmp_path):
+    names = ("imps", "bids", "clicks", "done")
+    for name in names:
+        spark.range(48).selectExpr("id AS auction_id_64", "format_string('2024-01-0%d %02d', 1 + CAST(id / 24 AS INT), id % 24) AS dh") \
+            .write.partitionBy("dh").parquet(str(tmp_path / name))
+    logs = [spark.read.schema("auction_id_64 bigint, dh string").parquet(str(tmp_path / n)) for n in names]
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plan = text(backfill.ready_hours(*logs, "2024-01-09 12"))
+    scans = re.findall(r"FileScan parquet .*", plan)
+    assert len(scans) == 4 and all("> 2024-01-01 12)" in s.split("PartitionFilters: ")[1].split("PushedFilters")[0] for s in scans)
+    assert not re.search("Join", plan)
+    assert "PartitionFilters: [isnotnull(dh" in text(backfill.retained_hours(logs[0], "2024-01-09 12", 8))
+    loaded = logs[3].where("dh <> '2024-01-02 05'")
+    load = backfill.incremental_rows(logs[0], loaded)
+    assert "PartitionFilters: [isnotnull(dh" in text(load) and "Join" not in text(load)
+    assert [r["auction_id_64"] for r in load.collect()] == [29]
