@@ -208,6 +208,15 @@ def test_confusion_cpa(spark):
     assert rows(grid) == [("definition", 0, 2, 0), ("definition", 1, 0, 1)]
 
 
+def test_first_decision_of_odd_values(spark):
+    hours = [(1, "2024-01-01 05", 2), (1, "2024-01-01 06", 1), (2, "2024-01-01 05", None), (2, "2024-01-01 06", 1),
+             (3, "2024-01-01 05", 1), (3, "2023-12-31 23", 1), (3, "2024-01-01 04", 0), (4, None, 1),
+             (5, "2024-01-01 05", 1), (5, "2024-01-01 05", 0), (6, "2024-01-01 05", -1)]
+    df = spark.createDataFrame(hours, "node int, ymdh string, is_passed int")
+    got = dict(df.groupBy("node").agg(confusion._first_decision()).collect())
+    assert got == {1: 0, 2: None, 3: 1, 4: None, 5: 0, 6: 0}
+
+
 def test_confusion_ctr(spark):
     goals = spark.createDataFrame([(1, 0.1)], "cg_id int, goal_threshold double")
     merged = spark.createDataFrame(
