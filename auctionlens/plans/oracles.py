@@ -101,6 +101,8 @@ _HOURLY: dict[str, str] = {
 }
 for _name, _body in _HOURLY.items():
     _sql(_name, "imps bids clicks conversions quick_stats categorizer", _body)
+# All auctions are of the one day.
+ORACLES["agg_conversions_day"] = ORACLES["agg_conversions_seller"]
 
 _TARGET_KEYS = (
     "application_id", "content_category_id", "device_id", "geo_country", "height", "operating_system",
@@ -757,6 +759,13 @@ WHERE lower(text) LIKE '%the%' OR lower(text) LIKE '%aux%' OR lower(text) LIKE '
 ORACLES["line_count"] = """SELECT 'tweets' AS file, CAST(count(*) AS BIGINT) AS lines FROM documents
 UNION ALL SELECT 'pages', CAST(count(*) AS BIGINT) FROM pages"""
 _sql("tweet_sentiment", "tweets lexicon", f"{_SCORES} SELECT tweet_id, sentiment FROM sentiments")
+_sql("tweet_sentiment_phrases", "tweets phrase_lexicon", r"""
+split AS (SELECT tweet_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM tweets),
+terms AS (SELECT tweet_id, unnest(w) AS term FROM split UNION ALL
+  SELECT tweet_id, unnest(list_transform(list_zip(w[1:len(w) - 1], w[2:]), lambda p: p[1] || ' ' || p[2]))
+  FROM split WHERE len(w) > 1),
+scored AS (SELECT tweet_id, CAST(sum(score) AS BIGINT) AS s FROM terms JOIN phrase_lexicon USING (term) GROUP BY tweet_id)
+SELECT t.tweet_id, coalesce(s.s, 0) AS sentiment FROM tweets t LEFT JOIN scored s ON s.tweet_id = t.tweet_id""")
 _sql("term_sentiment", "tweets lexicon", f"""
 {_SCORES}
 SELECT term, CAST(sum(sentiment) AS DOUBLE) / count(*) AS sentiment
@@ -770,6 +779,7 @@ _sql("happiest_state", "tweets lexicon", f"""
 {_SCORES}, {_STATES} SELECT * FROM states ORDER BY mean_sentiment DESC, state LIMIT 1""")
 _sql("top_hashtags", "tweet_hashtags", """
 SELECT hashtag, CAST(count(*) AS BIGINT) AS n FROM tweet_hashtags GROUP BY hashtag ORDER BY n DESC, hashtag LIMIT 10""")
+ORACLES["top_hashtag_entities"] = ORACLES["top_hashtags"]
 
 
 def all_oracles() -> dict[str, str]:

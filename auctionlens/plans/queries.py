@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from auctionlens.functions.predicates import in_size_bucket, size_area, size_bucket
+from auctionlens.functions.timeparts import hours_of_day
 from auctionlens.operators import (
     backfill, buckets, campaign_meta, clog, confusion, goals, hourly, impurity, lookups, pages, reporting, tweets,
 )
@@ -21,7 +22,7 @@ from auctionlens.sources.readers import parse_tweets
 AS_OF = "2001-12-01"
 LOOKBACK_DAYS = 3000
 START, END = "1995-01-01 00", "2002-01-01 00"
-AUCTION_AS_OF = "2024-01-02 00"
+AUCTION_DAY, AUCTION_AS_OF = "2024-01-01", "2024-01-02 00"
 TREE_END_HOUR = "2024-01-02 01"
 
 # Thresholds on the scale of the given tables.
@@ -83,6 +84,14 @@ for _name, (_stored, _keys) in hourly.EXPORTS.items():
     _query(_name)(lambda t, stored=_stored, keys=_keys: hourly.hourly_export(_hourly(stored, t), keys))
 
 
+@_query("agg_conversions_day")
+def _(t):
+    """One day, by the literal hour list of a production run."""
+    return hourly.hourly_aggregate(
+        "agg_conversions_seller", t["imps"], t["bids"], t["conversions"], hours=hours_of_day(AUCTION_DAY)
+    )
+
+
 @_query("agg_four_way")
 def _(t):
     return hourly.four_way_aggregate(t["imps"], t["bids"], t["clicks"])
@@ -492,6 +501,9 @@ def _tweet_lines(t: Catalog) -> DataFrame:
         "text",
         "lang",
         F.struct("screen_name").alias("user"),
+        F.struct(
+            F.array(F.struct(F.col("screen_name").alias("text")), F.struct(F.col("lang").alias("text"))).alias("hashtags")
+        ).alias("entities"),
     )
     return t["tweets"].select(F.to_json(fields).alias("value"))
 
@@ -516,6 +528,11 @@ def _(t):
     return tweets.tweet_sentiment(t["tweets"], t["lexicon"])
 
 
+@_query("tweet_sentiment_phrases")
+def _(t):
+    return tweets.tweet_sentiment(t["tweets"], t["phrase_lexicon"], max_words=2)
+
+
 @_query("term_sentiment")
 def _(t):
     return tweets.term_sentiment(t["tweets"], t["lexicon"])
@@ -539,3 +556,8 @@ def _(t):
 @_query("top_hashtags")
 def _(t):
     return tweets.top_hashtags(t["tweet_hashtags"])
+
+
+@_query("top_hashtag_entities")
+def _(t):
+    return tweets.top_hashtags(tweets.hashtag_entities(parse_tweets(_tweet_lines(t))))

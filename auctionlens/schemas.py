@@ -29,6 +29,11 @@ _CAMPAIGN = dict(
 
 # Stored hourly aggregates; ``dd`` and ``dh`` are the partition columns.
 HOURLY_TABLES: dict[str, T.StructType] = {
+    "agg_auction_features": _hourly(
+        operating_system="string", supply_type="int", content_category_id="int", site_domain="string",
+        creative_id="bigint", geo_country="string", width="int", height="int", campaign_id="int",
+        buyer_member_id="int",
+    ),
     "agg_display_rtb": _hourly(supply_type="int", **_SITE),
     "agg_display_os": _hourly(supply_type="int", operating_system="string", **_SITE),
     "agg_social": _hourly(operating_system="string", width="int", height="int", geo_country="string"),

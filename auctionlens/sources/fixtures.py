@@ -194,6 +194,9 @@ SELECT doc_id AS tweet_id, source AS hashtag FROM documents UNION ALL SELECT doc
     "lexicon": """
 SELECT * FROM (VALUES ('the', 1), ('and', -1), ('for', 2), ('is', -2), ('les', 3), ('aux', -3), ('der', 1), ('el', -4))
   AS t(term, score)""",
+    "phrase_lexicon": """
+SELECT term, score FROM lexicon UNION ALL
+SELECT * FROM (VALUES ('the and', 2), ('the the', -3), ('de de', 4), ('and and', -2)) AS p(term, score)""",
 }
 
 

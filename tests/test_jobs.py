@@ -50,7 +50,10 @@ def test_backfill_run(spark, tables, tmp_path):
     path = str(tmp_path / "features")
     hours = jobs.aggregate_ready_hours(tables, "2024-01-02 00", path)
     assert len(hours) == 18 and hours[0] == "2024-01-01 06"
-    assert spark.read.parquet(path).select("dd").distinct().count() == 1
+    schema = HOURLY_TABLES["agg_auction_features"]
+    assert readers.read_hourly(spark, path, schema).select("dd").distinct().count() == 1
+    found = hourly.hourly_aggregate("agg_auction_features", tables["imps"], tables["bids"], tables["clicks"]).schema
+    assert {f.name: f.dataType for f in found} == {f.name: f.dataType for f in schema if f.name != "dd"}
     assert jobs.aggregate_ready_hours(tables, "2025-01-01", str(tmp_path / "none")) == []
 
 
