@@ -88,6 +88,18 @@ def test_ratios_divide_by_zero_to_null(spark):
     assert (row["flat_cpm_imps"], row["learn_rpm"]) == (0, 500.0)
 
 
+def test_learn_share_is_read_by_time_then_size(spark):
+    report = spark.createDataFrame(
+        [("2024-01-02", "2024-01-02 00", 9), ("2024-01-01", "2024-01-01 07", 3), ("2024-01-01", "2024-01-01 02", 5),
+         ("2024-01-01", "2024-01-01 02", 8)],
+        "ymd string, ymdh string, imps bigint",
+    )
+    assert [r["imps"] for r in reporting.sorted_learn_share(report).collect()] == [8, 5, 3, 9]
+    assert [r["imps"] for r in reporting.sorted_learn_share(report, hourly=True).collect()] == [8, 5, 3, 9]
+    late = report.where("imps <> 8").union(report.selectExpr("ymd", "'2024-01-01 01'", "1L"))
+    assert [r["imps"] for r in reporting.sorted_learn_share(late, hourly=True).collect()] == [1, 1, 1, 1, 5, 3, 9]
+
+
 def test_country_default_and_case(spark):
     country = spark.createDataFrame([(1, "US", 4), (2, "US", 5), (3, "FR", 6)], "id int, code string, country_group_id int")
     df = spark.createDataFrame([("US",), ("us",), ("XX",), (None,)], "geo_country string")
