@@ -31,10 +31,15 @@ def _plain_ascii(text: pd.Series) -> pd.Series:
     return text.map(to_plain_ascii, na_action="ignore")
 
 
+def one_line(plain: Column) -> Column:
+    """Plain text without quotes and percent signs, with single spaces."""
+    spaced = F.translate(plain, "'\"\n%", "    ")
+    return F.regexp_replace(F.regexp_replace(spaced, r"^\s+|\s+$", ""), r"\s+", " ")
+
+
 def clean_text(text: Column) -> Column:
     """``tidy`` as a Column; only the decomposition runs in Python, in Arrow batches."""
-    spaced = F.translate(_plain_ascii(text), "'\"\n%", "    ")
-    return F.regexp_replace(F.regexp_replace(spaced, r"^\s+|\s+$", ""), r"\s+", " ")
+    return one_line(_plain_ascii(text))
 
 
 def _phrases(words: Column, n: int) -> Column:

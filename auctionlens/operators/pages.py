@@ -1,121 +1,126 @@
-"""Features of stored web pages."""
+"""Features of stored web pages.
+
+The markup is taken apart with column functions, for which a page is a plain
+string; Python decodes character references and accents alone, for all texts of a
+page in one Arrow pass.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from collections.abc import Callable
+from html import unescape
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
-from auctionlens.functions.text import tidy
+from auctionlens.functions.text import one_line, to_plain_ascii
 from auctionlens.schemas import PAGE_FEATURES
 
-# Elements whose start ends an open paragraph.
-_BLOCKS = frozenset(
+#: What the reader never sees: comments, scripts and styles; one that is not closed lasts to the end.
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+#: The attributes of a tag. A ">" between quotes does not end it; the loop gives nothing back, so it needs no stack.
+_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+(?:>|\z)"""
+ANY_TAG = rf"(?is)</?[a-z]{_ATTRIBUTES}|<![^>]*+(?:>|\z)"
+#: Elements whose start or end closes an open paragraph.
+BLOCKS = (
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre "
-    "section table ul".split()
-)
-
-
-class _PageReader(HTMLParser):
-    """Collects title, metas, link texts, image texts and paragraphs of one page."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.title: str | None = None
-        self.description = ""
-        self.keywords: list[str] = []
-        self.links: list[str] = []
-        self.images: list[str] = []
-        self.paragraphs: list[str] = []
-        self._open: dict[str, list[str]] = {}
-        self._silent = False
-
-    def _finish(self, tag: str) -> None:
-        if tag not in self._open:
-            return
-        text = "".join(self._open.pop(tag))
-        if tag == "title":
-            self.title = text if self.title is None else self.title
-        elif tag == "p":
-            self.paragraphs.append(text)
-        else:
-            self.links.append(text)
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _BLOCKS:
-            self._finish("p")
-        if tag in ("script", "style"):
-            self._silent = True
-        elif tag in ("a", "p", "title"):
-            self._finish(tag)
-            self._open[tag] = []
-        elif tag == "img":
-            self.images.extend(v for k, v in attrs if k == "alt" and v)
-        elif tag == "meta":
-            self._meta(dict(attrs))
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self._silent = False
-        elif tag in _BLOCKS and tag != "p":
-            self._finish("p")
-        else:
-            self._finish(tag)
-
-    def handle_data(self, data):
-        if not self._silent:
-            for text in self._open.values():
-                text.append(data)
-
-    def _meta(self, attrs: dict) -> None:
-        name, content = (attrs.get("name") or "").lower(), attrs.get("content")
-        if content is None:
-            return
-        if name.startswith("descr"):
-            self.description = content
-        if name.startswith("keywords"):
-            self.keywords = [word.strip(",") for word in content.split()]
-
-    def close(self):
-        super().close()
-        for tag in list(self._open):
-            self._finish(tag)
-
-
-def _named(texts: list[str]) -> list[str]:
-    """Texts that are neither empty nor a bare number, tidied."""
-    stripped = (t.strip() for t in texts)
-    return [tidy(t) for t in stripped if t and not t.isdigit()]
-
-
-def read_page(html: str) -> dict:
-    reader = _PageReader()
-    reader.feed(html)
-    reader.close()
-    return {
-        "title": tidy(reader.title or ""),
-        "meta_description": tidy(reader.description),
-        "meta_keywords": reader.keywords,
-        "ref_titles": _named(reader.links),
-        "img_alt_titles": _named(reader.images),
-        "content": [tidy(p) for p in reader.paragraphs],
-    }
-
-
-def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        features = pd.DataFrame([read_page(h) for h in batch["html"]], columns=PAGE_FEATURES.fieldNames()[2:])
-        yield pd.concat([batch[["page_id", "domain"]].reset_index(drop=True), features], axis=1)
+    "section table ul"
+).split()
+
+
+def start_tag(name: str) -> str:
+    return rf"(?is)<{name}(?:[\s/]{_ATTRIBUTES}|>|\z)"
+
+
+def attribute(name: str) -> str:
+    """Group 1 is the value, with its quotes."""
+    return rf"""(?i)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def rest_after(names: list[str], slash: str = "/") -> str:
+    """From an end tag (with ``/?`` also a start tag) of one of the names on."""
+    return rf"(?is)<{slash}(?:{'|'.join(names)})\b.*"
+
+
+def _texts(readable: Callable[[str], str | None]) -> Callable[[Column], Column]:
+    """A function of array columns that gives every text's readable form, without those that have none."""
+
+    @pandas_udf(ArrayType(StringType()))
+    def convert(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda texts: [t for t in map(readable, texts) if t is not None])
+
+    return convert
+
+
+def _named(text: str) -> str | None:
+    text = unescape(text).strip()
+    return to_plain_ascii(text) if text and not text.isdigit() else None
+
+
+_decoded = _texts(unescape)
+_plain = _texts(lambda text: to_plain_ascii(unescape(text)))
+_plain_named = _texts(_named)
+
+
+def _elements(page: Column, name: str, end: str) -> Column:
+    """The text of every element of a name, up to ``end`` or to the next such element."""
+    pieces = F.split(page, start_tag(name))
+    return F.transform(
+        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
+        lambda x: F.regexp_replace(F.regexp_replace(x, end, ""), ANY_TAG, ""),
+    )
+
+
+def _values(tags: Column, name: str) -> Column:
+    return F.transform(tags, lambda tag: F.regexp_extract(tag, attribute(name), 1))
+
+
+def _unquoted(value: Column) -> Column:
+    return F.regexp_replace(value, r"""^["']|["']$""", "")
+
+
+def _meta(metas: Column, prefix: str) -> Column:
+    """The content of the last meta element that has one and whose name begins so; an array of one or none."""
+    pairs = F.filter(
+        F.arrays_zip(_values(metas, "name").alias("name"), _values(metas, "content").alias("content")),
+        lambda m: F.lower(_unquoted(m["name"])).startswith(prefix) & (m["content"] != ""),
+    )
+    return F.transform(F.slice(F.reverse(pairs), 1, 1), lambda m: _unquoted(m["content"]))
 
 
 def page_features(pages: DataFrame) -> DataFrame:
     """One record per page (``page_id``, ``url``, ``html``)."""
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?([^/?#:]+)", 1))
-    stored = pages.where("html IS NOT NULL").select("page_id", host.alias("domain"), "html")
-    return stored.mapInPandas(_read_batches, PAGE_FEATURES)
+    seen = pages.where("html IS NOT NULL").select(
+        "page_id", host.alias("domain"), F.regexp_replace("html", UNSEEN, "").alias("page")
+    )
+    page = F.col("page")
+    metas = F.regexp_extract_all("page", F.lit(start_tag("meta")), 0)
+    alts = _values(F.regexp_extract_all("page", F.lit(start_tag("img")), 0), "alt")
+    parts = seen.select(
+        "page_id",
+        "domain",
+        _plain(F.slice(_elements(page, "title", rest_after(["title"])), 1, 1)).alias("title"),
+        _plain(_meta(metas, "descr")).alias("meta_description"),
+        _decoded(_meta(metas, "keywords")).alias("meta_keywords"),
+        _plain_named(_elements(page, "a", rest_after(["a"]))).alias("ref_titles"),
+        _plain_named(F.transform(alts, _unquoted)).alias("img_alt_titles"),
+        _plain(_elements(page, "p", rest_after(BLOCKS, "/?"))).alias("content"),
+    )
+    first = lambda c: one_line(F.coalesce(F.try_element_at(c, F.lit(1)), F.lit("")))
+    words = F.flatten(F.transform("meta_keywords", lambda k: F.split(k, r"\s+")))
+    words = F.transform(F.array_remove(words, ""), lambda w: F.regexp_replace(w, "^,+|,+$", ""))
+    return parts.select(
+        "page_id",
+        "domain",
+        first("title").alias("title"),
+        first("meta_description").alias("meta_description"),
+        words.alias("meta_keywords"),
+        *(F.transform(c, one_line).alias(c) for c in ("ref_titles", "img_alt_titles", "content")),
+    ).select(PAGE_FEATURES.fieldNames())
 
 
 def page_anchor_counts(features: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ The statements join row by row and use no shortcut of the Spark plans.
 from __future__ import annotations
 
 from auctionlens.constants import APP_SIZE_KEPT_MEMBER, EXCLUDED_MEMBERS
+from auctionlens.operators import pages
 from auctionlens.plans import queries as q
 from auctionlens.sources.fixtures import with_list
 
@@ -756,6 +757,71 @@ SELECT CAST(tweet_id AS VARCHAR) AS created_at, text, screen_name FROM tweets WH
 _sql("tweet_track", "tweets", """
 SELECT tweet_id, lang FROM tweets
 WHERE lower(text) LIKE '%the%' OR lower(text) LIKE '%aux%' OR lower(text) LIKE '%der%'""")
+# Markup is taken apart by the patterns of the job, without the possessive forms that RE2 lacks. Of the references and the
+# letters, those that the test pages hold are decoded.
+
+
+def _pattern(java: str) -> str:
+    return "'" + java.replace("++", "+").replace("*+", "*").replace("'", "''") + "'"
+
+
+def _tidied(x: str, raw: bool = False) -> str:
+    for reference, letter in (("&copy;?", "©"), ("&middot;?", "·"), ("&quot;?", '"'), ("&amp;?", "&")):
+        x = f"regexp_replace({x}, '{reference}', '{letter}', 'g')"
+    if raw:
+        return x
+    plain = f"regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g')"
+    return f"trim(regexp_replace(regexp_replace({plain}, '[''\"%]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _elements(name: str, end: str) -> str:
+    cut = f"regexp_replace(x, {_pattern(end)}, '')"
+    return f"""list_transform(regexp_split_to_array(page, {_pattern(pages.start_tag(name))})[2:],
+    lambda x: regexp_replace({cut}, {_pattern(pages.ANY_TAG)}, '', 'g'))"""
+
+
+def _attribute(tag: str, name: str) -> str:
+    return f"regexp_extract({tag}, {_pattern(pages.attribute(name))}, 1)"
+
+
+def _unquoted(x: str) -> str:
+    return f"""regexp_replace({x}, '^["'']|["'']$', '', 'g')"""
+
+
+def _last_meta(prefix: str) -> str:
+    return f"""list_filter(metas, lambda m: {_attribute('m', 'content')} <> ''
+      AND starts_with(lower({_unquoted(_attribute('m', 'name'))}), '{prefix}'))[-1]"""
+
+
+def _lines(texts: str) -> str:
+    return f"coalesce(array_to_string({texts}, chr(10)), '')"
+
+
+_NAMED = f"lambda t: trim({_tidied('t', raw=True)}, ' ' || chr(9) || chr(10) || chr(13)) <> '' AND NOT regexp_full_match(trim(t), '[0-9]+')"
+_FEATURES = rf"""seen AS (
+  SELECT page_id, lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?([^/?#:]+)', 1)) AS domain,
+    regexp_replace(html, {_pattern(pages.UNSEEN)}, '', 'g') AS page FROM pages WHERE html IS NOT NULL),
+parts AS (
+  SELECT *, regexp_extract_all(page, {_pattern(pages.start_tag("meta"))}) AS metas,
+    list_transform(regexp_extract_all(page, {_pattern(pages.start_tag("img"))}), lambda x: {_unquoted(_attribute("x", "alt"))}) AS alts,
+    {_elements("a", pages.rest_after(["a"]))} AS links,
+    {_elements("title", pages.rest_after(["title"]))} AS titles,
+    {_elements("p", pages.rest_after(pages.BLOCKS, "/?"))} AS paragraphs FROM seen),
+features AS (
+  SELECT page_id, domain, coalesce({_tidied("titles[1]")}, '') AS title,
+    coalesce({_tidied(_unquoted(_attribute(_last_meta("descr"), "content")))}, '') AS meta_description,
+    list_transform(list_filter(regexp_split_to_array({_tidied(_unquoted(_attribute(_last_meta("keywords"), "content")), raw=True)}, '\s+'),
+      lambda w: w <> ''), lambda w: trim(w, ',')) AS meta_keywords,
+    list_transform(list_filter(links, {_NAMED}), lambda t: {_tidied("t")}) AS ref_titles,
+    list_transform(list_filter(alts, {_NAMED}), lambda t: {_tidied("t")}) AS img_alt_titles,
+    list_transform(paragraphs, lambda t: {_tidied("t")}) AS content FROM parts)"""
+ORACLES["page_features"] = f"""WITH {_FEATURES}
+SELECT page_id, domain, title, meta_description, {_lines("meta_keywords")} AS meta_keywords, {_lines("ref_titles")} AS ref_titles,
+  {_lines("img_alt_titles")} AS img_alt_titles, {_lines("content")} AS content FROM features"""
+ORACLES["page_anchor_counts"] = f"""WITH {_FEATURES},
+terms AS (SELECT domain, unnest(flatten(list_transform(list_prepend(title, ref_titles), lambda t: string_split(lower(t), ' ')))) AS term
+  FROM features)
+SELECT domain, term, CAST(count(*) AS BIGINT) AS n FROM terms WHERE term <> '' GROUP BY domain, term"""
 ORACLES["line_count"] = """SELECT 'tweets' AS file, CAST(count(*) AS BIGINT) AS lines FROM documents
 UNION ALL SELECT 'pages', CAST(count(*) AS BIGINT) FROM pages"""
 _sql("tweet_sentiment", "tweets lexicon", f"{_SCORES} SELECT tweet_id, sentiment FROM sentiments")

@@ -485,7 +485,10 @@ def _(t):
 
 @_query("page_features")
 def _(t):
-    return pages.page_features(t["raw_pages"])
+    """The lists one entry a line; no entry holds a line feed."""
+    record = pages.page_features(t["raw_pages"])
+    lists = [c for c, kind in record.dtypes if kind.startswith("array")]
+    return record.withColumns({c: F.array_join(c, "\n") for c in lists})
 
 
 @_query("page_anchor_counts")

@@ -37,8 +37,13 @@ PAGE = """<html><head><title>It's 100% &amp; more</title>
 <p>one<p>two <i>words</i><div>outside</div><p>three</p></body></html>"""
 
 
-def test_page_record():
-    page = pages.read_page(PAGE)
+def record(spark, html):
+    df = spark.createDataFrame([(1, "http://a.example", html)], "page_id bigint, url string, html string")
+    return pages.page_features(df).drop("page_id", "domain").first().asDict()
+
+
+def test_page_record(spark):
+    page = record(spark, PAGE)
     assert page == {
         "title": "It s 100 & more",
         "meta_description": "Second one",
@@ -47,10 +52,25 @@ def test_page_record():
         "img_alt_titles": ["Logo"],
         "content": ["one", "two words", "three"],
     }
-    empty = pages.read_page("")
+    empty = record(spark, "")
     assert empty["title"] == "" and empty["content"] == []
 
 
+def test_markup_that_ends_early(spark):
+    page = record(spark, "<p title='a > b'>1 < 2 &lt; 3 &copy; &am<a href=\"x\">Zürich&nbsp;</a><article><p>end<!-- <p>no")
+    assert page["content"] == ["1 < 2 < 3 &amZurich", "end"] and page["ref_titles"] == ["Zurich"]
+    assert record(spark, "<title>a</title><p>b<script>c")["content"] == ["b"]
+    assert record(spark, "<a>&nbsp;</a><a> 7 </a><img alt='x > y'><img alt=z><p")["img_alt_titles"] == ["x > y", "z"]
+    assert record(spark, "<meta name=keywords content=''><meta name=description content='&eacute;t&eacute; 5%'>") == {
+        "title": "", "meta_description": "ete 5", "meta_keywords": [], "ref_titles": [], "img_alt_titles": [], "content": [],
+    }
+
+
+def test_a_tag_with_many_attributes_needs_no_stack(spark):
+    page = record(spark, "<img " + "a='b' " * 50_000 + " alt='far'>" + "<p>" + "<b x=\"y\">w </b>" * 50_000)
+    assert page["img_alt_titles"] == ["far"] and len(page["content"][0]) == 2 * 50_000 - 1
+
+
 def test_page_jobs(spark):
     df = spark.createDataFrame(
         [(1, "http://A.example/x?y", PAGE), (2, "a.example:80/z", "<title>home Home</title>"), (3, "b.example", None)],
