@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,8 +48,8 @@ IMPLIED = {
 }
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>"
-    r"|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)",
     re.DOTALL,
 )
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -63,11 +64,18 @@ SIBLING = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "skipped", "points", "chars", "linked")
+    """An element, with what holds for all it contains, so no step has to walk up a deep tree."""
 
-    def __init__(self, tag: str, parent: Node | None, skipped: bool):
-        self.tag, self.parent, self.skipped = tag, parent, skipped
+    __slots__ = ("tag", "parent", "depth", "block", "hidden", "in_link", "in_article", "points", "chars", "linked", "first")
+
+    def __init__(self, tag: str, parent: Node | None = None, skipped: bool = False):
+        self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
+        self.block = self if tag in BLOCKS or not parent else parent.block  # the innermost block element
+        self.hidden = skipped or bool(parent and parent.hidden)
+        self.in_link = tag == "a" or bool(parent and parent.in_link)
+        self.in_article = tag == "article" or bool(parent and parent.in_article)
         self.points, self.chars, self.linked = 0.0, 0, 0
+        self.first = sys.maxsize  # number of its first block of text
 
     def score(self) -> float:
         density = self.linked / self.chars if self.chars else 0.0
@@ -87,40 +95,40 @@ def _marked_aside(attrs: str) -> bool:
     return False
 
 
-def blocks_of(page: str) -> list[tuple[Node, str, int]]:
-    """(innermost block element, text, characters in links) of every block of text that the reader may see."""
-    root = Node("#page", None, False)
-    stack, found, parts, links = [root], [], [], 0
-    place, skipping = 0, 0  # open elements that are skipped
+def blocks_of(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """All elements, parents first, and (innermost block element, text, characters in links) of every visible block."""
+    root = Node("#page")
+    nodes, stack, found, parts, links = [root], [root], [], [], 0
+    opened: dict[str, list[int]] = {}  # places in the stack by tag
+    place = 0
 
     def flush() -> None:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            node = next(n for n in reversed(stack) if n.tag in BLOCKS or n is root)
-            found.append((node, text, min(links, len(text))))
+            found.append((stack[-1].block, text, min(links, len(text))))
         parts.clear()
         links = 0
 
+    def nearest(tags: Iterable[str]) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
     def close(depth: int) -> None:
-        nonlocal skipping
-        for node in stack[depth:]:
-            if node.tag in BLOCKS:
-                flush()
-                break
-        skipping -= sum(n.skipped for n in stack[depth:])
-        del stack[depth:]
+        if stack[-1].block.depth >= depth:
+            flush()
+        while len(stack) > depth:
+            opened[stack.pop().tag].pop()
 
     def add(raw: str) -> None:
         nonlocal links
         text = html.unescape(raw)
         parts.append(text)
-        if any(n.tag == "a" for n in stack):
+        if stack[-1].in_link:
             links += len(" ".join(text.split()))
 
     while True:
         m = _TOKEN.search(page, place)
-        if not skipping:
+        if not stack[-1].hidden:
             add(page[place : m.start() if m else len(page)])
         if not m:
             break
@@ -129,7 +137,7 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
         if not tag:
             continue
         if m["end"]:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            at = nearest([tag])
             if at:
                 close(at)
             elif tag == "br" or tag == "p":
@@ -137,24 +145,18 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
             continue
         if tag in IMPLIED:
             shut, limits = IMPLIED[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in shut:
-                    close(i)
-                    break
-                if stack[i].tag in limits:
-                    break
+            at = nearest(shut)
+            if at > nearest(limits):
+                close(at)
         if tag in BLOCKS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p" or stack[i].tag in HEADINGS and tag in HEADINGS:
-                    close(i)
-                    break
-                if stack[i].tag in BLOCKS:
-                    break
+            block = stack[-1].block
+            if block.tag == "p" or block.tag in HEADINGS and tag in HEADINGS:
+                close(block.depth)
             flush()
         if tag in VOID:
-            parts.append(" " if tag in ("br", "hr", "wbr") and not skipping and tag != "wbr" else "")
+            parts.append(" " if tag in ("br", "hr") and not stack[-1].hidden else "")
             continue
-        in_article = any(n.tag == "article" for n in stack)
+        in_article = stack[-1].in_article
         skipped = tag in SKIPPED or tag == "header" and not in_article
         skipped = skipped or tag not in ("html", "body", "article", "main") and _marked_aside(m["attrs"])
         skipped = skipped or tag == "article" and (in_article or "comment" in m["attrs"].lower()) and _marked_aside(m["attrs"])
@@ -162,17 +164,20 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, place)
             place = end.end() if end else len(page)
             continue
+        opened.setdefault(tag, []).append(len(stack))
         stack.append(Node(tag, stack[-1], skipped))
-        skipping += skipped
+        nodes.append(stack[-1])
     flush()
-    return found
+    return nodes, found
 
 
 def main_text(page: str | None) -> str:
     """The blocks of the article in page order, joined by line feeds; empty if the page has no text."""
-    blocks = blocks_of(page or "")
-    nodes: dict[int, Node] = {}
-    for node, text, linked in blocks:
+    nodes, blocks = blocks_of(page or "")
+    for i, (node, text, linked) in enumerate(blocks):
+        node.first = min(node.first, i)
+        node.chars += len(text)
+        node.linked += linked
         points = 0.0
         if node.tag not in HEADINGS and len(text) >= 25:
             density = linked / len(text)
@@ -181,14 +186,14 @@ def main_text(page: str | None) -> str:
         while up is not None and share > 0.05:
             up.points += points * share
             share, up = share / 2, up.parent
-        up = node
-        while up is not None:
-            nodes[id(up)] = up
-            up.chars += len(text)
-            up.linked += linked
-            up = up.parent
-    held = [n for n in nodes.values() if n.tag not in ("#page", "html", "p", "li", "pre", *HEADINGS)]
-    best = max(held, key=Node.score, default=None)
+    for n in reversed(nodes[1:]):
+        n.parent.chars += n.chars
+        n.parent.linked += n.linked
+        n.parent.first = min(n.parent.first, n.first)
+    nodes = [n for n in nodes if n.chars]
+    held = [n for n in nodes if n.tag not in ("#page", "html", "p", "li", "pre", *HEADINGS)]
+    # Of equal scores that whose text begins first; of those, the innermost.
+    best = max(held, key=lambda n: (n.score(), -n.first, n.depth), default=None)
     if best is None or best.score() <= 0:
         return "\n".join(text for _, text, linked in blocks if 2 * linked <= len(text))
     up = best
@@ -197,23 +202,19 @@ def main_text(page: str | None) -> str:
             best = up
         up = up.parent
     least = max(10.0, SIBLING * best.score())
-    kept = {id(best)}
-    for n in nodes.values():
-        if n.parent is best.parent and n is not best:
+    inside: set[int] = set()
+    for n in nodes:
+        if n is best:
+            kept = True
+        elif n.parent is best.parent:
             plain = n.tag == "p" and 4 * n.linked <= n.chars and n.chars >= 80
-            if plain or n.tag in ("article", "section", "div", "td") and n.score() - BASE.get(n.tag, 0.0) >= least:
-                kept.add(id(n))
-
-    def within(node: Node | None) -> bool:
-        while node is not None:
-            if id(node) in kept:
-                return True
-            if node.tag in ("ul", "ol", "table", "dl") and 3 * node.linked > 2 * node.chars:
-                return False  # a list of links
-            node = node.parent
-        return False
-
-    return "\n".join(text for node, text, _ in blocks if within(node))
+            kept = plain or n.tag in ("article", "section", "div", "td") and n.score() - BASE.get(n.tag, 0.0) >= least
+        else:
+            kept = False
+        of_links = n.tag in ("ul", "ol", "table", "dl") and 3 * n.linked > 2 * n.chars
+        if kept or id(n.parent) in inside and not of_links:
+            inside.add(id(n))
+    return "\n".join(text for node, text, _ in blocks if id(node) in inside)
 
 
 def extract(pages: DataFrame) -> DataFrame:
