@@ -53,6 +53,8 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Names of a container that say what it has beside the article, such as has-sidebar.
+_ABOUT = re.compile(r"(?<!\S)(?:no|has|with|without)-\S*", re.I)
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: Points: a paragraph's own, one for each comma, one for each so many characters up to a limit.
@@ -86,6 +88,7 @@ def _marked_aside(attrs: str) -> bool:
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id"):
+            value = _ABOUT.sub(" ", value)
             if ASIDE_WORDS.intersection(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
                 return True
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":

@@ -370,6 +370,21 @@ def test_main_text(page, want):
     assert html_extract.main_text(page) == want
 
 
+def test_deep_and_cut_pages():
+    deep = html_extract.main_text("<font>" * 20_000 + "<p>x, y</p>" + "<i>a</i></q>" * 20_000)
+    assert deep == "x, y\n" + "a" * 20_000
+    nested = "<div>text, and more text for a paragraph here" * 20_000
+    assert html_extract.main_text(nested).count("paragraph") == 20_000
+    assert html_extract.main_text("<p>A text, long enough to be a paragraph.</p>" + "<a x" * 100_000) == (
+        "A text, long enough to be a paragraph."
+    )
+
+
+def test_names_that_tell_of_a_sidebar_are_no_sidebar():
+    article = "<div class='page has-sidebar'><p>A text, long enough to be a paragraph.</p><div class='sidebar'>Links</div></div>"
+    assert html_extract.main_text(article) == "A text, long enough to be a paragraph."
+
+
 def test_pages_against_their_articles(spark):
     pages = spark.read.parquet(f"{ROOT}/pages.parquet")
     for r in html_extract.extract(pages).join(pages, "page_id").collect():
