@@ -4,8 +4,9 @@ Training counts words and word pairs. The filter holds a pair's or a word's coun
 as a level of a geometric scale: all levels up to its own are members, so the count
 is read back by probing level after level until one is missing. The filter is built
 in segments by hash, gathered into slabs of bounded size, and broadcast to the
-workers slab by slab. A text is scored by an interpolated pair model whose weights
-are learned on training documents that the pair counts leave out.
+workers slab by slab. A text is scored by an interpolated pair model. A training
+document is evaluated by the counts of all others: its own are taken off. So all
+training documents count, and all of them teach the weights.
 
 Beside it stands the exact unigram base: frequent words from a list of fixed
 length, all others by a join with the whole table of counts.
@@ -25,8 +26,6 @@ from pyspark.sql import functions as F
 from auctionlens.llm.common import byte_codes, mix, multipliers, text_chunks, word_hashes, word_spans, written
 
 FOLDS, HELD_OUT, ALPHA = 10, 0, 0.1
-#: Training documents with this crc32 modulo 100 set the weights; word pairs are not counted in them.
-TUNE_FOLDS, TUNE = 100, 1
 #: Words in the list of fixed length, which travels with the scoring function.
 HEAD = 65_536
 #: Text bytes for each segment of the filter, and bytes of a slab that is broadcast.
@@ -39,7 +38,7 @@ COUNTED, SCORED = 2_000_000, 500_000
 LEVELS = np.array([*range(6), *(round(6 * 1.25**i) for i in range(100))])
 
 _END, _BEGIN = multipliers(2, 51)
-_WORD, _FIRST, _SECOND, _LEVEL, _AGAIN = multipliers(5, 52)
+_WORD, _FIRST, _SECOND, _LEVEL, _AGAIN, _ROW = multipliers(6, 52)
 _KEY = np.uint64((1 << 48) - 1)
 
 
@@ -71,6 +70,12 @@ def word_keys(tokens: np.ndarray) -> np.ndarray:
     return mix(tokens * _WORD)
 
 
+def own_counts(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How often each key occurs in its own row."""
+    _, at, n = np.unique(mix(keys + of.astype(np.uint64) * _ROW), return_inverse=True, return_counts=True)
+    return n[at]
+
+
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
 
@@ -168,8 +173,7 @@ def pair_counts(docs: DataFrame, segments: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
         for batch in batches:
-            fold = _folded(batch)
-            learn = (fold % FOLDS != HELD_OUT) & (fold % TUNE_FOLDS != TUNE)
+            learn = _folded(batch) % FOLDS != HELD_OUT
             for first, tokens, size in streams(batch.column(2)):
                 use = np.repeat(learn[first : first + len(size)], size)
                 held.append(pair_keys(histories(tokens, size), tokens)[use])
@@ -181,7 +185,7 @@ def pair_counts(docs: DataFrame, segments: int) -> DataFrame:
 
 
 def segments_of(pairs: DataFrame, words: DataFrame, segments: int) -> DataFrame:
-    """(segment, filter): the filter bytes of all words, and of all pairs that occur more than once."""
+    """(segment, filter): the filter bytes of all words and all pairs with their counts."""
     unpacked = lambda column: np.pad(
         np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 6), ((0, 0), (0, 2))
     ).view("<u8").ravel()
@@ -198,10 +202,9 @@ def segments_of(pairs: DataFrame, words: DataFrame, segments: int) -> DataFrame:
         n = np.frombuffer(b"".join(left["n"].to_pylist()), "<u4").astype(np.int64)
         keys, at = np.unique(np.concatenate([once, often]), return_inverse=True)
         total = np.bincount(at, np.concatenate([np.ones(len(once)), n]), len(keys)).astype(np.int64)
-        pair, count = keys[total > 1], total[total > 1] - 1
         word = right["key"].to_numpy().view(np.uint64)
-        levels = np.concatenate([level_of(count), level_of(right["n"].to_numpy())])
-        bits = build_segment(np.concatenate([pair, word]), levels)
+        levels = np.concatenate([level_of(total), level_of(right["n"].to_numpy())])
+        bits = build_segment(np.concatenate([keys, word]), levels)
         return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([bits.tobytes()], pa.binary())})
 
     own = words.mapInArrow(keyed, "segment int, key bigint, n bigint")
@@ -247,46 +250,51 @@ class Model:
         self.filter, self.total, self.documents = filter_, total, documents
         self.weight = np.full(self.CLASSES, 0.1)
 
-    def evidence(self, tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word probability, pair frequency, class) of every token.
+    def evidence(self, tokens: np.ndarray, size: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word probability, pair frequency, class) of every token; of rows that were learned, without their own counts.
 
         The class depends on the history alone: how frequent it is, and whether the
         pair before was known. So the interpolation is a distribution.
         """
-        before = histories(tokens, size)
-        found = self.filter.levels(np.concatenate([word_keys(tokens), pair_keys(before, tokens)]))
-        word, pair = found[: len(tokens)], found[len(tokens) :]
-        first = np.cumsum(size) - size
+        words, pairs = word_keys(tokens), pair_keys(histories(tokens, size), tokens)
+        found = self.filter.levels(np.concatenate([words, pairs]))
+        word, pair = found[: len(tokens)], LEVELS[found[len(tokens) :]]
+        first, of, mine = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size), np.repeat(learned, size)
+        own = np.where(mine, own_counts(words, of), 0)
+        pair = np.maximum(pair - np.where(mine, own_counts(pairs, of), 0), 0)
         # A history's count, rounded up to the end of its level, is no less than what its pairs have.
-        upper = np.append(LEVELS[1:] - 1, LEVELS[-1] * 2)[np.append(0, word[:-1])]
-        upper[first] = self.documents
+        upper = np.append(LEVELS[1:] - 1, LEVELS[-1] * 2)[np.append(0, word[:-1])] - np.append(0, own[:-1])
+        upper[first] = self.documents - learned
         known = np.append(False, pair[:-1] > 0)
         known[first] = False
-        probability = (LEVELS[word] + ALPHA) / self.total
-        frequency = np.where(pair > 0, np.minimum((LEVELS[pair] + 1) / np.maximum(upper, 1), 1.0), 0.0)
+        probability = (np.maximum(LEVELS[word] - own, 0) + ALPHA) / (self.total - np.repeat(size * learned, size))
+        frequency = np.minimum(pair / np.maximum(upper, 1), 1.0)
         kind = np.minimum(np.log2(np.maximum(upper, 1)).astype(np.int64), self.CLASSES // 2 - 1) * 2 + known
         return probability, frequency, kind
 
-    def log10(self, tokens: np.ndarray, size: np.ndarray) -> np.ndarray:
-        probability, frequency, kind = self.evidence(tokens, size)
+    def log10(self, tokens: np.ndarray, size: np.ndarray, learned: np.ndarray) -> np.ndarray:
+        probability, frequency, kind = self.evidence(tokens, size, learned)
         weight = self.weight[kind]
         return np.log10(weight * frequency + (1.0 - weight) * probability)
 
     def learn(self, docs: DataFrame) -> None:
-        """Expectation maximisation of the weights over a histogram of likelihood ratios, of bounded size."""
+        """Expectation maximisation of the weights over a histogram of likelihood ratios, of bounded size.
+
+        Every training document is evaluated by the counts of all others.
+        """
         model = self
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for _, tokens, size in streams(batch.column(2)):
-                    probability, frequency, kind = model.evidence(tokens, size)
+                for _, tokens, size in _gathered(streams(batch.column(2))):
+                    probability, frequency, kind = model.evidence(tokens, size, np.ones(len(size), bool))
                     with np.errstate(divide="ignore"):
                         ratio = np.clip(np.round(4 * np.log2(frequency / probability)), -200, 200).astype(np.int64)
                     cell, n = np.unique(kind * 1000 + ratio + 500, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
 
-        tune = docs.where((F.col("fold") % TUNE_FOLDS == TUNE) & (F.col("fold") % FOLDS != HELD_OUT))
-        counted = tune.select("doc_id", "fold", "text").mapInArrow(rows, "cell bigint, n bigint")
+        training = docs.where(F.coalesce(F.col("fold") % FOLDS != HELD_OUT, F.lit(True)))
+        counted = training.select("doc_id", "fold", "text").mapInArrow(rows, "cell bigint, n bigint")
         cells = counted.groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most 64 x 401
         if not cells:
             return
@@ -304,7 +312,8 @@ class Model:
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
-    A null or empty text has the end alone. A null id is a training document;
+    The score of a training document is that of a model without it; its base_score
+    has its own words in the counts. A null or empty text has the end alone. A null id is a training document;
     repeated rows count, and are scored, each for itself. An empty table has an
     empty result. Other columns are not read.
     """
@@ -333,7 +342,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             for first, tokens, sizes in _gathered(streams(batch.column(2))):
                 n = len(sizes)
                 of = np.repeat(np.arange(n), sizes)
-                score = np.bincount(of, model.log10(tokens, sizes), n)
+                score = np.bincount(of, model.log10(tokens, sizes, folds[first : first + n] % FOLDS != HELD_OUT), n)
                 signed = tokens.view(np.int64)
                 at = np.minimum(np.searchsorted(head_word, signed), max(len(head_word) - 1, 0))
                 known = head_word[at] == signed if len(head_word) else np.zeros(len(tokens), bool)

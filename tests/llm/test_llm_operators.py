@@ -453,6 +453,20 @@ def test_model_beats_the_base_on_copies(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_a_single_training_twin_is_known(spark):
+    ids = {h: [i for i in range(3000) if (zlib.crc32(str(i).encode()) % 10 == 0) == h] for h in (True, False)}
+    tuned = next(i for i in ids[False] if zlib.crc32(str(i).encode()) % 100 == 1)
+    train = [i for i in ids[False] if i != tuned]
+    docs = [(train[i], prose(60, 100 + i // 2)) for i in range(40)]  # pairs of equal texts
+    docs += [(train[40 + i], prose(60, 200 + i)) for i in range(20)] + [(tuned, prose(60, 300))]
+    held = dict(zip(ids[True], (prose(60, 205), prose(60, 300), prose(60, 400))))  # two have one twin, one has none
+    df = spark.createDataFrame([*docs, *held.items()], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in lm_score.score_documents(df).collect()}
+    one, other, unseen = (got[i] for i in held)
+    assert min(one, other) > unseen + 20
+    assert abs(got[train[45]] - unseen) < 20 < got[train[0]] - unseen  # no training document knows itself, only its twin
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------
 
 
