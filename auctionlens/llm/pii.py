@@ -49,11 +49,20 @@ _OF_NAME = {name: key for key, names in GIVEN.items() for name in names}
 #: Fixed patterns of the kinds that begin with a digit, a sign or a word of their own.
 _DIGITS = re.compile(
     r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w.]*\d))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}"
+    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,5}|\(\d{3}\) ?\d{3}[ .-]\d{4}"
     r"|\d{3}[.-]\d{3}[.-]\d{4})(?!\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<!\w)\d(?:[ -]?\d){12,18}(?!\w))"
 )
+_ADDRESS = re.compile(r"(?:\d{1,3}\.){3}\d{1,3}(?![\w.]*\d)")
+#: Digits of a phone number, its country's included, by country; others have 8 to 15.
+_LENGTHS = {
+    "1": (11, 11), "7": (11, 11), "30": (12, 12), "31": (11, 11), "32": (10, 11), "33": (11, 11), "34": (11, 11),
+    "39": (9, 13), "41": (11, 11), "43": (9, 15), "44": (11, 12), "45": (10, 10), "47": (10, 10), "48": (11, 11),
+    "49": (9, 13), "351": (12, 12), "380": (12, 12), "420": (12, 12), "421": (12, 12),
+}
+#: How the digits of a card are grouped, where they are.
+_GROUPED = frozenset([(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)])
 _SECRET = re.compile(
     r"(?P<lead>\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)"
     r"(?P<secret>[A-Za-z0-9_\-/+.]{6,}(?<!\.))"
@@ -85,6 +94,33 @@ def _begins_word(text: str, at: int) -> bool:
     return at == 0 or not (text[at - 1].isalnum() or text[at - 1] == "_")
 
 
+def _end_of(text: str, m: re.Match) -> int | None:
+    """Where the number ends: its groups may be followed by those of another one. None if it is no number of its kind."""
+    kind = m.lastgroup
+    if kind not in ("phone", "card") or kind == "phone" and m[0][0] != "+":
+        return m.end()
+    groups = [(g.start(), g.end()) for g in re.compile(r"\d+").finditer(text, m.start(), m.end())]
+    address = next((a for a, _ in groups[1:] if text[a - 1] == " " and _ADDRESS.match(text, a)), m.end())
+    ends, sizes, total = [], [], 0
+    for a, b in groups:
+        if a >= address:
+            break
+        total += b - a
+        sizes.append(b - a)
+        ends.append((b, total, tuple(sizes)))
+    if kind == "card":
+        # One group, or the usual ones, before all others; then the longest.
+        ends = [e for e in ends if e[1] >= 13 and luhn(re.sub(r"\D", "", text[m.start() : e[0]]))]
+        return max(ends, key=lambda e: (len(e[2]) == 1 or e[2] in _GROUPED, e[1]))[0] if ends else None
+    digits = re.sub(r"\D", "", m[0])
+    least, most = next((_LENGTHS[digits[:n]] for n in (3, 2, 1) if digits[:n] in _LENGTHS), (8, 15))
+    for low, high in ((least, most), (8, 15)):
+        good = [b for b, n, _ in ends if low <= n <= high]
+        if good:
+            return good[-1]
+    return m.end()
+
+
 def mentions(text: str) -> list[Mention]:
     """All mentions of a text, in order and without overlaps."""
     found: list[Mention] = []
@@ -95,11 +131,13 @@ def mentions(text: str) -> list[Mention]:
             found.append((at - len(local[0]), domain.end(), "email", (local[0] + "@" + domain[0]).lower()))
         at = text.find("@", at + 1)
     for run in _RUN.finditer(text):
-        for m in _DIGITS.finditer(text, run.start(), run.end() + 2):
-            kind = m.lastgroup
-            value = m[0] if kind == "ip" else re.sub(r"\D", "", m[0])
-            if kind != "card" or luhn(value):
-                found.append((m.start(), m.end(), kind, value))
+        m = _DIGITS.search(text, run.start(), run.end() + 2)
+        while m:
+            kind, end = m.lastgroup, _end_of(text, m)
+            if end:
+                part = text[m.start() : end]
+                found.append((m.start(), end, kind, part if kind == "ip" else re.sub(r"\D", "", part)))
+            m = _DIGITS.search(text, end or m.start() + 1, run.end() + 2)
     lower = text.lower()
     if any(w in lower for w in _SECRET_WORDS):
         for m in _SECRET.finditer(text):

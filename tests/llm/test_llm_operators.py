@@ -187,6 +187,25 @@ def test_surrogates_keep_type_and_reference():
     assert pii.replaced(text, {}, key="other")[0] != new and pii.replaced("nothing here. Mary had", {})[1] == {}
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("+1 (826) 555-4081 190.137.223.204", [("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204")]),
+        ("+1 (826) 555-4081 97 items", [("phone", "+1 (826) 555-4081")]),
+        ("+33 1 23 45 67 89 97 items", [("phone", "+33 1 23 45 67 89")]),
+        ("+49 30 1234 5678 10.1.2.3", [("phone", "+49 30 1234 5678"), ("ip", "10.1.2.3")]),
+        ("4845168114407329 97 items", [("card", "4845168114407329")]),
+        ("97 4845168114407329", [("card", "4845168114407329")]),
+        ("4111 1111 1111 1111 97", [("card", "4111 1111 1111 1111")]),
+        ("4845168114407329 190.137.223.204", [("card", "4845168114407329"), ("ip", "190.137.223.204")]),
+        ("4111111111111111 4845168114407329", [("card", "4111111111111111"), ("card", "4845168114407329")]),
+        ("+1 (826) 555-4081 4111111111111111", [("phone", "+1 (826) 555-4081"), ("card", "4111111111111111")]),
+    ],
+)
+def test_numbers_beside_numbers(text, want):
+    assert [(kind, text[a:b]) for a, b, kind, _ in pii.mentions(text)] == want
+
+
 def test_surrogates_are_distinct(spark):
     names = [("ip", f"10.0.0.{i}") for i in range(60)]
     few = lambda kind, value, draw, key: f"s{(int(value.split('.')[-1]) + 17 * draw) % 64}"
