@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from auctionlens.llm.common import written
 
 #: A run has so many sentences and words at least, or so many words in fewer sentences.
-SENTENCES, MIN_WORDS, LONG_WORDS = 3, 12, 40
+SENTENCES, MIN_WORDS, LONG_WORDS = 2, 12, 40
 
 #: A sentence ends behind its marks, where white space follows, and at a line's end.
 _SENTENCE = re.compile(r"[^\n]*?[.!?…。！？]+[\"'”’»)\]]*(?=\s|$)|[^\n]+", re.MULTILINE)

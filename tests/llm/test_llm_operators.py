@@ -312,6 +312,13 @@ def test_repeated_spans_go(spark):
         assert got[i].text == " ".join(own[i]) and got[i].n_removed == 5
 
 
+def test_two_whole_sentences_of_a_passage_go(spark):
+    two = "It " + prose(8, 40).replace(".", "") + ". It " + prose(9, 41).replace(".", "") + "."
+    docs = [(i, f"Own{i} begins {prose(20, 42).replace('.', '')}. {two} {prose(20, 43).replace('.', '')} ends own{i}.") for i in (1, 2)]
+    got = {r.doc_id: r for r in spans.query(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got[1].text == docs[0][1] and got[2].text == docs[1][1].replace(two + " ", "") and got[2].n_removed == 2
+
+
 def test_spans_by_brute_force(spark):
     pool = [prose(rng.randint(2, 12), i).replace(".", "") + "." for i in range(25)]
     docs = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(60)]
