@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,6 +98,25 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: n
     return mix((sums[ends] - sums[starts]) * powers[starts] + (ends - starts).astype(np.uint64))
 
 
+def term_table(letters_only: bool) -> bytes:
+    """Byte translation to terms: A to Z in lower case; ASCII bytes but letters (and digits) to blanks; others as they are."""
+    inside = lambda c: c >= 128 or chr(c).isalpha() or (chr(c).isdigit() and not letters_only)
+    return bytes((c + 32 if 65 <= c <= 90 else c) if inside(c) else 32 for c in range(256))
+
+
+def term_counts(text: bytes | None, table: bytes) -> Counter:
+    """How often each term occurs in a whole text; a long one is split a chunk at a time."""
+    counts: Counter = Counter()
+    data = (text or b"").translate(table)
+    first = 0
+    while first < len(data):
+        last = len(data) if len(data) - first <= 2 * CHUNK_BYTES else data.find(b" ", first + CHUNK_BYTES)
+        last = len(data) if last < 0 else last
+        counts.update(data[first:last].split())
+        first = last
+    return counts
+
+
 def per_row(rows: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     """Count, or sum of integer weights, for each of ``n`` rows."""
     return np.bincount(rows, weights, n).astype(np.int64)

@@ -59,7 +59,7 @@ def tokens(text):
 @pytest.mark.parametrize("name", sorted(queries.llm_oracles()))
 def test_query_matches_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{ROOT}/{t}.parquet'")
     df = queries.llm_queries()[name](spark, ROOT)
     want = db.sql(driver.oracle_sql()[name])
