@@ -134,7 +134,7 @@ def _counted_bids(job: HourlyJob, bids: DataFrame, campaigns: DataFrame | None)
     return counted.join(campaigns.select("campaign_id"), "campaign_id", "left_semi")
 
 
-def _responses_for(job: HourlyJob, responses: DataFrame) -> DataFrame:
+def responses_for(job: HourlyJob, responses: DataFrame) -> DataFrame:
     return responses.where(F.col("post_click_conv") == 1) if job.response == "conversions" else responses
 
 
@@ -155,7 +155,7 @@ def hourly_aggregate(
     wanted = wanted.select("auction_id_64", "dh", *[k for k in job.keys if k not in job.bid_keys])
     counted = with_responses(
         _counted_bids(job, in_hours(bids, hours), campaigns),
-        count_responses(_responses_for(job, responses), job.window_hours, hours),
+        count_responses(responses_for(job, responses), job.window_hours, hours),
         job.window_hours,
         dedup_responses,
     )

@@ -50,6 +50,16 @@ HOURLY_TABLES: dict[str, T.StructType] = {
     "agg_campaign_clicks": _hourly(**_CAMPAIGN),
 }
 
+# The hourly logs.
+IMPS = _schema(
+    auction_id_64="bigint", dh="string", operating_system="string", supply_type="int", device_type="int",
+    device_id="int", width="int", height="int", content_category_id="int", site_domain="string",
+    application_id="string", geo_country="string", seller_member_id="int", buyer_member_id="int", creative_id="bigint",
+)
+BIDS = _schema(auction_id_64="bigint", dh="string", payment_type="int", campaign_id="int")
+CLICKS = _schema(auction_id_64="bigint", dh="string")
+CONVERSIONS = _schema(auction_id_64="bigint", dh="string", post_click_conv="int")
+
 CAMPAIGN_PIXEL_META = _schema(
     campaign_group_id="int", campaign_id="int", pixel_id="int", event_type="string", revenue="float",
     advertiser_goal="float", rtb_cpm_payout="float", goal_target="float",
