@@ -1,8 +1,16 @@
-"""Which hours are ready to aggregate, still to load, or past retention."""
+"""Which hours are ready to aggregate, still to load, or past retention.
+
+Every function here takes hours from any relation with a ``dh`` column. Where that
+is a list of partition names (``readers.partition_hours``, ``readers.listed_hours``)
+or a journal, planning reads no data; rows of a log give the same hours, at the
+price of a scan.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +73,17 @@ def hours_to_load(source: DataFrame, loaded: DataFrame) -> DataFrame:
     return hours_of(source).join(hours_of(loaded), "dh", "left_anti")
 
 
+def populated(hours: DataFrame, logs: Sequence[DataFrame]) -> DataFrame:
+    """Those of a few planned hours that hold a row in every log.
+
+    A partition may be there and empty. The planned hours, no more than a look-back
+    has, become literals, so that only their partitions are looked into.
+    """
+    planned = sorted(row["dh"] for row in hours.select("dh").collect())
+    found = [hours_of(in_hours(log, planned)) for log in logs]
+    return reduce(lambda left, log: left.join(log, "dh", "left_semi"), found, hours)
+
+
 def incremental_rows(source: DataFrame, loaded: DataFrame) -> DataFrame:
     """Rows of the hours not loaded yet, ready for a dynamic partition overwrite.
 

@@ -6,7 +6,6 @@ repeated; it replaces what it wrote before.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.sql import DataFrame
@@ -15,8 +14,10 @@ from pyspark.sql import functions as F
 from auctionlens.constants import BIG_CAMPAIGN_IMPS, BIG_CPA_CAMPAIGN_IMPS, SITE_MIN_PERF_IMPS
 from auctionlens.functions.timeparts import HOUR_FORMAT, as_of_time, hours_of_day
 from auctionlens.operators import backfill, campaign_meta, hourly, reporting
+from auctionlens.operators.attribution import in_hours
 from auctionlens.sources import sinks
 from auctionlens.sources.catalog import Catalog
+from auctionlens.sources.ledger import HourLedger
 from auctionlens.sources.readers import read_through
 
 # Days between an hour and the run that aggregates it: conversions have to
@@ -57,11 +58,12 @@ def aggregate_four_way_day(tables: Catalog, day: str, out: str) -> None:
 def aggregate_ready_hours(tables: Catalog, as_of: str, out: str, lookback_days: int = 8) -> list[str]:
     """Backfill the auction features: every ready hour in one job. Returns the hours.
 
-    The list holds at most the hours of the look-back.
+    Stored logs are planned from their partition names, and only the hours that come
+    out, at most those of the look-back, are looked into for rows.
     """
-    ready = backfill.ready_hours(
-        tables["imps"], tables["bids"], tables["clicks"], tables["aggregated_hours"], as_of, lookback_days
-    )
+    logs = ("imps", "bids", "clicks")
+    ready = backfill.ready_hours(*(tables.hours(n) for n in (*logs, "aggregated_hours")), as_of, lookback_days)
+    ready = backfill.populated(ready, [tables[n] for n in logs])
     hours = sorted(r["dh"] for r in ready.select("dh").collect())
     if hours:
         result = hourly.hourly_aggregate(
@@ -106,6 +108,18 @@ def write_campaign_meta(tables: Catalog, as_of: str, out: str) -> None:
     sinks.write_meta_tsv(rows, out, as_of_time(as_of).strftime(HOUR_FORMAT))
 
 
-def load_missing_hours(source: DataFrame, read_loaded: Callable[[], DataFrame], out: str) -> None:
-    """Append the hours of ``source`` that the stored table does not have."""
-    sinks.write_hours(backfill.incremental_rows(source, read_loaded()), out, deep=True)
+def load_missing_hours(tables: Catalog, name: str, ledger: HourLedger, out: str) -> list[str]:
+    """Load the hours of an input that the journal does not have; returns them.
+
+    The rows are written first, hour by hour over what may be there, and counted
+    where they were stored; then the hours are journaled. A run that dies before
+    that is repeated in full by the next one.
+    """
+    missing = ledger.missing(tables.hours(name)).where("dh IS NOT NULL")
+    hours = sorted(row["dh"] for row in missing.collect())  # one string per calendar hour
+    if hours:
+        rows = in_hours(tables[name], hours)
+        sinks.write_hours(rows, out, deep=True)
+        stored = in_hours(tables.spark.read.schema(rows.schema).parquet(out), hours)
+        ledger.commit(stored.groupBy("dh").agg(F.count(F.lit(1)).alias("n_rows")))
+    return hours

@@ -29,6 +29,16 @@ def partition_hours(spark: SparkSession, table: str) -> DataFrame:
     return names.select(F.right("partition", F.lit(13)).alias("dh")).distinct()
 
 
+def listed_hours(spark: SparkSession, path: str) -> DataFrame:
+    """Hours of an hourly table in a folder, from the names of its files; nothing is read from them.
+
+    A partition without a data file has no hour here.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    hour = F.regexp_extract(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/dh=([^/]*)/", 1)
+    return files.select(hour.alias("dh")).where("dh <> ''").distinct()
+
+
 def read_snapshot(
     spark: SparkSession,
     url: str,

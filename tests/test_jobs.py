@@ -76,16 +76,6 @@ def test_counted_tree_rows_hold_the_same(tables):
     assert counted.agg({"copies": "sum"}).first()[0] == hourly.tree_campaign_imps(*args).count()
 
 
-def test_missing_hours_are_loaded_once(spark, tables, tmp_path):
-    path = str(tmp_path / "convs")
-    source = tables["conversions"]
-    schema = "auction_id_64 bigint, post_click_conv int, dy string, dm string, dd string, dh string"
-    sinks.write_hours(source.where("dh < '2024-01-01 12'"), path, deep=True)
-    for _ in range(2):
-        jobs.load_missing_hours(source, lambda: spark.read.schema(schema).parquet(path), path)
-    assert rows(spark.read.schema(schema).parquet(path).select(source.columns)) == rows(source)
-
-
 def test_partition_hours(spark):
     create_table(spark, "listed", HOURLY_TABLES["agg_social"])
     for hour in ("2024-01-01 00", "2024-01-01 07"):
