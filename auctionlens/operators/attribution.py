@@ -73,8 +73,17 @@ def with_responses(
     )
 
 
-def attribute(imps: DataFrame, counted: DataFrame) -> DataFrame:
-    """Impressions with a bid, each with its ``n_bids`` and ``n_responses``."""
+def attribute(imps: DataFrame, counted: DataFrame, colocated: bool = False) -> DataFrame:
+    """Impressions with a bid, each with its ``n_bids`` and ``n_responses``.
+
+    ``colocated`` is for impressions stored in buckets of their auction: they stay
+    where they are, and the counted rows come to them.
+    """
+    if colocated:
+        # With the hour as a second equality the bucketing on the auction alone would not do.
+        side = counted.withColumnsRenamed({"auction_id_64": "bid_auction", "dh": "bid_dh"})
+        same_hour = F.col("dh").between(F.col("bid_dh"), F.col("bid_dh"))
+        return imps.join(side, (F.col("auction_id_64") == F.col("bid_auction")) & same_hour, "inner")
     # The counted side may be partitioned by auction already. Joining on one
     # more key gives both inputs a shuffle of their own, and only such joins can
     # have a hot auction's impressions split over several tasks at run time.

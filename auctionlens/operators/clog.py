@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auctionlens.functions.predicates import learning, performance
@@ -79,5 +79,10 @@ def clogged_nodes(
     )
 
 
+def clog_order() -> list[Column]:
+    """The largest difference first."""
+    return [F.desc("clogged_offers"), *map(F.col, SELL_SIDE)]
+
+
 def most_clogged_first(report: DataFrame) -> DataFrame:
-    return report.orderBy(F.desc("clogged_offers"), *SELL_SIDE)
+    return report.orderBy(*clog_order())

@@ -146,8 +146,13 @@ def hourly_aggregate(
     campaigns: DataFrame | None = None,
     hours: Sequence[str] | None = None,
     dedup_responses: bool = False,
+    colocated: bool = False,
 ) -> DataFrame:
-    """One aggregate for all the given hours in a single job: ``dh`` + keys + two measures."""
+    """One aggregate for all the given hours in a single job: ``dh`` + keys + two measures.
+
+    ``colocated`` tells that the impressions are stored in buckets of their auction
+    (``schemas.create_table``) and need no shuffle.
+    """
     job = JOBS[name]
     wanted = in_hours(imps, hours).where(job.imp_filter())
     if "size" in job.keys:
@@ -159,14 +164,14 @@ def hourly_aggregate(
         job.window_hours,
         dedup_responses,
     )
-    matched = attribute(wanted, counted)
+    matched = attribute(wanted, counted, colocated)
     return matched.groupBy("dh", *job.keys).agg(
         attributed_rows(), attributed_responses(job.measure, job.zero_fill)
     )
 
 
 def four_way_aggregate(
-    imps: DataFrame, bids: DataFrame, clicks: DataFrame, hours: Sequence[str] | None = None
+    imps: DataFrame, bids: DataFrame, clicks: DataFrame, hours: Sequence[str] | None = None, colocated: bool = False
 ) -> DataFrame:
     """Four stored tables from one scan, one join and one aggregation.
 
@@ -187,7 +192,7 @@ def four_way_aggregate(
         count_responses(clicks, CLICK_WINDOW, hours),
         CLICK_WINDOW,
     )
-    matched = attribute(wanted, counted).withColumn("target", F.explode_outer("targets"))
+    matched = attribute(wanted, counted, colocated).withColumn("target", F.explode_outer("targets"))
 
     def own(key: str) -> Column:
         users = [t for t in FOUR_WAY if key in JOBS[t].keys]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -49,29 +49,31 @@ def _cell(*columns: str) -> Column:
 def impurity_matrix(df: DataFrame, features: Sequence[str], digits: int = 3) -> DataFrame:
     """Impurity of every feature given every other, plus its own (``given`` = '').
 
-    The data is reduced to the distinct feature combinations first. These are
-    spread over the unordered pairs, which is one group of one aggregation each;
-    the cells of single features come from those of the pairs, and the cells
-    alone are read in both directions. The diagonal is 0.
+    One aggregation has a grouping set for every unordered pair, on the features as
+    they are typed; only its cells become text. The cells of single features come
+    from those of the pairs, and the cells alone are read in both directions. The
+    diagonal is 0.
     """
-    base = df.groupBy(*features).agg(F.sum("imps").cast("double").alias("x"))
-
-    def value(feature: str) -> Column:
-        return F.col(feature).cast("string") if feature else F.lit("")
-
-    def entry(first: str, second: str) -> Column:
-        return F.struct(
-            F.lit(first).alias("f1"), F.lit(second).alias("f2"), value(first).alias("v1"), value(second).alias("v2")
-        )
-
     if len(features) < 2:
         raise ValueError("a matrix needs two features; gini measures one")
-    pairs = [entry(a, b) for a, b in combinations(features, 2)]
-    joint = (
-        base.select("x", F.explode(F.array(*pairs)).alias("p"))
-        .select("x", "p.*")
-        .groupBy("f1", "f2", "v1", "v2")
-        .agg(F.sum("x").alias("x"))
+    pairs = list(combinations(features, 2))
+    sets = df.groupingSets([[F.col(a), F.col(b)] for a, b in pairs], *[F.col(f) for f in features]).agg(
+        F.sum("imps").cast("double").alias("x"), F.grouping_id().alias("set")
+    )
+    # Bit i from the left tells that feature i is not in the set.
+    whole = (1 << len(features)) - 1
+    bit = {f: 1 << (len(features) - 1 - i) for i, f in enumerate(features)}
+
+    def of_pair(value: Callable[[str, str], Column]) -> Column:
+        cases = [F.when(F.col("set") == whole - bit[a] - bit[b], value(a, b)) for a, b in pairs]
+        return F.coalesce(*cases)
+
+    joint = sets.select(
+        of_pair(lambda a, b: F.lit(a)).alias("f1"),
+        of_pair(lambda a, b: F.lit(b)).alias("f2"),
+        of_pair(lambda a, b: F.col(a).cast("string")).alias("v1"),
+        of_pair(lambda a, b: F.col(b).cast("string")).alias("v2"),
+        "x",
     )
     # A feature alone: its cells with one partner, the first feature's with the second.
     first, second = features[:2]

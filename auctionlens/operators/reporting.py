@@ -149,6 +149,11 @@ def learn_share(
     return of_sites(report, sites)
 
 
+def learn_share_order(hourly: bool = False) -> list[Column]:
+    """By time, largest first."""
+    return [time_grain(hourly), F.desc("imps")]
+
+
 def sorted_learn_share(report: DataFrame, hourly: bool = False) -> DataFrame:
-    """The report as it is read: by time, largest first."""
-    return report.orderBy("ymdh" if hourly else "ymd", F.desc("imps"))
+    """The report as it is read."""
+    return report.orderBy(*learn_share_order(hourly))

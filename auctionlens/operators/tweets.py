@@ -25,6 +25,38 @@ def tweet_track(tweets: DataFrame, keywords: Sequence[str] | str) -> DataFrame:
     return tweets.where(matches_any(F.col("text"), words))
 
 
+#: Characters of a keyword by which it is looked up.
+GRAM = 4
+
+
+def keyword_index(keywords: DataFrame) -> DataFrame:
+    """gram, size, keyword: every different keyword of the ``keyword`` column under its first characters; blank ones do not count."""
+    clean = F.lower(F.regexp_replace("keyword", r"^\s+|\s+$", ""))
+    words = keywords.select(clean.alias("keyword")).where("keyword <> ''").distinct()
+    size = F.least(F.length("keyword"), F.lit(GRAM))
+    return words.select(F.substr("keyword", F.lit(1), size).alias("gram"), size.alias("size"), "keyword")
+
+
+def tweet_track_many(tweets: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``tweet_track`` for keyword lists of any length: one plan, whatever the list.
+
+    The keywords are an index by their first characters, which is joined to the
+    different character sequences of each text; only where these meet is the text
+    searched for the keyword. A short index is broadcast by its size, and then
+    nothing but hits is shuffled. Sequences are as long as some keyword's entry is.
+    """
+    index = keyword_index(keywords)
+    sizes = index.agg(F.collect_set("size")).scalar()  # at most GRAM numbers
+    text, size = F.lower("text"), F.col("size")
+    each = tweets.select("tweet_id", "text", sizes.alias("sizes")).select("tweet_id", "text", F.explode("sizes").alias("size"))
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
+    grams = F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, size)))
+    parts = each.select("tweet_id", F.explode_outer(grams).alias("gram")).where("gram IS NOT NULL")
+    maybe = parts.join(index.select("gram", "keyword"), "gram").select(F.col("tweet_id").alias("found_id"), "keyword").distinct()
+    named = (F.col("tweet_id") == F.col("found_id")) & text.contains(F.col("keyword"))
+    return tweets.join(maybe, named, "left_semi")
+
+
 def line_count(files: dict[str, DataFrame]) -> DataFrame:
     """Rows per named file."""
     frames = [df.agg(F.lit(name).alias("file"), F.count(F.lit(1)).alias("lines")) for name, df in files.items()]

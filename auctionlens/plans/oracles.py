@@ -757,6 +757,13 @@ SELECT CAST(tweet_id AS VARCHAR) AS created_at, text, screen_name FROM tweets WH
 _sql("tweet_track", "tweets", """
 SELECT tweet_id, lang FROM tweets
 WHERE lower(text) LIKE '%the%' OR lower(text) LIKE '%aux%' OR lower(text) LIKE '%der%'""")
+
+_sql("tweet_track_many", "tweets tracked", r"""
+words AS (
+  SELECT DISTINCT lower(regexp_replace(keyword, '^\s+|\s+$', '', 'g')) AS word FROM tracked
+)
+SELECT tweet_id, lang FROM tweets
+WHERE EXISTS (SELECT 1 FROM words WHERE word <> '' AND contains(lower(text), word))""")
 # Markup is taken apart by the patterns of the job, without the possessive forms that RE2 lacks. Of the references and the
 # letters, those that the test pages hold are decoded.
 

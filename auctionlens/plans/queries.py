@@ -521,6 +521,12 @@ def _(t):
     return tweets.tweet_track(t["tweets"], "the,aux ,DER").select("tweet_id", "lang")
 
 
+@_query("tweet_track_many")
+def _(t):
+    """Tweets that hold the beginning of a benchmark passage, or three letters of one."""
+    return tweets.tweet_track_many(t["tweets"], t["tracked"]).select("tweet_id", "lang")
+
+
 @_query("line_count")
 def _(t):
     return tweets.line_count({"tweets": t["tweets"], "pages": t["raw_pages"]})

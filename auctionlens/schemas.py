@@ -94,7 +94,26 @@ TWEET = T.StructType(
 )
 
 
-def create_table(spark, name: str, schema: T.StructType, partitions: tuple[str, ...] = ("dd", "dh")) -> None:
-    """Define a stored aggregate as a partitioned parquet table of the session catalog."""
+TREE_CAMPAIGN_IMPS = T.StructType([
+    *[f for f in IMPS if f.name != "dh"],
+    *_schema(campaign_id="int", pixel_id="bigint", dy="string", dm="string", dd="string", dh="string"),
+])
+
+
+def create_table(
+    spark,
+    name: str,
+    schema: T.StructType,
+    partitions: tuple[str, ...] = ("dd", "dh"),
+    bucket_by: str | None = None,
+    buckets: int = 0,
+) -> None:
+    """Define a stored table as a partitioned parquet table of the session catalog.
+
+    With ``bucket_by`` the rows of a partition lie in sorted buckets of that column, so joins on it need no shuffle.
+    """
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY ({', '.join(partitions)})")
+    layout = f" CLUSTERED BY ({bucket_by}) SORTED BY ({bucket_by}) INTO {buckets} BUCKETS" if bucket_by else ""
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY ({', '.join(partitions)}){layout}"
+    )

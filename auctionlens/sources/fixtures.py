@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from auctionlens.sources.catalog import Catalog
 
-BASE_TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
+BASE_TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark")
 
 _WIDTH = (
     "CAST(CASE {c} % 7 WHEN 0 THEN 300 WHEN 1 THEN 728 WHEN 2 THEN 300 WHEN 3 THEN 54 "
@@ -189,6 +189,7 @@ FROM (SELECT *, width * height AS area FROM perf_fact) f""",
 SELECT doc_id AS tweet_id, text, lang, source AS screen_name,
   CASE doc_id % 5 WHEN 0 THEN 'WA' WHEN 1 THEN 'CA' WHEN 2 THEN 'NY' WHEN 3 THEN 'TX' ELSE NULL END AS state
 FROM documents""",
+    "tracked": "SELECT substr(text, 1, 12) AS keyword FROM benchmark UNION ALL SELECT substr(text, 20, 3) FROM benchmark",
     "tweet_hashtags": """
 SELECT doc_id AS tweet_id, source AS hashtag FROM documents UNION ALL SELECT doc_id, lang FROM documents""",
     "lexicon": """

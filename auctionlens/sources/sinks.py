@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -35,6 +35,34 @@ def write_hours(df: DataFrame, path: str, deep: bool = False, compression: str =
     overwrite_partitions(with_partition_parts(df, parts), path, (*parts, "dh"), compression=compression)
 
 
+def write_bucketed_hours(df: DataFrame, table: str, bucket_by: str, buckets: int) -> None:
+    """Overwrite the hours of ``df`` in a bucketed catalog table; each hour has one sorted file a bucket."""
+    spark = df.sparkSession
+    columns = spark.table(table).columns
+    parts = [p for p in ("dy", "dm", "dd") if p in columns]
+    rows = with_partition_parts(df, parts).select(columns).repartition(buckets, bucket_by)
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        rows.write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+
+
+def write_report(df: DataFrame, path: str, *by: Column | str) -> None:
+    """A report in the order of ``by``: files hold adjoining ranges, rows are sorted within, and ``place`` numbers them.
+
+    The order is a column of the table, as readers take files in an order of their own.
+    """
+    ordered = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    ordered.withColumn("place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """A stored report in the order it was written in."""
+    return spark.read.parquet(path).orderBy("place").drop("place")
+
+
 def write_four_way(four_way: DataFrame, path: str) -> None:
     """All four targets in one write: ``target=.../dd=.../dh=...``."""
     overwrite_partitions(with_partition_parts(four_way, ("dd",)), path, ("target", "dd", "dh"))
