@@ -88,12 +88,10 @@ def export_day(stored: DataFrame, name: str, day: str, out: str) -> None:
 
 
 def day_table(stored: DataFrame, name: str, day: str, path: str) -> DataFrame:
-    """The day aggregate of a stored table, computed when it is not there yet."""
-
-    def compute() -> DataFrame:
-        return hourly.day_rollup(stored.where(F.col("dh").isin(hours_of_day(day))), hourly.EXPORTS[name][1])
-
-    return read_through(stored.sparkSession, path, compute)
+    """The day aggregate of a stored table, computed when it is not there yet or its hours have changed."""
+    rows = stored.where(F.col("dh").isin(hours_of_day(day)))
+    keys = hourly.EXPORTS[name][1]
+    return read_through(stored.sparkSession, path, lambda: hourly.day_rollup(rows, keys), [rows], f"{name} {day}")
 
 
 def write_site_stats(tables: Catalog, day: str, out: str, min_perf_imps: int = SITE_MIN_PERF_IMPS) -> None:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
+import io
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -78,8 +82,43 @@ def read_tweets(spark: SparkSession, path: str) -> DataFrame:
     return parse_tweets(spark.read.text(path))
 
 
-def read_through(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
-    """The stored result at ``path``, computed and written first when it is missing or unfinished."""
+def _plan_text(df: DataFrame) -> str:
+    """The optimized plan as text, without the numbers that Spark gives to columns anew each time."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("extended")
+    optimized = out.getvalue().split("== Optimized Logical Plan ==")[-1].split("== Physical Plan ==")[0]
+    return re.sub(r"#\d+L?|plan_id=\d+", "", optimized)
+
+
+def fingerprint(df: DataFrame, inputs: Sequence[DataFrame], key: str = "") -> str:
+    """Changes when the plan, its schema, the ``key`` or any file that the inputs are read from changes.
+
+    Of files their names, sizes and times of change count, of which Spark hashes one
+    row a file; an input that is in no files is hashed row by row.
+    """
+    parts = [key, _plan_text(df), df.schema.json()]
+    for rows in inputs:
+        try:
+            about = rows.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        except AnalysisException:
+            about = rows
+        hashed = F.xxhash64(*[F.col(f"`{c}`") for c in about.columns])
+        parts.append(str(about.agg(F.count(F.lit(1)), F.bit_xor(hashed), F.sum(hashed.cast("decimal(38,0)"))).first()))
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:32]
+
+
+def read_through(
+    spark: SparkSession, path: str, compute: Callable[[], DataFrame], inputs: Sequence[DataFrame] = (), key: str = ""
+) -> DataFrame:
+    """The stored result below ``path``, computed and written first when it is missing or unfinished.
+
+    With ``inputs``, the rows that the result is computed from, it is kept under its
+    fingerprint: another plan or a changed file gives another result, and an equal
+    one is not computed again. Without, ``path`` itself is the result.
+    """
+    if inputs:
+        path = f"{path.rstrip('/')}/{fingerprint(compute(), inputs, key)}"
     finished = f"{path.rstrip('/')}/_SUCCESS"
     try:
         spark.read.format("binaryFile").load(finished).schema  # fails if there is no such file

@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from auctionlens.operators import backfill, hourly
+from auctionlens.plans import jobs
 from auctionlens.schemas import CAMPAIGN_PIXEL_META, HOURLY_TABLES, create_table
 from auctionlens.sources import readers, sinks
 from auctionlens.sources.catalog import Catalog
@@ -113,6 +114,33 @@ def test_read_through_computes_once(spark, tmp_path):
     assert calls == [1]
 
 
+def test_cache_follows_its_inputs(spark, tmp_path):
+    table, cache = str(tmp_path / "agg"), str(tmp_path / "cache")
+    kept = lambda: sorted(p.name for p in (tmp_path / "cache").iterdir())
+    stored = lambda: readers.read_hourly(spark, table, HOURLY_TABLES["agg_social"])
+    total = lambda day="2024-01-01": jobs.day_table(stored(), "hourly_export_social", day, cache).agg({"imps": "sum"}).first()[0]
+    sinks.write_hours(social(spark, ["2024-01-01 00", "2024-01-01 05", "2024-01-02 05"]), table)
+    assert total() == 2
+    first = kept()
+    assert total() == 2 and kept() == first and len(first) == 1
+    # Another day's hours do not matter, a changed hour of the day does.
+    sinks.write_hours(social(spark, ["2024-01-02 05"], 9), table)
+    assert total() == 2 and kept() == first
+    sinks.write_hours(social(spark, ["2024-01-01 05"], 7), table)
+    assert total() == 8 and len(kept()) == 2
+    assert total("2024-01-02") == 9 and len(kept()) == 3
+
+
+def test_fingerprint_is_of_plan_and_rows(spark):
+    rows_of = lambda n=4: spark.range(n).selectExpr("id", "id % 2 AS `a.b`")
+    plan = lambda df, k="`a.b`": df.groupBy(k).count()
+    one = readers.fingerprint(plan(rows_of()), [rows_of()])
+    assert one == readers.fingerprint(plan(rows_of()), [rows_of()])
+    others = [readers.fingerprint(plan(rows_of()), [rows_of(5)]), readers.fingerprint(plan(rows_of(), "id"), [rows_of()]),
+              readers.fingerprint(plan(rows_of()), [rows_of()], "key")]
+    assert len({one, *others}) == 4
+
+
 def test_drop_old_hours(spark):
     create_table(spark, "kept_hours", HOURLY_TABLES["agg_social"])
     hours = ["2024-01-01 00", "2024-01-01 23", "2024-01-02 00"]
