@@ -853,6 +853,14 @@ _sql("happiest_state", "tweets lexicon", f"""
 _sql("top_hashtags", "tweet_hashtags", """
 SELECT hashtag, CAST(count(*) AS BIGINT) AS n FROM tweet_hashtags GROUP BY hashtag ORDER BY n DESC, hashtag LIMIT 10""")
 ORACLES["top_hashtag_entities"] = ORACLES["top_hashtags"]
+_sql("journaled_load", "conversions", "SELECT * FROM conversions")
+# What went through storage or a stream has the rows of the plain job.
+ORACLES |= {name: ORACLES[job] for name, job in {
+    "stored_display_os": "agg_display_os", "stored_auction_features": "agg_auction_features",
+    "stored_four_way": "agg_four_way", "stored_site_days": "site_daily_stats", "exported_day": "hourly_export_web",
+    "listed_ready_hours": "ready_hours", "stream_display_os": "agg_display_os",
+    "stream_conversions_seller": "agg_conversions_seller",
+}.items()}
 
 
 def all_oracles() -> dict[str, str]:

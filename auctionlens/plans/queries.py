@@ -13,6 +13,7 @@ from auctionlens.functions.timeparts import hours_of_day
 from auctionlens.operators import (
     backfill, buckets, campaign_meta, clog, confusion, goals, hourly, impurity, lookups, pages, reporting, tweets,
 )
+from auctionlens.plans import stored
 from auctionlens.sources.catalog import Catalog
 from auctionlens.sources.fixtures import fixture_catalog
 from auctionlens.sources.readers import parse_tweets
@@ -24,6 +25,8 @@ LOOKBACK_DAYS = 3000
 START, END = "1995-01-01 00", "2002-01-01 00"
 AUCTION_DAY, AUCTION_AS_OF = "2024-01-01", "2024-01-02 00"
 TREE_END_HOUR = "2024-01-02 01"
+#: Later than any auction and its responses by more than the allowed delay.
+STREAM_END = "2024-01-06 00"
 
 # Thresholds on the scale of the given tables.
 SITE_MIN_IMPS = 20
@@ -570,3 +573,52 @@ def _(t):
 @_query("top_hashtag_entities")
 def _(t):
     return tweets.top_hashtags(tweets.hashtag_entities(parse_tweets(_tweet_lines(t))))
+
+
+# Through storage and streams: the same rows as the jobs above
+
+
+@_query("stored_display_os")
+def _(t):
+    return stored.stored_hours(t, "agg_display_os", _hourly("agg_display_os", t))
+
+
+@_query("stored_auction_features")
+def _(t):
+    return stored.stored_hours(t, "agg_auction_features", _hourly("agg_auction_features", t), deep=True)
+
+
+@_query("stored_four_way")
+def _(t):
+    return stored.stored_four_way(t, hourly.four_way_aggregate(t["imps"], t["bids"], t["clicks"]))
+
+
+@_query("stored_site_days")
+def _(t):
+    daily = reporting.site_daily_stats(t["perf_fact"], t["marketplace"], SITE_MIN_IMPS)
+    return stored.stored_days(t, decimals_to_double(daily))
+
+
+@_query("exported_day")
+def _(t):
+    return stored.exported_day(t, _hourly("agg_display_os", t), "hourly_export_web", AUCTION_DAY)
+
+
+@_query("listed_ready_hours")
+def _(t):
+    return stored.ready_hours(t, AUCTION_AS_OF)
+
+
+@_query("journaled_load")
+def _(t):
+    return stored.journaled_load(t, "conversions", f"{AUCTION_DAY} 12")
+
+
+@_query("stream_display_os")
+def _(t):
+    return stored.streamed(t, "agg_display_os", STREAM_END)
+
+
+@_query("stream_conversions_seller")
+def _(t):
+    return stored.streamed(t, "agg_conversions_seller", STREAM_END)
