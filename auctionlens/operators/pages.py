@@ -1,8 +1,9 @@
 """Features of stored web pages.
 
 The markup is taken apart with column functions, for which a page is a plain
-string; Python decodes character references and accents alone, for all texts of a
-page in one Arrow pass.
+string; Python decodes character references and accents alone. The texts of a page
+go there and back as one string for each feature, as lists of strings are slow to
+hand over.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
-from auctionlens.functions.text import one_line, to_plain_ascii
+from auctionlens.functions.text import tidy
 from auctionlens.schemas import PAGE_FEATURES
 
 #: What the reader never sees: comments, scripts and styles; one that is not closed lasts to the end.
@@ -45,31 +46,44 @@ def rest_after(names: list[str], slash: str = "/") -> str:
     return rf"(?is)<{slash}(?:{'|'.join(names)})\b.*"
 
 
+#: Stands before each text of a string that goes to Python; pages have none of it.
+MARK = "\x00"
+
+
+def _behind_first(pieces: Column) -> Column:
+    """All elements but the first; a length from the array itself would have it computed twice."""
+    return F.slice(pieces, 2, 1 << 30)
+
+
 def _texts(readable: Callable[[str], str | None]) -> Callable[[Column], Column]:
     """A function of array columns that gives every text's readable form, without those that have none."""
 
-    @pandas_udf(ArrayType(StringType()))
-    def convert(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda texts: [t for t in map(readable, texts) if t is not None])
+    @pandas_udf(StringType())
+    def convert(joined: pd.Series) -> pd.Series:
+        each = (map(readable, texts.split(MARK)[1:]) for texts in joined)
+        return pd.Series(["".join([MARK + t for t in texts if t is not None]) for texts in each], dtype=object)
 
-    return convert
+    def column(texts: Column) -> Column:
+        joined = F.array_join(F.transform(texts, lambda t: F.concat(F.lit(MARK), t)), "")
+        return _behind_first(F.split(convert(joined), MARK))
+
+    return column
 
 
 def _named(text: str) -> str | None:
     text = unescape(text).strip()
-    return to_plain_ascii(text) if text and not text.isdigit() else None
+    return tidy(text) if text and not text.isdigit() else None
 
 
 _decoded = _texts(unescape)
-_plain = _texts(lambda text: to_plain_ascii(unescape(text)))
+_plain = _texts(lambda text: tidy(unescape(text)))
 _plain_named = _texts(_named)
 
 
 def _elements(page: Column, name: str, end: str) -> Column:
     """The text of every element of a name, up to ``end`` or to the next such element."""
-    pieces = F.split(page, start_tag(name))
     return F.transform(
-        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
+        _behind_first(F.split(page, start_tag(name))),
         lambda x: F.regexp_replace(F.regexp_replace(x, end, ""), ANY_TAG, ""),
     )
 
@@ -95,7 +109,7 @@ def page_features(pages: DataFrame) -> DataFrame:
     """One record per page (``page_id``, ``url``, ``html``)."""
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?([^/?#:]+)", 1))
     seen = pages.where("html IS NOT NULL").select(
-        "page_id", host.alias("domain"), F.regexp_replace("html", UNSEEN, "").alias("page")
+        "page_id", host.alias("domain"), F.replace(F.regexp_replace("html", UNSEEN, ""), F.lit(MARK), F.lit("\ufffd")).alias("page")
     )
     page = F.col("page")
     metas = F.regexp_extract_all("page", F.lit(start_tag("meta")), 0)
@@ -110,17 +124,13 @@ def page_features(pages: DataFrame) -> DataFrame:
         _plain_named(F.transform(alts, _unquoted)).alias("img_alt_titles"),
         _plain(_elements(page, "p", rest_after(BLOCKS, "/?"))).alias("content"),
     )
-    first = lambda c: one_line(F.coalesce(F.try_element_at(c, F.lit(1)), F.lit("")))
+    first = lambda c: F.coalesce(F.try_element_at(c, F.lit(1)), F.lit("")).alias(c)
     words = F.flatten(F.transform("meta_keywords", lambda k: F.split(k, r"\s+")))
     words = F.transform(F.array_remove(words, ""), lambda w: F.regexp_replace(w, "^,+|,+$", ""))
     return parts.select(
-        "page_id",
-        "domain",
-        first("title").alias("title"),
-        first("meta_description").alias("meta_description"),
-        words.alias("meta_keywords"),
-        *(F.transform(c, one_line).alias(c) for c in ("ref_titles", "img_alt_titles", "content")),
-    ).select(PAGE_FEATURES.fieldNames())
+        "page_id", "domain", first("title"), first("meta_description"), words.alias("meta_keywords"),
+        "ref_titles", "img_alt_titles", "content",
+    ).select(PAGE_FEATURES.fieldNames())
 
 
 def page_anchor_counts(features: DataFrame) -> DataFrame:
