@@ -208,16 +208,13 @@ def _goal_totals(fact: DataFrame, line_items: DataFrame, keys: list[str]) -> Dat
     pixels = line_items.select(F.col("pixel_id").cast("int")).union(zero)
     per_pixel = fact.groupBy(*keys, "pixel_id").agg(*_volumes(), *_booked())
     return (
-        _of_line_items(per_pixel, line_items, "line_item")
-        .join(pixels, "pixel_id", "left_semi")
-        .groupBy(*keys)
-        .agg(*[F.sum(c).alias(c) for c in TOTALS])
+        per_pixel.join(pixels, "pixel_id", "left_semi").groupBy(*keys).agg(*[F.sum(c).alias(c) for c in TOTALS])
     )
 
 
 def camp_perf(fact: DataFrame, line_items: DataFrame, start: str, end: str) -> DataFrame:
     """Totals per line item between two hours, both included."""
-    return _goal_totals(_counted(fact, start, end), line_items, ["campaign_group_id"])
+    return _of_line_items(_goal_totals(_counted(fact, start, end), line_items, ["campaign_group_id"]), line_items, "line_item")
 
 
 def latest_exclusions(exclusion: DataFrame, start: str, end: str) -> DataFrame:
@@ -253,18 +250,25 @@ def exclusion_counts(exclusion: DataFrame, start: str, end: str) -> DataFrame:
 def camp_perf_hourly(
     fact: DataFrame, exclusion: DataFrame, line_items: DataFrame, start: str, end: str
 ) -> DataFrame:
-    """Hourly performance, state changes and goals per line item; ``end`` itself is left out."""
+    """Hourly performance, state changes and goals per line item; ``end`` itself is left out.
+
+    The join that brings the goals also tells which rows are of a line item at all.
+    """
     window = fact.where((F.col("ymdh") >= start) & (F.col("ymdh") < end) & F.col("imp_type").isin(list(GOAL_IMP_TYPES)))
     perf = _goal_totals(window, line_items, ["ymdh", "campaign_group_id"]).withColumn(
         "ymdh", F.concat("ymdh", F.lit(":00:00"))
     )
     changes = exclusion_counts(exclusion, start, end)
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("number_of_passed_buckets", "number_of_excluded_buckets")]
     goals = line_items.withColumnRenamed("line_item", "campaign_group_id")
     return (
-        perf.join(changes, ["ymdh", "campaign_group_id"], "left")
-        .fillna(0)
-        .withColumn("group_type", F.lit("None"))
-        .join(goals, "campaign_group_id", "left")
-    )
+        perf.fillna(0)
+        .join(goals, "campaign_group_id")
+        .join(changes, ["ymdh", "campaign_group_id"], "left")
+        .select(
+            "campaign_group_id", "ymdh", *TOTALS, *counts, F.lit("None").alias("group_type"),
+            *[c for c in goals.columns if c != "campaign_group_id"],
+        )
+    )
 
 
