@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auctionlens.llm.common import byte_codes, mix, multipliers, text_chunks, word_hashes, word_spans, written
@@ -35,7 +35,10 @@ MARGIN = 0.20
 #: Classes of a bucket that meet in one task at most: twice as many.
 BLOCK = 512
 
-SIGNATURE = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>, parity array<bigint>"
+SIGNATURE = (
+    "doc_id bigint, text_hash binary, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>, "
+    "parity array<bigint>"
+)
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -81,8 +84,12 @@ def parity_bits(place: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(parity).view(np.int64)
 
 
+def set_digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, size and digest of the shingle set, band keys, odd sketches of samples and set; null for an empty set."""
+    """doc_id, text_hash, size and digest of the shingle set, band keys, odd sketches of samples and set; null for an empty set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = multipliers(BANDS * ROWS, 41), multipliers(BANDS * ROWS, 42)
@@ -91,7 +98,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             size, digest, bands, sketch, parity = [], [], [], [], []
             for s in shingle_sets(batch.column(1)):
                 size.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                digest.append(set_digest(s))
                 if not len(s):
                     for column in (bands, sketch, parity):
                         column.append(None)
@@ -102,23 +109,29 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sketch.append(odd_sketch(samples))
                 parity.append(parity_bits(s % np.uint64(PARITY_BITS), PARITY_BITS))
             longs = pa.list_(pa.int64())
-            columns = [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()),
+            columns = [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(digest, pa.binary()),
                        pa.array(bands, longs), pa.array(sketch, longs), pa.array(parity, longs)]
-            names = ["doc_id", "n_shingles", "digest", "bands", "sketch", "parity"]
+            names = ["doc_id", "text_hash", "n_shingles", "digest", "bands", "sketch", "parity"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, SIGNATURE)
+    return docs.select("doc_id", "text", text_hash()).mapInArrow(rows, SIGNATURE)
+
+
+def text_hash() -> Column:
+    """Tells the texts of rows apart that share a doc_id; a null text is an empty one."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_hash")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and its shingle set as an array."""
+    """The shingle set of every row as an array, with its digest."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([s.view(np.int64) for s in shingle_sets(batch.column(1))], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["doc_id", "shingles"])
+            sets = list(shingle_sets(batch.column(0)))
+            columns = [pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, shingles array<bigint>")
+    return docs.select("text").mapInArrow(rows, "digest binary, shingles array<bigint>")
 
 
 def estimate(a: str, b: str):
@@ -174,7 +187,8 @@ def block_pairs(buckets: DataFrame, reps: DataFrame, component: DataFrame) -> Da
     most = SKETCH_BITS / 2 * (1 - np.exp(4 * BANDS * ROWS / SKETCH_BITS * (cut - 1)))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = lambda x: x.flatten().to_numpy(zero_copy_only=False)
+        # Unsigned, as the bits of a negative number would be counted in its absolute value.
+        wide = lambda x: x.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         for batch in batches:
             found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for place, low, high, members in zip(*(batch.column(i) for i in range(4))):
@@ -202,11 +216,14 @@ def block_pairs(buckets: DataFrame, reps: DataFrame, component: DataFrame) -> Da
     return groups.select("place", "low", "high", "members").mapInArrow(near, "a bigint, b bigint")
 
 
-def candidate_sets(buckets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The full sets of all classes that share a bucket; only their texts are taken apart again."""
-    ids = written(buckets.select(F.col("rep").alias("doc_id")).distinct().orderBy("doc_id"), "candidates")
+def candidate_sets(buckets: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The full sets of all classes that share a bucket; only texts of their first documents are taken apart again."""
+    asked = written(classes.join(buckets.select("rep").distinct(), "rep", "left_semi"), "candidates")
+    ids = asked.select(F.col("first").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    return written(full_sets(texts).dropDuplicates(["doc_id"]), "sets")
+    # Another text of such a document has another digest.
+    sets = full_sets(texts).join(asked.select("digest", "rep"), "digest").select("rep", "shingles")
+    return written(sets.dropDuplicates(["rep"]), "sets")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -239,42 +256,64 @@ def components(links: DataFrame) -> DataFrame:
         state = seen
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document.
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, digest of the shingle set, n_shingles, component_id and kept of every document.
 
-    An empty or null text has no shingles and is its own component. A null
-    doc_id is linked with nothing, has a null component and is kept. Rows that
-    repeat a doc_id get a row each. Other columns are not read.
+    A class is known by its set's digest and numbered; its first document is the one
+    with the smallest doc_id, which other classes may share.
     """
     signed = written(signatures(docs.select("doc_id", "text")), "signatures")
     linked = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = written(linked.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = linked.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    # Rows of one class have the same signature.
     reps = written(
-        linked.join(classes, (F.col("doc_id") == F.col("rep")) & (linked.digest == classes.digest), "left_semi")
-        .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "bands", "sketch", "parity").dropDuplicates(["rep"]),
+        linked.withColumn("first", F.col("doc_id")).join(classes, ["digest", "first"])
+        .select("rep", F.col("n_shingles").alias("size"), "bands", "sketch", "parity").dropDuplicates(["rep"]),
         "reps",
     )
     buckets = shared_buckets(reps)
-    sets = candidate_sets(buckets, docs)
+    sets = candidate_sets(buckets, classes, docs)
     stars = written(confirm(leader_pairs(buckets, reps), sets), "stars")
     rest = written(block_pairs(buckets, reps, components(stars)), "pairs")
     component = components(stars.union(confirm(rest, sets)))
-    of_class = classes.join(component, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    of_class = classes.join(component, "rep", "left").select(
+        "digest", "first", F.coalesce("component", "rep").alias("component")
+    )
+    smallest = of_class.groupBy("component").agg(F.min("first").alias("component_id"))
+    of_class = of_class.join(smallest, "component").select("digest", "component_id")
     named = signed.join(of_class, "digest", "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"),
+        "doc_id", "text_hash", "digest", "n_shingles",
+        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component"),
     )
     own = F.when(F.col("doc_id").isNotNull(), F.col("component"))
     return named.select(
-        "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept")
-    )
+        "doc_id", "text_hash", "digest", "n_shingles", own.alias("component_id"),
+        F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"),
+    )
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document.
+
+    An empty or null text has no shingles and is its own component. A null
+    doc_id is linked with nothing, has a null component and is kept. Rows that
+    repeat a doc_id get a row each, and different texts of one doc_id are linked
+    each for itself: they share a component only if links join them, though the
+    smallest doc_id of two components may be the same. Other columns are not read.
+    """
+    return labelled(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents without all but the smallest doc_id of every group, with all their columns.
 
-    Of rows that repeat a doc_id one stays; rows without one all stay.
+    Of rows with equal doc_id and equal shingle set one stays; different texts of
+    one doc_id stay both. Rows without a doc_id all stay.
     """
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    kept = labelled(docs).where("kept and doc_id is not null")
+    kept = kept.groupBy("doc_id", "digest").agg(F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash")
+    # The row is packed, so that no column's name can clash.
+    rows = docs.select("doc_id", text_hash(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    named = rows.join(kept, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return named.union(rows.where("doc_id is null")).select("row.*")
