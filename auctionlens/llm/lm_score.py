@@ -4,9 +4,9 @@ Training counts words and word pairs. The filter holds a pair's or a word's coun
 as a level of a geometric scale: all levels up to its own are members, so the count
 is read back by probing level after level until one is missing. The filter is built
 in segments by hash, gathered into slabs of bounded size, and broadcast to the
-workers slab by slab. A text is scored by an interpolated pair model. A training
-document is evaluated by the counts of all others: its own are taken off. So all
-training documents count, and all of them teach the weights.
+workers slab by slab. One pass over the texts reads the levels of all words and
+pairs and keeps them, a byte each. The weights of the interpolated pair model are
+learned, and all documents scored by the one model, from these bytes.
 
 Beside it stands the exact unigram base: frequent words from a list of fixed
 length, all others by a join with the whole table of counts.
@@ -30,15 +30,15 @@ FOLDS, HELD_OUT, ALPHA = 10, 0, 0.1
 HEAD = 65_536
 #: Text bytes for each segment of the filter, and bytes of a slab that is broadcast.
 SEGMENT_BYTES, SLAB_BYTES = 4 << 20, 64 << 20
-#: Members cost so many bits, and are set and probed at so many places: about 1 % false positives a level.
-BITS, PROBES = 10, 6
-#: Tokens that are counted, or scored, together.
-COUNTED, SCORED = 2_000_000, 500_000
+#: Members cost so many bits, and are so many bits of one 64-bit word: 1 to 2 % false positives a level.
+BITS, PROBES = 12, 4
+#: Tokens that are counted, or scored, together, and keys that are probed together, few enough for the cache.
+COUNTED, SCORED, PROBED = 2_000_000, 500_000, 1 << 15
 #: The scale of counts: whole numbers that grow by a quarter.
 LEVELS = np.array([*range(6), *(round(6 * 1.25**i) for i in range(100))])
 
 _END, _BEGIN = multipliers(2, 51)
-_WORD, _FIRST, _SECOND, _LEVEL, _AGAIN, _ROW = multipliers(6, 52)
+_WORD, _FIRST, _SECOND, _LEVEL, _AGAIN = multipliers(5, 52)
 _KEY = np.uint64((1 << 48) - 1)
 
 
@@ -70,10 +70,22 @@ def word_keys(tokens: np.ndarray) -> np.ndarray:
     return mix(tokens * _WORD)
 
 
-def own_counts(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """How often each key occurs in its own row."""
-    _, at, n = np.unique(mix(keys + of.astype(np.uint64) * _ROW), return_inverse=True, return_counts=True)
-    return n[at]
+def different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, back): one place of every different key, and for each key the number of its place.
+
+    Keys meet in a table by some of their bits; only those that meet another key there are sorted.
+    """
+    all_, slot = np.arange(len(keys), dtype=np.int32), keys >> np.uint64(44)
+    table = np.empty(1 << 20, np.int32)
+    table[slot] = all_
+    place = table[slot]
+    rest = np.flatnonzero(keys[place] != keys)
+    _, first, group = np.unique(keys[rest], return_index=True, return_inverse=True)
+    place[rest] = rest[first][group]
+    some = np.flatnonzero(place == all_)
+    number = np.empty(len(keys), np.int32)
+    number[some] = np.arange(len(some), dtype=np.int32)
+    return some, number[place]
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
@@ -84,35 +96,43 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(LEVELS, counts, "right") - 1
 
 
-def places(keys: np.ndarray, level, bits: np.ndarray | int) -> Iterator[np.ndarray]:
-    """The bit places of (key, level) in a filter of ``bits``, one array for each probe."""
-    one = mix((keys & _KEY) * _LEVEL + np.asarray(level, np.uint64) * _AGAIN)
-    two = mix(one) | np.uint64(1)
-    bits = np.asarray(bits, np.uint64)
-    for _ in range(PROBES):
-        yield (one % bits).astype(np.int64)
-        one = one + two
+def spread(keys: np.ndarray, level: int) -> np.ndarray:
+    """64 bits for each (key, level): the upper half chooses the word, lower ones its bits."""
+    return mix((keys & _KEY) * _LEVEL + np.array([level], np.uint64) * _AGAIN)
+
+
+def word_of(x: np.ndarray, words: np.ndarray | int) -> np.ndarray:
+    """The word of a segment of fewer than 2 ** 32."""
+    return ((x >> np.uint64(32)) * np.asarray(words, np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
+def bits_of(x: np.ndarray) -> Iterator[np.ndarray]:
+    for i in range(PROBES):
+        yield x >> np.uint64(6 * i) & np.uint64(63)
 
 
 def build_segment(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The filter bytes of keys with their levels."""
-    bits = max(64, -(-int(levels.sum()) * BITS // 64) * 64)
-    hit = np.zeros(bits, bool)
+    words = max(1, -(-int(levels.sum()) * BITS // 64))
+    hit = np.zeros(64 * words, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        own = keys[levels >= level]
-        for at in places(own, level, bits):
-            hit[at] = True
+        x = spread(keys[levels >= level], level)
+        base = word_of(x, words) * 64
+        for bit in bits_of(x):
+            hit[base + bit.astype(np.int64)] = True
     return np.packbits(hit, bitorder="little")
 
 
-def read_levels(keys: np.ndarray, slab: np.ndarray, start: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The level of each key by repeated membership probes; start and bits are its segment's place in the slab."""
-    level, active = np.zeros(len(keys), np.int64), np.arange(len(keys))
+def read_levels(keys: np.ndarray, slab: np.ndarray, start: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The level of each key by repeated membership probes; start and words are its segment's place in the slab."""
+    level, active = np.zeros(len(keys), np.uint8), np.arange(len(keys))
     for step in range(1, len(LEVELS)):
-        member = np.ones(len(active), bool)
-        for at in places(keys[active], step, bits[active]):
-            member &= (slab[start[active] + (at >> 3)] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-        active = active[member]
+        x = spread(keys, step)
+        found, mask = slab[start + word_of(x, words)], np.zeros(len(x), np.uint64)
+        for bit in bits_of(x):
+            mask |= np.uint64(1) << bit
+        member = np.flatnonzero(found & mask == mask)
+        active, keys, start, words = active[member], keys[member], start[member], words[member]
         level[active] = step
         if not len(active):
             break
@@ -215,7 +235,7 @@ class Filter:
     """The slabs of the filter, broadcast one by one, and where in them each segment lies."""
 
     def __init__(self, segments: DataFrame, n: int):
-        self.slab, self.start, self.bits = np.full(n, -1), np.zeros(n, np.int64), np.ones(n, np.int64)
+        self.slab, self.start, self.words = np.full(n, -1), np.zeros(n, np.int64), np.ones(n, np.int64)
         self.slabs, held, size = [], [], 0
         context = segments.sparkSession.sparkContext
         for row in segments.orderBy("segment").toLocalIterator():  # a segment at a time
@@ -223,164 +243,220 @@ class Filter:
                 self.slabs.append(context.broadcast(b"".join(held)))
                 held, size = [], 0
             s = row["segment"]
-            self.slab[s], self.start[s], self.bits[s] = len(self.slabs), size, 8 * len(row["filter"])
+            self.slab[s], self.start[s], self.words[s] = len(self.slabs), size // 8, len(row["filter"]) // 8
             held.append(bytes(row["filter"]))
             size += len(row["filter"])
         self.slabs.append(context.broadcast(b"".join(held)))
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        unique, back = np.unique(keys, return_inverse=True)
-        level, own = np.zeros(len(unique), np.int64), segment_of(unique, len(self.slab))
+        some, back = different(keys)
+        # By segment, so that the part of a slab that is probed stays in the cache.
+        order = np.argsort(segment_of(keys[some], len(self.slab)).astype(np.min_scalar_type(len(self.slab))), kind="stable")
+        number = np.empty(len(some), np.int32)
+        number[order] = np.arange(len(some), dtype=np.int32)
+        keys, back = keys[some][order], number[back]
+        level, own = np.zeros(len(keys), np.uint8), segment_of(keys, len(self.slab))
         for i, slab in enumerate(self.slabs):
-            at = np.flatnonzero(self.slab[own] == i)
-            data = np.frombuffer(slab.value, np.uint8)
-            level[at] = read_levels(unique[at], data, self.start[own[at]], self.bits[own[at]])
+            at = np.flatnonzero(self.slab[own] == i) if len(self.slabs) > 1 else slice(None)
+            data = np.frombuffer(slab.value, "<u8")
+            here, of = keys[at], own[at]
+            parts = [slice(i, i + PROBED) for i in range(0, len(here), PROBED)]
+            level[at] = np.concatenate(
+                [read_levels(here[p], data, self.start[of[p]], self.words[of[p]]) for p in parts] or [level[at]]
+            )
             if len(self.slabs) > 1:  # a worker holds one slab at a time
                 del data
                 vars(slab).pop("_value", None)
         return level[back]
 
 
-class Model:
-    """Smoothed probabilities from the filter."""
-
-    CLASSES = 64
-
-    def __init__(self, filter_: Filter, total: float, documents: int):
-        self.filter, self.total, self.documents = filter_, total, documents
-        self.weight = np.full(self.CLASSES, 0.1)
-
-    def evidence(self, tokens: np.ndarray, size: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word probability, pair frequency, class) of every token; of rows that were learned, without their own counts.
-
-        The class depends on the history alone: how frequent it is, and whether the
-        pair before was known. So the interpolation is a distribution.
-        """
-        words, pairs = word_keys(tokens), pair_keys(histories(tokens, size), tokens)
-        found = self.filter.levels(np.concatenate([words, pairs]))
-        word, pair = found[: len(tokens)], LEVELS[found[len(tokens) :]]
-        first, of, mine = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size), np.repeat(learned, size)
-        own = np.where(mine, own_counts(words, of), 0)
-        pair = np.maximum(pair - np.where(mine, own_counts(pairs, of), 0), 0)
-        # A history's count, rounded up to the end of its level, is no less than what its pairs have.
-        upper = np.append(LEVELS[1:] - 1, LEVELS[-1] * 2)[np.append(0, word[:-1])] - np.append(0, own[:-1])
-        upper[first] = self.documents - learned
-        known = np.append(False, pair[:-1] > 0)
-        known[first] = False
-        probability = (np.maximum(LEVELS[word] - own, 0) + ALPHA) / (self.total - np.repeat(size * learned, size))
-        frequency = np.minimum(pair / np.maximum(upper, 1), 1.0)
-        kind = np.minimum(np.log2(np.maximum(upper, 1)).astype(np.int64), self.CLASSES // 2 - 1) * 2 + known
-        return probability, frequency, kind
-
-    def log10(self, tokens: np.ndarray, size: np.ndarray, learned: np.ndarray) -> np.ndarray:
-        probability, frequency, kind = self.evidence(tokens, size, learned)
-        weight = self.weight[kind]
-        return np.log10(weight * frequency + (1.0 - weight) * probability)
-
-    def learn(self, docs: DataFrame) -> None:
-        """Expectation maximisation of the weights over a histogram of likelihood ratios, of bounded size.
-
-        Every training document is evaluated by the counts of all others.
-        """
-        model = self
-
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for _, tokens, size in _gathered(streams(batch.column(2))):
-                    probability, frequency, kind = model.evidence(tokens, size, np.ones(len(size), bool))
-                    with np.errstate(divide="ignore"):
-                        ratio = np.clip(np.round(4 * np.log2(frequency / probability)), -200, 200).astype(np.int64)
-                    cell, n = np.unique(kind * 1000 + ratio + 500, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
-
-        training = docs.where(F.coalesce(F.col("fold") % FOLDS != HELD_OUT, F.lit(True)))
-        counted = training.select("doc_id", "fold", "text").mapInArrow(rows, "cell bigint, n bigint")
-        cells = counted.groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most 64 x 401
-        if not cells:
-            return
-        cell, n = np.array([c.cell for c in cells]), np.array([c.n for c in cells], float)
-        kind, ratio = cell // 1000, np.exp2((cell % 1000 - 500) / 4.0)
-        ratio[cell % 1000 - 500 <= -200] = 0.0
-        seen = np.bincount(kind, n, self.CLASSES)
-        for _ in range(50):
-            weight = self.weight[kind]
-            share = weight * ratio / (weight * ratio + 1.0 - weight)
-            # One unit of evidence at 0.1 for classes that are rarely seen; a weight stays between 0.001 and 0.95.
-            self.weight = np.clip((np.bincount(kind, n * share, self.CLASSES) + 0.1) / (seen + 1.0), 0.001, 0.95)
+#: Classes of histories: their count's power of two, and whether the pair before was known.
+CLASSES = 64
+
+
+def evidence(
+    word: np.ndarray, pair: np.ndarray, size: np.ndarray, total: float, documents: int, without: int = 0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word probability, pair frequency, class) of every token, from the levels of its word and pair.
+
+    The class depends on the history alone, so the interpolation is a distribution.
+    ``without`` is taken off every count: 1 to leave the token itself out.
+    """
+    first = np.cumsum(size) - size
+    n = np.maximum(LEVELS[pair] - without, 0)
+    # A history's count, rounded up to the end of its level, is no less than what its pairs have.
+    upper = np.append(LEVELS[1:] - 1, LEVELS[-1] * 2)[np.append(0, word[:-1])] - without
+    upper[first] = documents - without
+    known = np.append(False, n[:-1] > 0)
+    known[first] = False
+    probability = (np.maximum(LEVELS[word] - without, 0) + ALPHA) / (total - without)
+    frequency = np.minimum(n / np.maximum(upper, 1), 1.0)
+    kind = np.minimum(np.log2(np.maximum(upper, 1)).astype(np.int64), CLASSES // 2 - 1) * 2 + known
+    return probability, frequency, kind
+
+
+def log10_probability(
+    word: np.ndarray, pair: np.ndarray, size: np.ndarray, total: float, documents: int, weights: np.ndarray
+) -> np.ndarray:
+    """The model's log10 probability of every token."""
+    probability, frequency, kind = evidence(word, pair, size, total, documents)
+    weight = weights[kind]
+    return np.log10(weight * frequency + (1.0 - weight) * probability)
+
+
+def kept_levels(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, word levels, pair levels, tokens per row) of consecutive rows with about SCORED tokens."""
+    sizes = batch.column("n_tokens").to_numpy()
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        before = ends[first] - sizes[first]
+        last = max(first + 1, int(np.searchsorted(ends, before + SCORED, "right")))
+        part = batch.slice(first, last - first)
+        word, pair = (np.frombuffer(b"".join(part.column(x).to_pylist()), np.uint8) for x in ("words", "pairs"))
+        yield first, word, pair, sizes[first:last]
+        first = last
+
+
+def learned_weights(levels: DataFrame, total: float, documents: int) -> np.ndarray:
+    """The weight of the pair model for each class: expectation maximisation over a histogram of bounded size.
+
+    Every token of every training document counts, with itself left out of the
+    counts it is predicted from.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, word, pair, size in kept_levels(batch):
+                probability, frequency, kind = evidence(word, pair, size, total, documents, without=1)
+                with np.errstate(divide="ignore"):
+                    ratio = np.clip(np.round(4 * np.log2(frequency / probability)), -200, 200).astype(np.int64)
+                n = np.bincount(kind * 1000 + ratio + 500)
+                cell = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[cell])], names=["cell", "n"])
+
+    training = levels.where("not held_out").select("n_tokens", "words", "pairs")
+    counted = training.mapInArrow(rows, "cell bigint, n bigint")
+    cells = counted.groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most 64 x 401
+    return maximised(np.array([c.cell for c in cells], np.int64), np.array([c.n for c in cells], float))
+
+
+def maximised(cell: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Weights that make ``n`` tokens of each (class, likelihood ratio) most likely."""
+    weights = np.full(CLASSES, 0.1)
+    kind, ratio = cell // 1000, np.exp2((cell % 1000 - 500) / 4.0)
+    ratio[cell % 1000 - 500 <= -200] = 0.0
+    seen = np.bincount(kind, n, CLASSES)
+    for _ in range(50):
+        weight = weights[kind]
+        share = weight * ratio / (weight * ratio + 1.0 - weight)
+        # One unit of evidence at 0.1 for classes that are rarely seen; a weight stays between 0.001 and 0.95.
+        weights = np.clip((np.bincount(kind, n * share, CLASSES) + 0.1) / (seen + 1.0), 0.001, 0.95)
+    return weights
+
+
+def head_words(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(word, n), sorted by word, of the most frequent words: at most HEAD, down to some level of the scale.
+
+    First the words of each level are counted, so that no task sends more than belongs to the list.
+    """
+    bounds = F.array(*[F.lit(int(x)) for x in LEVELS])
+    level = F.array_size(F.filter(bounds, lambda x: x <= F.col("n")))
+    at, least = 0, None
+    for row in sorted(words.groupBy(level.alias("level")).count().collect(), reverse=True):  # one row a level
+        at += row["count"]
+        if at > HEAD:
+            break
+        least = int(LEVELS[row["level"] - 1])
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    head = words.where(F.col("n") >= least).collect()
+    word, n = np.array([r.word for r in head], np.int64), np.array([r.n for r in head], np.int64)
+    order = np.argsort(word)
+    return word[order], n[order]
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
-    The score of a training document is that of a model without it; its base_score
-    has its own words in the counts. A null or empty text has the end alone. A null id is a training document;
-    repeated rows count, and are scored, each for itself. An empty table has an
-    empty result. Other columns are not read.
+    The score is the log10 probability by the one model of all training documents,
+    the document's own among them if it is one. A null or empty text has the end
+    alone. A null id is a training document; repeated rows count, and are scored,
+    each for itself. An empty table has an empty result. Other columns are not read.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     docs = docs.select("doc_id", fold.alias("fold"), "text")
     words = written(word_counts(docs), "words")
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    head = words.orderBy(F.desc("n"), "word").limit(HEAD).collect()  # a list of fixed length
-    head_word = np.array([r.word for r in head], np.int64)
-    head_n = np.array([r.n for r in head], np.int64)[np.argsort(head_word)]
-    head_word = np.sort(head_word)
-    norm = math.log10(size.n + ALPHA * (size.v + 1))
+    total = size.n + ALPHA * (size.v + 1)
+    norm = math.log10(total)
+    head_word, head_n = head_words(words)
 
     text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     segments = int(min(1 << 24, 1 + text_bytes // SEGMENT_BYTES))
     built = written(segments_of(pair_counts(docs, segments), words, segments), "filter")
     documents = docs.where(F.coalesce(F.col("fold") % FOLDS != HELD_OUT, F.lit(True))).count()
-    # What the filter returns for all words is at most their count, so this is a norm for it too.
-    model = Model(Filter(built, segments), size.n + ALPHA * (size.v + 1), documents)
-    model.learn(docs)
+    filter_ = Filter(built, segments)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             folds = _folded(batch)
             for first, tokens, sizes in _gathered(streams(batch.column(2))):
                 n = len(sizes)
                 of = np.repeat(np.arange(n), sizes)
-                score = np.bincount(of, model.log10(tokens, sizes, folds[first : first + n] % FOLDS != HELD_OUT), n)
+                found = filter_.levels(np.concatenate([word_keys(tokens), pair_keys(histories(tokens, sizes), tokens)]))
                 signed = tokens.view(np.int64)
                 at = np.minimum(np.searchsorted(head_word, signed), max(len(head_word) - 1, 0))
                 known = head_word[at] == signed if len(head_word) else np.zeros(len(tokens), bool)
                 base = np.bincount(of[known], np.log10(head_n[at[known]] + ALPHA) - norm, n)
                 n_known = np.bincount(of[known], minlength=n)
-                rest = np.stack([of[~known], signed[~known]], axis=1)
-                pairs = np.ascontiguousarray(rest).view([("of", np.int64), ("word", np.int64)]).ravel()
-                tail, times = np.unique(pairs, return_counts=True)
-                ends = np.searchsorted(tail["of"], np.arange(n + 1)).astype(np.int32)
+                ends = np.append(0, np.cumsum(sizes - n_known)).astype(np.int32)
+                levels = [_binary(x, sizes) for x in (found[: len(tokens)], found[len(tokens) :])]
                 columns = [
                     pa.array(np.arange(row, row + n)), batch.column(0).slice(first, n),
                     pa.array(folds[first : first + n] % FOLDS == HELD_OUT), pa.array(sizes.astype(np.int64)),
-                    pa.array(n_known), pa.array(base, pa.float64()), pa.array(score, pa.float64()),
-                    pa.ListArray.from_arrays(ends, np.ascontiguousarray(tail["word"])),
-                    pa.ListArray.from_arrays(ends, times.astype(np.int32)),
+                    pa.array(n_known), pa.array(base, pa.float64()),
+                    pa.ListArray.from_arrays(ends, signed[~known]), *levels,
                 ]
                 row += n
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = (
-        "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, head_known bigint, head_base double, score double, "
-        "word array<bigint>, times array<int>"
+        "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, head_known bigint, head_base double, "
+        "tail array<bigint>, words binary, pairs binary"
     )
     names = [x.split()[0] for x in schema.split(", ")]
-    scored = written(docs.mapInArrow(rows, schema), "scored")
-    tail = scored.select("row", F.explode(F.arrays_zip("word", "times")).alias("t")).select("row", "t.word", "t.times")
-    part = F.col("times") * (F.log10(F.col("n") + F.lit(ALPHA)) - F.lit(norm))
-    known = tail.join(words, "word").groupBy("row").agg(F.sum("times").alias("tail_known"), F.sum(part).alias("tail_base"))
+    kept = written(docs.mapInArrow(read, schema), "levels")
+    weights = learned_weights(kept, total, documents)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, word, pair, sizes in kept_levels(batch):
+                each = log10_probability(word, pair, sizes, total, documents, weights)
+                scores = np.add.reduceat(each, np.cumsum(sizes) - sizes)
+                row = batch.column("row").slice(first, len(sizes))
+                yield pa.RecordBatch.from_arrays([row, pa.array(scores)], names=["row", "score"])
+
+    scored = kept.select("row", "n_tokens", "words", "pairs").mapInArrow(score, "row bigint, score double")
+    tail = kept.select("row", F.explode("tail").alias("word"))
+    part = F.log10(F.col("n") + F.lit(ALPHA)) - F.lit(norm)
+    known = tail.join(words, "word").groupBy("row").agg(F.count("*").alias("tail_known"), F.sum(part).alias("tail_base"))
     tail_known, tail_base = (F.coalesce(c, F.lit(0)) for c in ("tail_known", "tail_base"))
-    all_tail = F.aggregate("times", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    unseen = (all_tail - tail_known) * F.lit(math.log10(ALPHA) - norm)
-    return scored.join(known, "row", "left").select(
+    unseen = (F.array_size("tail") - tail_known) * F.lit(math.log10(ALPHA) - norm)
+    return kept.join(known, "row", "left").join(scored, "row").select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + tail_known).alias("n_known"),
         F.lit(size.n).cast("bigint").alias("train_tokens"),
         (F.col("head_base") + tail_base + unseen).alias("base_score"), "score",
     )
 
 
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """One binary value a row, of as many bytes as the row has tokens."""
+    ends = pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, ends, pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _gathered(parts: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Consecutive streams as one, of about SCORED tokens."""
     held: list[tuple[int, np.ndarray, np.ndarray]] = []

@@ -468,7 +468,8 @@ def test_filter_reads_levels_back():
     keys = lm_score.mix(np.arange(1, 5001, dtype=np.uint64))
     levels = np.arange(5000) % 30 + 1
     slab = lm_score.build_segment(keys, levels)
-    read = lambda k: lm_score.read_levels(k, slab, np.zeros(len(k), int), np.full(len(k), 8 * len(slab)))
+    words = slab.view("<u8")
+    read = lambda k: lm_score.read_levels(k, words, np.zeros(len(k), int), np.full(len(k), len(words)))
     assert (read(keys) >= levels).all() and (read(keys) == levels).mean() > 0.97
     assert (read(lm_score.mix(keys)) == 0).mean() > 0.97
 
@@ -490,12 +491,97 @@ def test_a_single_training_twin_is_known(spark):
     got = {r.doc_id: r.score for r in lm_score.score_documents(df).collect()}
     one, other, unseen = (got[i] for i in held)
     assert min(one, other) > unseen + 20
-    assert abs(got[train[45]] - unseen) < 20 < got[train[0]] - unseen  # no training document knows itself, only its twin
+    # One model scores all: a training document is known to it, and one with a twin a little better.
+    assert got[train[0]] > got[train[45]] > unseen + 20
+
+
+def exact_score(docs, weights=None):
+    """Scores by exact counts in plain Python, with the counts rounded down to the scale; the weights, if none are given, learned."""
+    scale = [int(x) for x in lm_score.LEVELS]
+    down = lambda n: max(x for x in scale if x <= n)
+    ends = dict(zip(scale, [x - 1 for x in scale[1:]] + [scale[-1] * 2]))
+    streams = [([None, *tokens(t), b" "], i is None or zlib.crc32(str(i).encode()) % 10 != 0) for i, t in docs]
+    words, pairs = collections.Counter(), collections.Counter()
+    for s, train in streams:
+        if train:
+            words.update(s[1:])
+            pairs.update(zip(s, s[1:]))
+    total, documents = sum(words.values()) + 0.1 * (len(words) + 1), sum(train for _, train in streams)
+
+    def each(s, without):
+        known = 0
+        for h, w in zip(s, s[1:]):
+            upper = (documents if h is None else ends[down(words[h])]) - without
+            n = max(down(pairs[h, w]) - without, 0)
+            kind = min(int(math.log2(max(upper, 1))), 31) * 2 + known
+            yield (max(down(words[w]) - without, 0) + 0.1) / (total - without), min(n / max(upper, 1), 1.0), kind
+            known = int(n > 0)
+
+    if weights is None:
+        cells = collections.Counter()
+        for s, train in streams:
+            for p, f, kind in each(s, 1) if train else ():
+                ratio = -200 if f == 0 else min(200, max(-200, round(4 * math.log2(f / p))))
+                cells[kind * 1000 + ratio + 500] += 1
+        weights = np.full(64, 0.1)
+        for _ in range(50):
+            gain, seen = np.full(64, 0.1), np.ones(64)
+            for cell, n in cells.items():
+                kind, ratio = divmod(cell, 1000)
+                ratio = 0.0 if ratio == 300 else 2 ** ((ratio - 500) / 4)
+                w = weights[kind]
+                gain[kind] += n * w * ratio / (w * ratio + 1 - w)
+                seen[kind] += n
+            weights = np.clip(gain / seen, 0.001, 0.95)
+    return [sum(math.log10(weights[k] * f + (1 - weights[k]) * p) for p, f, k in each(s, 0)) for s, _ in streams]
+
+
+@pytest.mark.parametrize("slab", [600, 64 << 20])
+def test_scores_by_exact_counts(spark, monkeypatch, slab):
+    monkeypatch.setattr(lm_score, "BITS", 2000)  # wide enough to hold no false members
+    monkeypatch.setattr(lm_score, "SLAB_BYTES", slab)
+    monkeypatch.setattr(lm_score, "SEGMENT_BYTES", 4000)
+    monkeypatch.setattr(lm_score, "SCORED", 100 if slab == 600 else 500_000)
+    docs = [r[:2] for r in ODD_ROWS] + [(100 + i, prose(30 + i, i % 9)) for i in range(60)]
+    df = spark.createDataFrame([(*d, i) for i, d in enumerate(docs)], "doc_id bigint, text string, n_tokens int")
+    key = lambda i, n, s: (i or 0, n, round(s, 6))
+    size = [len(tokens(t)) + 1 for _, t in docs]
+    fixed = np.linspace(0.05, 0.9, 64)
+    with monkeypatch.context() as m:
+        m.setattr(lm_score, "learned_weights", lambda *_: fixed)
+        got = sorted(key(r.doc_id, r.n_tokens, r.score) for r in lm_score.score_documents(df).collect())
+    assert got == sorted(key(i, n, s) for (i, _), n, s in zip(docs, size, exact_score(docs, fixed)))
+    got = sorted(key(r.doc_id, r.n_tokens, r.score) for r in lm_score.score_documents(df).collect())
+    want = sorted(key(i, n, s) for (i, _), n, s in zip(docs, size, exact_score(docs)))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-6)
+
+
+@pytest.mark.parametrize("most", [0, 3, 20, 10_000])
+def test_head_words_are_bounded(spark, monkeypatch, most):
+    monkeypatch.setattr(lm_score, "HEAD", most)
+    counts = [(i, n) for i, n in enumerate([1] * 50 + [2] * 9 + [7, 7, 9, 500])]
+    word, n = lm_score.head_words(spark.createDataFrame(counts, "word bigint, n bigint"))
+    assert len(word) == {0: 0, 3: 2, 20: 13, 10_000: 63}[most] and dict(zip(word.tolist(), n.tolist())).items() <= dict(counts).items()
+    assert min(n.tolist(), default=9) >= sorted((c for _, c in counts), reverse=True)[:max(1, len(n))][-1] or not len(n)
 
 
 # --- pipeline ----------------------------------------------------------------------------------------------
 
 
+def test_texts_that_share_an_id_are_all_kept(spark):
+    other = prose(100, 77)
+    near = other.replace(other.split()[50], "changed", 1)
+    docs = [(1, BASE), (1, other), (2, BASE), (3, near), (3, near), (4, ""), (4, None), (4, prose(40, 9)), (1, BASE + " ")]
+    df = spark.createDataFrame([(*d, "x", "y") for d in docs], "doc_id bigint, text string, text_hash string, digest string")
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect())
+    assert got == {(1, 1, True): 3, (2, 1, False): 1, (3, 1, False): 2, (4, 4, True): 3}
+    kept = neardup.keep_first(df)
+    assert kept.columns == df.columns
+    stay = sorted((r.doc_id, " ".join((r.text or "").split())) for r in kept.collect())
+    assert stay == sorted([(1, BASE), (1, other), (4, ""), (4, prose(40, 9))])
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{ROOT}/documents.parquet")
     columns, clean = docs.columns, {r.doc_id for r in rules.query(docs).where("kept").collect()}
