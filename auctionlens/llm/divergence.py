@@ -26,8 +26,9 @@ from auctionlens.llm.common import term_counts, term_table, written
 MIN_DOCUMENTS, TOP = 10, 10
 #: Shares are whole billionths.
 UNIT = 10**9
-#: Entries that a task gathers before it hands them on, and (term, source) cells of a chunk, about.
-ENTRIES, CELLS = 4_000_000, 2_000_000
+#: Entries that a task gathers before it hands them on, and (term, source) cells of a chunk, about; a chunk has some
+#: terms for each source, so that its sums are fewer than its cells.
+ENTRIES, CELLS, TERMS_PER_SOURCE = 4_000_000, 200_000, 4
 
 
 def collapsed(docs: DataFrame) -> DataFrame:
@@ -168,8 +169,9 @@ def divergence(docs: DataFrame, least: int = MIN_DOCUMENTS, top: int = TOP) -> D
         "lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kept", F.lit(0)).alias("kept")
     )
     groups = written(groups, "groups")
-    widest = groups.groupBy("lang").agg((F.max("kept") * F.count("*")).alias("cells")).agg(F.sum("cells")).first()[0] or 0
-    chunks = max(1, -(-widest // CELLS))
+    each_lang = groups.groupBy("lang").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    cells, widest = each_lang.agg(F.coalesce(F.sum(F.col("n") * F.col("kept")), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    chunks = max(1, -(-cells // max(CELLS, TERMS_PER_SOURCE * widest**2)))
     dealt = terms.withColumn("chunk", F.pmod(F.xxhash64("term"), F.lit(chunks)).cast("int"))
     sides = groups.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
