@@ -142,15 +142,19 @@ def estimate(a: str, b: str):
 
 
 def shared_buckets(reps: DataFrame) -> DataFrame:
-    """(band, place, rep, a, n) of the buckets with several classes; ``a`` is the bucket's leader, ``n`` its size."""
-    buckets = reps.select("rep", F.posexplode("bands").alias("place", "band"))
-    leaders = buckets.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
-    return written(buckets.join(leaders, "band"), "buckets")
+    """(band, place, rep, a, n) of the buckets with several classes; ``n`` is the bucket's size, ``a`` its leader.
+
+    That is the class with the smallest first document, so most buckets of a group have the same.
+    """
+    buckets = reps.select("rep", "first", F.posexplode("bands").alias("place", "band"))
+    leader = F.min(F.struct("first", "rep"))["rep"].alias("a")
+    leaders = buckets.groupBy("band").agg(leader, F.count("*").alias("n")).where("n > 1")
+    return written(buckets.drop("first").join(leaders, "band"), "buckets")
 
 
 def leader_pairs(buckets: DataFrame, reps: DataFrame) -> DataFrame:
     """(a, b): each class with the leader, of all its buckets, that its sketch is nearest to."""
-    pairs = buckets.where("rep > a").select("a", F.col("rep").alias("b")).distinct()
+    pairs = buckets.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     sketch = reps.select("rep", "sketch")
     scored = (
         pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
@@ -269,7 +273,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     # Rows of one class have the same signature.
     reps = written(
         linked.withColumn("first", F.col("doc_id")).join(classes, ["digest", "first"])
-        .select("rep", F.col("n_shingles").alias("size"), "bands", "sketch", "parity").dropDuplicates(["rep"]),
+        .select("rep", "first", F.col("n_shingles").alias("size"), "bands", "sketch", "parity").dropDuplicates(["rep"]),
         "reps",
     )
     buckets = shared_buckets(reps)
