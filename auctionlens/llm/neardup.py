@@ -223,11 +223,11 @@ def block_pairs(buckets: DataFrame, reps: DataFrame, component: DataFrame) -> Da
 def candidate_sets(buckets: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The full sets of all classes that share a bucket; only texts of their first documents are taken apart again."""
     asked = written(classes.join(buckets.select("rep").distinct(), "rep", "left_semi"), "candidates")
-    ids = asked.select(F.col("first").alias("doc_id")).distinct()
+    ids = written(asked.select(F.col("first").alias("doc_id")).distinct().orderBy("doc_id"), "ids")
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    # Another text of such a document has another digest.
-    sets = full_sets(texts).join(asked.select("digest", "rep"), "digest").select("rep", "shingles")
-    return written(sets.dropDuplicates(["rep"]), "sets")
+    # Another text of such a document has another digest. The sets are shuffled once, by digest.
+    sets = full_sets(texts).dropDuplicates(["digest"]).join(asked.select("digest", "rep"), "digest")
+    return written(sets.select("rep", "shingles"), "sets")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
