@@ -435,6 +435,18 @@ def test_quality_on_held_out_labels(spark):
     assert got.exceptAll(quality.score_documents(docs, flipped)).count() == 0  # held-out labels teach nothing
 
 
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 200)
+    x = spark.range(4000).selectExpr("id AS doc_id", "array(double(id % 2), rand(1)) AS x").union(
+        spark.sql("SELECT 7L, array(1D, 0.5D) FROM range(2000)")  # one id holds a third of all rows
+    )
+    labels = spark.range(4000).selectExpr("id AS doc_id", "int(id % 2) AS quality")
+    sizes = []
+    monkeypatch.setattr(quality, "bradley_terry", lambda m, good: sizes.append((len(m), good.mean())) or np.array([1.0, 0.0]))
+    weights, at = quality.fit(x, labels, F.lit(True))
+    assert sizes[0][0] == 200 and 0.35 < sizes[0][1] < 0.65 and at == 0.5
+
+
 def test_quality_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, None), (2, 7), (None, 1)], "doc_id bigint, quality int")
     got = quality.score_documents(odd, labels).collect()
