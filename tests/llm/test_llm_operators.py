@@ -396,6 +396,54 @@ def test_main_text(page, want):
     assert html_extract.main_text(page) == want
 
 
+NOTE = "A short note, of few words."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # Attributes count by exact name, and names of headings and paragraphs not at all.
+        (f'<article><p data-hidden="false">{LONG}</p><p title="A hidden valley">{NOTE}</p></article>', f"{LONG}\n{NOTE}"),
+        (f"<article><p>{LONG}</p><p aria-label='Hidden costs' ng-hidden>{NOTE}</p></article>", f"{LONG}\n{NOTE}"),
+        (f"<article><h2 id=search>Search</h2><p id=search-tips>{LONG}</p></article>", f"Search\n{LONG}"),
+        (f'<article><section id="form-validation"><h2>V</h2><p>{LONG}</p></section><p>{LONG} 2</p></article>',
+         f"V\n{LONG}\n{LONG} 2"),
+        (f"<article><p>{LONG}</p><section id=related-work><p>{NOTE}</p></section></article>", f"{LONG}\n{NOTE}"),
+        # Hidden, advertising and comments go wherever they are.
+        (f"<article><p>{LONG}</p><p hidden>{NOTE}</p><p class=ad>Buy</p><p style='display: none'>x</p></article>", LONG),
+        (f"<article><p>{LONG}</p><section class='comments'><p>{LONG} 2</p></section><div id=cookie-banner>ok</div></article>", LONG),
+        # A heading beside the best container stays on long and short pages.
+        (f"<main><h1>T</h1><div><p>{LONG}</p></div></main>", f"T\n{LONG}"),
+        (f"<main><h1>T</h1><div>{f'<p>{LONG}</p>' * 40}</div></main>", "\n".join(["T", *[LONG] * 40])),
+        # So do quotes, lists and short paragraphs beside it.
+        (f"<main><div>{f'<p>{LONG}</p>' * 8}</div><blockquote>{NOTE}</blockquote><ul><li>One<li>Two</ul><p>{NOTE}</p></main>",
+         "\n".join([*[LONG] * 8, NOTE, "One", "Two", NOTE])),
+        # A list of links that text of the article leads to is a part of it.
+        (f"<article><p>{LONG}</p><h2>References</h2><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></article>",
+         f"{LONG}\nReferences\nOne\nTwo"),
+        # A form around the page is no form in it.
+        (f"<body><form><nav>Menu</nav><div><p>{LONG}</p><p>{LONG} 2</p></div><input value=x></form></body>", f"{LONG}\n{LONG} 2"),
+        (f"<article><p>{LONG}</p><form><p>{LONG} 2</p><button>Send</button></form></article>", LONG),
+        # Articles side by side.
+        (f"<main><article><h1>A</h1><p>{LONG}</p></article><article><h1>B</h1><p>{LONG} 2</p></article></main>",
+         f"A\n{LONG}\nB\n{LONG} 2"),
+    ],
+)
+def test_nothing_else_is_dropped(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def test_pages_on_odd_rows(spark):
+    page = f"<article><p>{LONG}</p></article>"
+    long = f"<article><p>{'word, ' * 200_000}</p></article>"
+    rows = [(None, None, None, "x"), (1, "u", "", "x"), (1, "u", page, "x"), (1, "u", page, "x"), (None, "v", long, "x")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string").withColumn("n_chars", F.lit(7))
+    got = [tuple(r) for r in html_extract.extract(pages).collect()]
+    want = [(None, None, "", 0), (1, "u", "", 0), (1, "u", LONG, len(LONG)), (1, "u", LONG, len(LONG))]
+    text = " ".join(["word,"] * 200_000)
+    assert collections.Counter(got) == collections.Counter([*want, (None, "v", text, len(text))])
+
+
 def test_deep_and_cut_pages():
     deep = html_extract.main_text("<font>" * 20_000 + "<p>x, y</p>" + "<i>a</i></q>" * 20_000)
     assert deep == "x, y\n" + "a" * 20_000
