@@ -13,26 +13,33 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auctionlens.llm.common import written
 
-KEY = "surrogates-1"
+#: Setting that holds the key of the registered queries and the pipeline.
+KEY_SETTING = "spark.auctionlens.surrogates.key"
+#: The key where that is unset, as on test data. It is public, so it hides nothing: a surrogate could be guessed back.
+PUBLIC_KEY = "surrogates-1"
 #: Rounds of collision checks; from WIDEN on each round adds a character, so a full format cannot block the end.
 WIDEN = 8
 
 #: Given names by (script, gender), in alphabetical order.
 GIVEN = {
-    ("latin", "f"): "Alice Anna Barbara Carmen Claire Elena Emma Greta Helga Ingrid Isabel Julia Karin Laura Linda "
-    "Lucia Maria Marta Mary Monika Nicole Olivia Patricia Sabine Sarah Sofia Susan Teresa Ursula Yvonne".split(),
-    ("latin", "m"): "Andreas Antonio Bruno Carlos Charles Daniel David Diego Felix Georg Hans Henri Hugo James Javier "
-    "John Joseph Juan Karl Klaus Luis Manuel Michael Miguel Pablo Paul Peter Robert Thomas William".split(),
+    ("latin", "f"): "Alice Anna Anne Barbara Carmen Claire Elena Elizabeth Emily Emma Greta Helga Ingrid Isabel Jane "
+    "Jennifer Jessica Julia Karen Karin Laura Linda Lisa Lucia Maria Marta Mary Michelle Monika Nancy Nicole Olivia "
+    "Patricia Sabine Sandra Sarah Sofia Susan Teresa Ursula Yvonne".split(),
+    ("latin", "m"): "Andreas Andrew Anthony Antonio Bruno Carlos Charles Christopher Daniel David Diego Edward Felix Georg "
+    "George Hans Henri Hugo James Javier John Jose Joseph Juan Karl Kevin Klaus Luis Manuel Mark Matthew Michael Miguel "
+    "Pablo Paul Peter Richard Robert Steven Thomas William".split(),
     ("greek", "f"): "Άννα Ελένη Ιωάννα Κατερίνα Μαρία Σοφία".split(),
     ("greek", "m"): "Ανδρέας Γιώργος Δημήτρης Κώστας Νίκος Πέτρος".split(),
     ("cyrillic", "f"): "Анна Елена Ирина Мария Наталья Ольга".split(),
@@ -45,12 +52,19 @@ SYLLABLES = {
     "cyrillic": "ба ва го да де ка ко ла ле ма ми на но ра ро са та".split(),
 }
 _OF_NAME = {name: key for key, names in GIVEN.items() for name in names}
+#: Titles before a name, by the gender they tell.
+TITLES = {
+    "f": "Frau Madame Miss Mme Mrs Ms Señora Signora Sra".split(),
+    "m": "Herr Herrn Mister Monsieur Mr Señor Signor Sr".split(),
+    "": "Dr Prof Professor".split(),
+}
+_GENDER_OF = {title: gender for gender, titles in TITLES.items() for title in titles}
 
 #: Fixed patterns of the kinds that begin with a digit, a sign or a word of their own.
 _DIGITS = re.compile(
     r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w.]*\d))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,5}|\(\d{3}\) ?\d{3}[ .-]\d{4}"
-    r"|\d{3}[.-]\d{3}[.-]\d{4})(?!\d))"
+    r"|\d{3}[.-]\d{3}[.-]\d{4}|(?<![.,-])0\d(?:[ .]\d{2}){4}|(?<![.,-])0\d{2,4}[ -]\d{3,8}(?:[ -]\d{3,4}){0,2})(?!\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<!\w)\d(?:[ -]?\d){12,18}(?!\w))"
 )
@@ -64,19 +78,36 @@ _LENGTHS = {
 #: How the digits of a card are grouped, where they are.
 _GROUPED = frozenset([(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)])
 _SECRET = re.compile(
-    r"(?P<lead>\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)"
-    r"(?P<secret>[A-Za-z0-9_\-/+.]{6,}(?<!\.))"
-    r"|(?P<cloud>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b)",
+    r"(?P<lead>(?:(?<![A-Za-z0-9])(?:password|passphrase|passwd|pass|pwd|token|secret|api[_-]?key|access[_-]?key)\b"
+    r"[\"']?\s*[=:]\s*[\"']?|\bbearer +))(?P<secret>[A-Za-z0-9_\-/+.]{6,}(?<!\.))"
+    r"|(?P<cloud>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b|\bsk-[A-Za-z0-9_-]{16,}"
+    r"|\bxox[abprs]-[A-Za-z0-9-]{10,}|\bAIza[A-Za-z0-9_-]{30,}|\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})",
     re.IGNORECASE,
 )
 #: What any secret's surroundings hold, in lower case; a plain search for these is much faster than the pattern.
-_SECRET_WORDS = ("passw", "pwd", "token", "secret", "key", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
+_SECRET_WORDS = (
+    "pass", "pwd", "token", "secret", "key", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "bearer", "sk-", "xox",
+    "aiza", "eyj",
+)
+_KEY_BLOCK = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----(.*?)(?:-----END \1-----|\Z)", re.DOTALL)
 #: Where digits may stand together; patterns that begin with a set of characters are searched fastest.
 _RUN = re.compile(r"[\d+(][\d ().+\-]{5,}")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+\-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
-_FULL_NAME = re.compile(r"([A-ZÀ-ÞΆ-ΫА-Я]\w+)(?= ([A-ZÀ-ÞΆ-ΫА-Я]\w{2,}))")
+_IP6 = re.compile(r"[0-9A-Fa-f:]*(?:\.\d+){0,3}")
+_UPPER = "A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ"
+#: A part of a name: capitalised, with a short prefix or a hyphen perhaps.
+_PART = rf"(?:[{_UPPER}]['’])?[{_UPPER}][\w]+(?:-[{_UPPER}]\w+)*"
+_FULL_NAME = re.compile(rf"({_PART})(?= ({_PART}))")
+_TITLED = re.compile(rf"\b({'|'.join(_GENDER_OF)})\b\.?(?: (?:Dr|Prof)\b\.?)? ({_PART})(?: ({_PART}))?")
+#: A field or a greeting that a full name follows.
+_CUED = re.compile(
+    rf"\b(?:(?:[Ff]ull )?[Nn]ame|[Cc]ontact|[Ff]rom|[Ss]igned(?: by)?|[Aa]uthor|[Cc]ustomer|[Pp]atient): *({_PART}) ({_PART})"
+    rf"|\bDear ({_PART}) ({_PART})(?=[,:\n])|\b(?:[Rr]egards|[Ss]incerely|[Gg]rüßen?|[Ss]aludos|[Cc]ordialement),?\n+({_PART}) ({_PART})"
+    rf"|({_PART}) ({_PART})(?= ?[<(][\w.%+-]+@)"
+)
+_RUSSIAN = re.compile(r"[А-ЯЁ]\w*(?:[оеё]в|ин)(?:а|у|ым|ой|ых)?|[А-ЯЁ]\w*ск(?:ий|ая|ого|ой|ому|им)")
 
 Mention = tuple[int, int, str, str]  # start, end, kind, canonical value
 
@@ -97,6 +128,8 @@ def _begins_word(text: str, at: int) -> bool:
 def _end_of(text: str, m: re.Match) -> int | None:
     """Where the number ends: its groups may be followed by those of another one. None if it is no number of its kind."""
     kind = m.lastgroup
+    if kind == "phone" and m[0][0] == "0":  # national: an area code and a subscriber's number
+        return m.end() if 9 <= sum(c.isdigit() for c in m[0]) <= 14 else None
     if kind not in ("phone", "card") or kind == "phone" and m[0][0] != "+":
         return m.end()
     groups = [(g.start(), g.end()) for g in re.compile(r"\d+").finditer(text, m.start(), m.end())]
@@ -138,12 +171,15 @@ def mentions(text: str) -> list[Mention]:
                 part = text[m.start() : end]
                 found.append((m.start(), end, kind, part if kind == "ip" else re.sub(r"\D", "", part)))
             m = _DIGITS.search(text, end or m.start() + 1, run.end() + 2)
+    found += _addresses6(text)
     lower = text.lower()
     if any(w in lower for w in _SECRET_WORDS):
         for m in _SECRET.finditer(text):
             kind = "secret" if m["secret"] else "cloud"
             if kind == "cloud" or re.search(r"\d", m["secret"]):
                 found.append((m.start(kind), m.end(kind), "secret", m[kind]))
+        if "private key" in lower:
+            found += [(m.start(2), m.end(2), "secret", m[2]) for m in _KEY_BLOCK.finditer(text) if m[2].strip()]
     for m in _IBAN.finditer(text):
         value = m[0].replace(" ", "")
         if _begins_word(text, m.start()) and 15 <= len(value) <= 34 and _mod97(value) == 1:
@@ -157,22 +193,85 @@ def mentions(text: str) -> list[Mention]:
     return kept
 
 
+def _addresses6(text: str) -> list[Mention]:
+    """IPv6 addresses of three groups or more; their canonical value is the shortest form."""
+    found, done = [], 0
+    at = text.find(":")
+    while at >= 0:
+        if at >= done:
+            start = at - len(re.search(r"[0-9A-Fa-f]*\Z", text[max(0, at - 5) : at])[0])
+            m = _IP6.match(text, start)
+            done, value = max(m.end(), at + 1), m[0].rstrip(":.") if not m[0].endswith("::") else m[0]
+            if value.count(":") >= 2 and _begins_word(text, start) and len(re.findall(r"[0-9A-Fa-f]+", value)) >= 3:
+                end = start + len(value)
+                try:
+                    address = ipaddress.IPv6Address(value)
+                except ValueError:
+                    address = None
+                if address and not (end < len(text) and (text[end].isalnum() or text[end] == "_")):
+                    found.append((start, end, "ipv6", address.compressed))
+        at = text.find(":", max(at + 1, done))
+    return found
+
+
+def _plain(name: str) -> str:
+    """The name with a capital and small letters after each mark, and without accents if it is Latin."""
+    name = "".join(c for c in unicodedata.normalize("NFD", name) if not "\u0300" <= c <= "\u036f") if name < "Ͱ" else name
+    return name.title() if name.isupper() else name
+
+
+def _known(given: str) -> tuple[str, str] | None:
+    """(script, gender) of a given name, by its first part; None if it is not listed."""
+    return _OF_NAME.get(_plain(given)) or _OF_NAME.get(_plain(given).split("-")[0])
+
+
+def _name(given: str, surname: str, gender: str = "") -> str:
+    """The canonical value: both names, with the gender that a title told before them if the given name is not listed."""
+    shown = lambda x: x.title() if x.isupper() else x
+    told = "" if _known(given) else gender
+    return f"{told}|{shown(given)} {shown(surname)}" if told else f"{shown(given)} {shown(surname)}"
+
+
 def _names(text: str) -> list[Mention]:
-    """Full names that begin with a known given name, and later mentions of their parts in the same text."""
-    full = [
-        m for m in _FULL_NAME.finditer(text)
-        if m[1] in _OF_NAME and m[2] not in _OF_NAME and _begins_word(text, m.start())
-    ]
+    """Names of persons, and later mentions of their parts in the same text.
+
+    Full names with a listed given name, or with a Russian surname; names after a title; full names in a field, after
+    a greeting, in a signature or before an address in brackets. A title and a surname alone mean the person of that
+    surname whom the text names in full, if there is one.
+    """
+    full: dict[int, tuple[int, str, str, str]] = {}  # end, given, surname, gender by start
+    short: list[tuple[int, int, str, str]] = []
+    for m in _FULL_NAME.finditer(text):
+        listed = _known(m[1]) and not _known(m[2]) and (len(m[2]) > 2 and m[1].isupper() == m[2].isupper())
+        if (listed or _RUSSIAN.fullmatch(m[2]) and "А" <= m[1][0] <= "я") and _begins_word(text, m.start()):
+            full[m.start()] = (m.end(2), m[1], m[2], "")
+    if any(title in text for title in _GENDER_OF):
+        for m in _TITLED.finditer(text):
+            if m[3] and m[2] not in _GENDER_OF:
+                full[m.start(2)] = (m.end(3), m[2], m[3], _GENDER_OF[m[1]])
+            elif m[2] not in _GENDER_OF:
+                short.append((m.start(2), m.end(2), m[2], _GENDER_OF[m[1]]))
+    for m in _CUED.finditer(text):
+        i = m.lastindex
+        if m[i - 1] not in _GENDER_OF:
+            full.setdefault(m.start(i - 1), (m.end(i), m[i - 1], m[i], ""))
+    genders: dict[tuple[str, str], str] = {}
+    for _, given, surname, gender in full.values():
+        genders[given, surname] = genders.get((given, surname)) or gender
     found, parts = [], {}
-    for m in full:
-        value = f"{m[1]} {m[2]}"
-        found.append((m.start(), m.end(2), "name", value))
-        parts.setdefault(m[1], ("given", value))
-        parts.setdefault(m[2], ("surname", value))
+    for start, (end, given, surname, _) in sorted(full.items()):
+        value = _name(given, surname, genders[given, surname])
+        found.append((start, end, "name", value))
+        parts.setdefault(given, ("given", value))
+        parts.setdefault(surname, ("surname", value))
+    for _, _, surname, gender in short:
+        parts.setdefault(surname, ("surname", _name("-", surname, gender)))
     if parts:
-        taken = [(a, b) for a, b, *_ in found]
-        for m in re.finditer(r"\b(?:%s)\b" % "|".join(map(re.escape, parts)), text):
-            if not any(a <= m.start() < b for a, b in taken):
+        taken, i = sorted((a, b) for a, b, *_ in found), 0
+        for m in re.finditer(r"\b(?:%s)\b" % "|".join(map(re.escape, sorted(parts, key=len, reverse=True))), text):
+            while i < len(taken) and taken[i][1] <= m.start():
+                i += 1
+            if i == len(taken) or m.start() < taken[i][0]:
                 found.append((m.start(), m.end(), *parts[m[0]]))
     return found
 
@@ -203,14 +302,23 @@ class _Stream:
         return "".join(map(pick, text))
 
 
-def surrogate(kind: str, value: str, draw: int = 0, key: str = KEY) -> str:
-    """The canonical value that takes the entity's place in its ``draw``-th attempt."""
+def _script(name: str) -> str:
+    return "cyrillic" if "Ѐ" <= name[0] <= "ӿ" else "greek" if "Ͱ" <= name[0] <= "Ͽ" else "latin"
+
+
+def surrogate(kind: str, value: str, draw: int = 0, key: str = PUBLIC_KEY) -> str:
+    """The canonical value that takes the entity's place in its ``draw``-th attempt.
+
+    From WIDEN draws on a character more makes room, but for addresses of hosts and IBANs, whose length is fixed.
+    """
     s = _Stream(key, kind, value, draw)
     more = "".join(str(s.below(10)) for _ in range(max(0, draw - WIDEN + 1)))
     if kind == "name":
-        given, surname = value.split(" ", 1)
-        script, gender = _OF_NAME[given]
-        names, parts = GIVEN[script, gender], SYLLABLES[script]
+        told, _, whole = value.rpartition("|")
+        given, surname = whole.split(" ", 1)
+        script, gender = _known(given) or (_script(surname), told)
+        names = GIVEN[script, gender] if gender else GIVEN[script, "f"] + GIVEN[script, "m"]
+        parts = SYLLABLES[script]
         new = "".join(parts[s.below(len(parts))] for _ in range(max(2, len(surname) // 2) + max(0, draw - WIDEN + 1)))
         return f"{names[s.below(len(names))]} {new.capitalize()}"
     if kind == "email":
@@ -219,8 +327,12 @@ def surrogate(kind: str, value: str, draw: int = 0, key: str = KEY) -> str:
         return f"{s.like(local)}{more}@{s.like(host)}.{top}"
     if kind == "ip":
         return ".".join(str(1 + s.below(254)) for _ in range(4))
-    if kind == "phone":  # the country's digits stay
-        keep = max(0, min(3, len(value) - 10))
+    if kind == "ipv6":  # each group by one of its length
+        return re.sub(
+            r"[0-9a-f]+", lambda g: "".join("123456789abcdef"[s.below(15)] for _ in g[0]), value.lower()
+        )
+    if kind == "phone":  # the country's digits stay, or the zero in front
+        keep = 1 if value[0] == "0" else max(0, min(3, len(value) - 10))
         return value[:keep] + s.like(value[keep:]) + more
     if kind == "card":
         body = value[0] + s.like(value[1:-1]) + more
@@ -243,10 +355,12 @@ def poured(mention: str, kind: str, new: str) -> str:
     if kind == "email" and mention != mention.lower():
         if len(new) == len(mention):
             return "".join(n.upper() if c.isupper() else n for c, n in zip(mention, new))
+    if kind in ("name", "given", "surname", "ipv6") and mention.isupper():
+        return new.upper()
     return new
 
 
-def replaced(text: str, draws: dict[tuple[str, str], int], key: str = KEY) -> tuple[str, dict[str, int]]:
+def replaced(text: str, draws: dict[tuple[str, str], int], key: str = PUBLIC_KEY) -> tuple[str, dict[str, int]]:
     """The text with surrogates, and how many mentions of each kind it had."""
     out, end, counts = [], 0, {}
     for start, stop, kind, value in mentions(text):
@@ -267,11 +381,10 @@ def entities(docs: DataFrame) -> DataFrame:
         for batch in batches:
             place, kinds, values = [], [], []
             for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for kind, value in {(m[2], m[3]) for m in mentions(text)}:
-                    if kind not in ("given", "surname"):
-                        place.append(at)
-                        kinds.append(kind)
-                        values.append(value)
+                for kind, value in {("name" if m[2] in ("given", "surname") else m[2], m[3]) for m in mentions(text)}:
+                    place.append(at)
+                    kinds.append(kind)
+                    values.append(value)
             arrays = [pa.array(place, pa.int64()), pa.array(kinds, pa.string()), pa.array(values, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["place", "kind", "value"])
 
@@ -279,11 +392,12 @@ def entities(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(rows, "place bigint, kind string, value string")
 
 
-def draw_again(found: DataFrame, key: str = KEY, rename=surrogate) -> DataFrame:
+def draw_again(found: DataFrame, key: str = PUBLIC_KEY, rename=surrogate) -> DataFrame:
     """(kind, value, draw) of the distinct entities whose first surrogate collides, with the first draw that doesn't.
 
-    Every round sets all surrogates side by side. Of entities that share one, that
-    which needed fewer draws, then the smallest value, keeps it.
+    A surrogate that is an entity of the corpus, or that an entity of fewer draws has, is drawn again; of entities that
+    share one in the same round the smallest value keeps it. The first round sets all surrogates side by side; each
+    further one shuffles the losers alone and looks up what they hit.
     """
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,26 +407,38 @@ def draw_again(found: DataFrame, key: str = KEY, rename=surrogate) -> DataFrame:
 
     names = ["kind", "value", "draw"]
     real = written(found.select("kind", "value").distinct(), "entities")
-    state = real.withColumn("draw", F.lit(0))
+    asked, kept = real.withColumn("draw", F.lit(0)), None
     while True:
-        new = state.select(names).mapInArrow(name, "kind string, value string, draw int, new string")
-        named = written(new, "surrogates")
-        owner = named.groupBy("kind", "new").agg(F.min(F.struct("draw", "value")).alias("owner"))
-        exists = real.select("kind", F.col("value").alias("new"), F.lit(True).alias("exists"))
-        checked = named.join(owner, ["kind", "new"]).join(exists, ["kind", "new"], "left")
-        lost = F.col("exists").isNotNull() | (F.col("owner.value") != F.col("value"))
-        state = written(checked.select("kind", "value", "draw", lost.alias("lost")), "draws")
-        if not state.where("lost").limit(1).count():
-            return state.where("draw > 0").select(names)
-        state = state.withColumn("draw", F.col("draw") + F.col("lost").cast("int"))
-
-
-def replace_personal_data(docs: DataFrame, key: str = KEY, counts: bool = False) -> DataFrame:
+        drawn = written(asked.select(names).mapInArrow(name, "kind string, value string, draw int, new string"), "surrogates")
+        owner = drawn.groupBy("kind", "new").agg(F.min("value").alias("owner"))
+        used = real.select("kind", F.col("value").alias("new"))
+        used = used if kept is None else used.unionByName(kept.select("kind", "new"))
+        # A semi join, so that the few losers are what is sent around, not the entities that they are held against.
+        hit = used.join(owner.select("kind", "new"), ["kind", "new"], "left_semi").distinct().withColumn("hit", F.lit(True))
+        checked = drawn.join(owner, ["kind", "new"]).join(hit, ["kind", "new"], "left")
+        lost = F.col("hit").isNotNull() | (F.col("owner") != F.col("value"))
+        state = written(checked.select(*names, "new", lost.alias("lost")), "draws")
+        kept = state.where("not lost") if kept is None else kept.unionByName(state.where("not lost"))
+        losers = state.where("lost")
+        if losers.isEmpty():
+            return kept.where("draw > 0").select(names)
+        asked = losers.withColumn("draw", F.col("draw") + 1)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session is set to use, or the public one."""
+    return spark.conf.get(KEY_SETTING, None) or PUBLIC_KEY
+
+
+def replace_personal_data(docs: DataFrame, key: str | None = None, counts: bool = False) -> DataFrame:
     """The documents with surrogates in ``text``; with ``counts`` also ``pii``, a map from kind to mentions.
 
+    ``key`` is the caller's secret; the session's if none is given.
+
     Null and empty texts stay as they are; repeated rows and null ids are rows like
     others; all other columns are passed on, but for one named ``pii`` if it is added.
     """
+    key = key or session_key(docs.sparkSession)
     found = entities(docs)
     again = written(draw_again(found, key), "again")
     # Only the texts that hold such an entity: a short list, which Spark broadcasts if its written size allows.

@@ -206,6 +206,52 @@ def test_numbers_beside_numbers(text, want):
     assert [(kind, text[a:b]) for a, b, kind, _ in pii.mentions(text)] == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("met Jennifer Smith there", [("name", "Jennifer Smith")]),
+        ("José García and MARY SMITH", [("name", "José García"), ("name", "MARY SMITH")]),
+        ("Mary-Ann Smith, Mary O'Neil", [("name", "Mary-Ann Smith"), ("name", "Mary O'Neil")]),
+        ("told Mr. Weber that Dr. Xenia Quade and Weber", [("surname", "Weber"), ("name", "Xenia Quade"), ("surname", "Weber")]),
+        ("Mrs Jo Quade. Later Mrs Quade", [("name", "Jo Quade"), ("surname", "Quade")]),
+        ("от Ивана Петрова вчера", [("name", "Ивана Петрова")]),
+        ("Name: Xenia Quade", [("name", "Xenia Quade")]),
+        ("Dear Xenia Quade,\nBest regards,\nZoe Iwu", [("name", "Xenia Quade"), ("name", "Zoe Iwu")]),
+        ("Zoe Iwu <zi@example.com>", [("name", "Zoe Iwu"), ("email", "zi@example.com")]),
+        ("at 2001:db8::ff00:42:8329, 12:30:45", [("ipv6", "2001:db8::ff00:42:8329")]),
+        ("std::vector a::b 10:20 ::1", []),
+        ("call 030 1234567 or 0800 123 456 7890.", [("phone", "030 1234567"), ("phone", "0800 123 456 7890")]),
+        ("tel 01 23 45 67 89, in 0.125 or 012 345", [("phone", "01 23 45 67 89")]),
+        ("pass=abc123xyz sk-abcdEFGH1234567890abcd", [("secret", "abc123xyz"), ("secret", "sk-abcdEFGH1234567890abcd")]),
+        ("Authorization: Bearer abc.def-123456 and client_secret: 9f8e7d6c",
+         [("secret", "abc.def-123456"), ("secret", "9f8e7d6c")]),
+        ("-----BEGIN RSA PRIVATE KEY-----\nMIIabc\n-----END RSA PRIVATE KEY-----", [("secret", "\nMIIabc\n")]),
+        ("The March Report. New York City. Dear Sir, the passage of risk-averse tokens", []),
+    ],
+)
+def test_entities_by_form_and_cue(text, want):
+    assert [(kind, text[a:b]) for a, b, kind, _ in pii.mentions(text)] == want
+    new, _ = pii.replaced(text, {})
+    assert all(part not in new for _, part in want)
+
+
+def test_surrogates_follow_gender_and_case():
+    new = pii.replaced("Mrs Xenia Quade and Xenia Quade; MARY SMITH is Mary Smith", {})[0]
+    m = re.fullmatch(r"Mrs (\w+ \w+) and (\w+ \w+); ([A-Z]+ [A-Z]+) is (\w+ \w+)", new)
+    assert m[1] == m[2] and m[1].split()[0] in pii.GIVEN["latin", "f"] and m[3] == m[4].upper()
+
+
+def test_key_comes_from_the_session(spark):
+    docs = spark.createDataFrame([(1, "at 1.2.3.4 now")], "doc_id bigint, text string")
+    plain, given = (pii.replace_personal_data(docs, key=k).first().text for k in (pii.PUBLIC_KEY, "mine"))
+    assert pii.replace_personal_data(docs).first().text == plain != given
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    try:
+        assert pii.query(docs).first().text == given
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_surrogates_are_distinct(spark):
     names = [("ip", f"10.0.0.{i}") for i in range(60)]
     few = lambda kind, value, draw, key: f"s{(int(value.split('.')[-1]) + 17 * draw) % 64}"
