@@ -101,12 +101,16 @@ _UPPER = "A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ"
 _PART = rf"(?:[{_UPPER}]['’])?[{_UPPER}][\w]+(?:-[{_UPPER}]\w+)*"
 _FULL_NAME = re.compile(rf"({_PART})(?= ({_PART}))")
 _TITLED = re.compile(rf"\b({'|'.join(_GENDER_OF)})\b\.?(?: (?:Dr|Prof)\b\.?)? ({_PART})(?: ({_PART}))?")
-#: A field or a greeting that a full name follows.
+#: Two capitalised words, or a title and one; the patterns above are tried only where this one finds them.
+_PAIR = re.compile(rf"[{_UPPER}][\w'’-]+\.?(?= [{_UPPER}])")
+#: A field, a greeting or the end of a letter, which a full name follows; what any of them holds, for a plain search.
 _CUED = re.compile(
     rf"\b(?:(?:[Ff]ull )?[Nn]ame|[Cc]ontact|[Ff]rom|[Ss]igned(?: by)?|[Aa]uthor|[Cc]ustomer|[Pp]atient): *({_PART}) ({_PART})"
     rf"|\bDear ({_PART}) ({_PART})(?=[,:\n])|\b(?:[Rr]egards|[Ss]incerely|[Gg]rüßen?|[Ss]aludos|[Cc]ordialement),?\n+({_PART}) ({_PART})"
-    rf"|({_PART}) ({_PART})(?= ?[<(][\w.%+-]+@)"
 )
+_CUES = ("ame: ", "ontact: ", "rom: ", "igned: ", "igned by: ", "uthor: ", "ustomer: ", "atient: ", "Dear ", "egards", "incerely",
+         "rüße", "aludos", "ordialement")
+_BEFORE_ADDRESS = re.compile(rf"({_PART}) ({_PART}) ?[<(][\w.%+-]*\Z")
 _RUSSIAN = re.compile(r"[А-ЯЁ]\w*(?:[оеё]в|ин)(?:а|у|ым|ой|ых)?|[А-ЯЁ]\w*ск(?:ий|ая|ого|ой|ому|им)")
 
 Mention = tuple[int, int, str, str]  # start, end, kind, canonical value
@@ -241,17 +245,28 @@ def _names(text: str) -> list[Mention]:
     """
     full: dict[int, tuple[int, str, str, str]] = {}  # end, given, surname, gender by start
     short: list[tuple[int, int, str, str]] = []
-    for m in _FULL_NAME.finditer(text):
-        listed = _known(m[1]) and not _known(m[2]) and (len(m[2]) > 2 and m[1].isupper() == m[2].isupper())
-        if (listed or _RUSSIAN.fullmatch(m[2]) and "А" <= m[1][0] <= "я") and _begins_word(text, m.start()):
-            full[m.start()] = (m.end(2), m[1], m[2], "")
-    if any(title in text for title in _GENDER_OF):
-        for m in _TITLED.finditer(text):
-            if m[3] and m[2] not in _GENDER_OF:
-                full[m.start(2)] = (m.end(3), m[2], m[3], _GENDER_OF[m[1]])
-            elif m[2] not in _GENDER_OF:
-                short.append((m.start(2), m.end(2), m[2], _GENDER_OF[m[1]]))
-    for m in _CUED.finditer(text):
+    for hit in _PAIR.finditer(text):
+        if not _begins_word(text, hit.start()):
+            continue
+        title = hit[0].rstrip(".")
+        if title in _GENDER_OF:
+            m = _TITLED.match(text, hit.start())
+            if m and m[3] and m[2] not in _GENDER_OF:
+                full.setdefault(m.start(2), (m.end(3), m[2], m[3], _GENDER_OF[title]))
+            elif m and m[2] not in _GENDER_OF:
+                short.append((m.start(2), m.end(2), m[2], _GENDER_OF[title]))
+        elif m := _FULL_NAME.match(text, hit.start()):
+            listed = _known(m[1]) and not _known(m[2]) and len(m[2]) > 2 and m[1].isupper() == m[2].isupper()
+            if listed or m[2][0] >= "А" and _RUSSIAN.fullmatch(m[2]) and m[1][0] >= "А":
+                full.setdefault(m.start(), (m.end(2), m[1], m[2], ""))
+    cued = list(_CUED.finditer(text)) if any(c in text for c in _CUES) else []
+    at = text.find("@")
+    while at >= 0:
+        first = max(0, at - 160)
+        if m := _BEFORE_ADDRESS.search(text[first:at]):
+            full.setdefault(first + m.start(1), (first + m.end(2), m[1], m[2], ""))
+        at = text.find("@", at + 1)
+    for m in cued:
         i = m.lastindex
         if m[i - 1] not in _GENDER_OF:
             full.setdefault(m.start(i - 1), (m.end(i), m[i - 1], m[i], ""))
