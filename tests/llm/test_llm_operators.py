@@ -395,9 +395,8 @@ def test_spans_on_odd_rows(odd, none):
 
 
 def test_top_k_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 64)
-    monkeypatch.setattr(topk, "QUERIES", 3)
-    monkeypatch.setattr(topk, "DEPTH", 2)
+    for name, value in (("VALUES", 64 * 6), ("QUERIES", 3), ("PARTS", 2), ("LAID", 2), ("BOUNDS", 3), ("SEEDS", 20), ("DEPTH", 2)):
+        monkeypatch.setattr(topk, name, value)
     draw = np.random.default_rng(1)
     rows = [(i, [float(x) for x in np.round(draw.normal(size=6), 1)]) for i in range(400)]
     rows += [(500, [1.0] * 6), (501, [1.0] * 6), (600, None), (601, [1.0, None] * 3), (602, [math.nan] * 6), (603, [math.inf] * 6)]
@@ -411,6 +410,53 @@ def test_top_k_by_brute_force(spark, monkeypatch):
     assert {tuple(r) for r in got} == want
 
 
+@pytest.mark.parametrize("floor", [False, True])
+def test_threshold_stops_early_on_skewed_vectors(floor):
+    draw = np.random.default_rng(3)
+    n, dims = 4000, 16
+    x = np.floor(256 * draw.normal(size=(n, dims)) * draw.pareto(1.5, size=(n, 1))).astype(np.int64)
+    ids, at = draw.permutation(n), np.arange(0, n, 50)
+    q, query_ids = x[at], ids[at]
+    scores = (x @ q.T).T
+    want = set()
+    for row, query in zip(scores, query_ids):
+        best = sorted((-int(s), int(i)) for s, i in zip(row, ids) if i != query)[:5]
+        want |= {(int(query), i, -s) for s, i in best}
+    kth = np.array([min(s for q_, _, s in want if q_ == query) for query in query_ids]) if floor else None
+    scored: list[int] = []
+    got = topk.block_top(ids, x, query_ids, q, 5, kth, scored)
+    assert {tuple(map(int, r)) for r in zip(*got)} == want
+    assert sum(scored) < n * len(q) / 2
+
+
+def test_blocks_out_of_reach_are_not_met(spark, monkeypatch):
+    for name, value in (("VALUES", 100 * 4), ("QUERIES", 8), ("LAID", 1), ("SEEDS", 50)):
+        monkeypatch.setattr(topk, name, value)
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(2000, 4)) * np.where(np.arange(2000) % 10 == 0, 20.0, 0.1)[:, None]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    tables = {}
+    keep = topk.written
+    monkeypatch.setattr(topk, "written", lambda d, label: tables.setdefault(label, keep(d, label)))
+    got = {tuple(r) for r in topk.top_k(df).collect()}
+    whole = np.floor(256 * x).astype(np.int64)
+    want = set()
+    for i in range(0, 2000, 50):
+        best = sorted((-int(s), j) for j, s in enumerate(whole @ whole[i]) if j != i)[:5]
+        want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(best)}
+    assert got == want
+    met = tables["work"].select(F.sum(F.size("ids"))).first()[0]
+    assert met < 40 * tables["blocks"].count() / 2
+
+
+def test_top_k_on_odd_rows(spark):
+    rows = [(50, [1.0, 2.0]), (50, [1.0, 2.0]), (50, [0.0, 1.0]), (None, [9.0, 9.0]), (1, []), (100, []), (2, [1.0, 1.0]),
+            (2, [5.0, 0.0]), (3, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("dims", F.lit("x"))
+    got = sorted(tuple(r) for r in topk.top_k(df.withColumn("norm", F.lit(1))).collect())
+    assert got == [(50, 1, 2, 256 * 256), (50, 2, 2, 0)]  # the least vector of id 50 asks, each row of id 2 answers
+
+
 def test_top_k_of_few(spark):
     rows = [(0, [1e7, 2.0]), (50, [1.0, -1.0]), (1, [3.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("rank", F.lit(1))
