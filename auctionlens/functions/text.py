@@ -43,11 +43,13 @@ def clean_text(text: Column) -> Column:
 
 
 def _phrases(words: Column, n: int) -> Column:
-    """All runs of ``n`` neighbouring words."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
-    return F.coalesce(
-        F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")), F.array().cast("array<string>")
-    )
+    """All runs of ``n`` neighbouring words; the words are taken once for each of the n, not for each run."""
+    runs = F.size(words) - (n - 1)
+    whole = F.slice(words, 1, F.greatest(runs, F.lit(0)))
+    for k in range(1, n):
+        after = F.slice(words, k + 1, F.greatest(runs, F.lit(0)))
+        whole = F.zip_with(whole, after, lambda head, word: F.concat(head, F.lit(" "), word))
+    return F.coalesce(whole, F.array().cast("array<string>"))
 
 
 def tokens(text: Column, max_words: int = 1) -> Column:

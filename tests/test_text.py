@@ -1,6 +1,7 @@
 """Text clean-up, pages, tweets in batch and as a stream."""
 
 import json
+import time
 
 import pytest
 from conftest import rows
@@ -170,3 +171,21 @@ def test_line_count(spark, tmp_path):
     (tmp_path / "b").write_text("z\n")
     files = {n: spark.read.text(str(tmp_path / n)) for n in "ab"}
     assert rows(tweets.line_count(files)) == [("a", 2), ("b", 1)]
+
+
+LONG = [f"w{i % 997}" for i in range(60_000)]
+
+
+def long_text(spark):
+    """60,000 words: taken apart anew for every word or character, they would take many minutes."""
+    return spark.createDataFrame([(1, " ".join(LONG) + " Needle"), (2, "w1 w2"), (3, ""), (4, None)], "tweet_id bigint, text string")
+
+
+def test_phrases_take_time_in_proportion_to_the_text(spark):
+    scored = {"w1 w2": 2, "w2": -1, "w996 w0 w1": 5}
+    lexicon = spark.createDataFrame(list(scored.items()), "term string, score int")
+    began = time.perf_counter()
+    got = dict(tweets.tweet_sentiment(long_text(spark), lexicon, max_words=3).collect())
+    runs = [" ".join(LONG[i : i + n]) for n in (1, 2, 3) for i in range(len(LONG) - n + 1)]
+    assert got == {1: sum(scored.get(r, 0) for r in runs), 2: 1, 3: 0, 4: 0}
+    assert time.perf_counter() - began < 60
