@@ -52,6 +52,11 @@ def _phrases(words: Column, n: int) -> Column:
     return F.coalesce(whole, F.array().cast("array<string>"))
 
 
+def sequences(text: Column, size: Column) -> Column:
+    """All runs of ``size`` neighbouring characters, in one pass over the text, however long it is."""
+    return F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), size.cast("string"), F.lit("}))")), 1)
+
+
 def tokens(text: Column, max_words: int = 1) -> Column:
     """Lower-case whitespace tokens; with ``max_words`` above 1 also the longer phrases."""
     words = F.array_remove(F.split(F.lower(text), r"\s+"), "")

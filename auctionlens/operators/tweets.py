@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auctionlens.functions.predicates import matches_any
-from auctionlens.functions.text import tokens
+from auctionlens.functions.text import sequences, tokens
 
 
 def tweet_select(tweets: DataFrame) -> DataFrame:
@@ -49,8 +49,7 @@ def tweet_track_many(tweets: DataFrame, keywords: DataFrame) -> DataFrame:
     sizes = index.agg(F.collect_set("size")).scalar()  # at most GRAM numbers
     text, size = F.lower("text"), F.col("size")
     each = tweets.select("tweet_id", "text", sizes.alias("sizes")).select("tweet_id", "text", F.explode("sizes").alias("size"))
-    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, size)))
+    grams = F.array_distinct(sequences(text, size))
     parts = each.select("tweet_id", F.explode_outer(grams).alias("gram")).where("gram IS NOT NULL")
     maybe = parts.join(index.select("gram", "keyword"), "gram").select(F.col("tweet_id").alias("found_id"), "keyword").distinct()
     named = (F.col("tweet_id") == F.col("found_id")) & text.contains(F.col("keyword"))
