@@ -118,17 +118,23 @@ def bucket_perf(df: DataFrame, buckets: DataFrame, features: Sequence[str]) -> D
 
 
 def bucket_perf_campaign(df: DataFrame, buckets: DataFrame, features: Sequence[str]) -> DataFrame:
-    """``bucket_perf`` per campaign, with the remainder of each campaign as the last level."""
+    """``bucket_perf`` per campaign, with the remainder of each campaign as the last level.
+
+    Levels are found for the different keys, not for each campaign of a key. The groups,
+    summed up first so that no hot key gathers rows, meet the level of their key; what
+    keeps all its features is settled there, and only what loses some is combined anew
+    over the shorter keys.
+    """
     keys = [*features, "campaign_id"]
-    base = with_keys(df, keys).groupBy(*keys).agg(*_sums())
-    assigned = assign_levels(base, buckets, features).withColumn(
+    known = with_keys(df, keys)
+    base = known.groupBy(*keys).agg(*_sums())
+    found = assign_levels(known.select(*features).distinct(), buckets, features).withColumn(
         "level", F.coalesce("level", F.lit(len(features)))
     )
-    return (
-        assigned.select("level", *_mask(features), "campaign_id", "imps", "clicks")
-        .groupBy("level", *keys)
-        .agg(*_sums())
-    )
+    placed = base.join(found, list(features))
+    whole = placed.where("level = 0").select("level", *keys, "imps", "clicks")
+    rest = placed.where("level > 0").select("level", *_mask(features), "campaign_id", "imps", "clicks")
+    return whole.unionByName(rest.groupBy("level", *keys).agg(*_sums()))
 
 
 def bucket_update(

@@ -91,6 +91,16 @@ def test_applying_buckets(spark, conf, broadcast):
     assert got == {k: tuple(v) for k, v in per_campaign.items()}
 
 
+def test_levels_are_found_for_keys_not_for_campaigns(spark, monkeypatch):
+    """Only the different keys are offered at every level; the sums of campaigns meet the level of their key."""
+    offered, match = [], buckets.match_buckets
+    monkeypatch.setattr(buckets, "match_buckets", lambda df, *rest: offered.append(df) or match(df, *rest))
+    df = spark.createDataFrame(data(6), SCHEMA)
+    buckets.bucket_perf_campaign(df, buckets.bucketize(df, FEATURES, 90), FEATURES)
+    assert [x.columns for x in offered] == [FEATURES]
+    assert rows(offered[0]) == sorted({r[:3] for r in data(6) if r[0]})
+
+
 def test_bucket_update(spark):
     base = [("x", "x", "x", 1, 100, 1), ("y", "x", "x", 1, 100, 1), ("z", "y", "y", 1, 10, 1), ("w", "y", "y", 1, 95, 1)]
     stored = buckets.bucketize(spark.createDataFrame(base, SCHEMA), FEATURES, 90)
