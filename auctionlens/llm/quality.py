@@ -2,7 +2,9 @@
 
 Documents labelled good are preferred to documents labelled bad. The strength of a
 document is linear in features of its text and is learned from preference pairs by
-logistic loss on the feature differences. The threshold is the quantile of the
+logistic loss on the feature differences. All labelled rows are learned from: dealt
+to blocks by a hash, each meets some rows of the other label in its block, and every
+Newton step adds up the blocks' gradients. The threshold is the quantile of the
 training scores at the share of bad labels; a score is the probability that the
 document would be preferred to one at the threshold.
 """
@@ -19,12 +21,16 @@ from pyspark.sql import functions as F
 from auctionlens.llm.common import written
 from auctionlens.llm.rules import measure
 
-#: Labelled rows that are learned from at most: those with the smallest hashes of their id and features.
+#: Rows of the sample that gives the Newton steps their start: those with the smallest hashes of their id and features.
 SAMPLE = 20_000
 #: Parts of the range of the hash, of which as many are read as hold the sample and a tenth more.
 PARTS = 1 << 30
-#: Preference pairs drawn per labelled row, and their number at most.
+#: Rows of the other label that a labelled row is paired with, and the pairs of the start at most.
 PAIRS_PER_ROW, PAIRS = 8, 100_000
+#: Labelled rows to a block, about; a label with fewer than LEAST rows a block sends its rows to several blocks.
+BLOCK, LEAST = 16_000, 500
+#: The threshold is looked for between approximate quantiles of this accuracy.
+ACCURACY = 10_000
 RIDGE, STEPS = 1e-3, 25
 FEATURES = ("symbols", "repeats", "copied_lines", "capitals", "exclamations", "word_length", "short", "size")
 
@@ -66,7 +72,7 @@ def fold(doc_id: Column | str, folds: int) -> Column:
 
 
 def bradley_terry(x: np.ndarray, good: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Weights of the strength, by Newton steps on pairs of a good and a bad document."""
+    """Weights of the strength, by Newton steps on drawn pairs of a good and a bad document."""
     weights = np.zeros(x.shape[1])
     won, lost = x[good], x[~good]
     if not len(won) or not len(lost):
@@ -92,15 +98,20 @@ def threshold(scores: np.ndarray, share_bad: float) -> float:
     return float((ordered[at - 1] + ordered[at]) / 2)
 
 
+def labelled_rows(x: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
+    """The distinct rows with a label of 0 or 1 for which ``learn`` holds."""
+    wanted = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality").where(learn).distinct()
+    return x.join(wanted, "doc_id").distinct()
+
+
 def fit(x: DataFrame, labels: DataFrame, learn: Column) -> tuple[np.ndarray, float]:
-    """Weights and threshold from the distinct labelled rows for which ``learn`` holds.
+    """Weights and threshold of a sample of the labelled rows; ``fit_all`` starts from the weights.
 
     The rows are counted first, so that only about a sample of them, by a bound of their
     hash, leaves the tasks, however many tasks and rows there are.
     """
-    wanted = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality").where(learn).distinct()
     part = F.pmod(F.xxhash64("doc_id", "x"), F.lit(PARTS))
-    labelled = written(x.join(wanted, "doc_id").distinct().withColumn("part", part), "labelled")
+    labelled = written(labelled_rows(x, labels, learn).withColumn("part", part), "sampled")
     bound = -(-PARTS * (SAMPLE + SAMPLE // 10) // max(1, labelled.count()))
     rows = (
         labelled.where(F.col("part") < bound).orderBy("part", "doc_id", "quality", "x").limit(SAMPLE)
@@ -113,6 +124,100 @@ def fit(x: DataFrame, labels: DataFrame, learn: Column) -> tuple[np.ndarray, flo
     return weights, threshold(matrix @ weights, float(1 - good.mean()))
 
 
+def differences(good: np.ndarray, bad: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Feature differences of pairs of a good and a bad row: PAIRS_PER_ROW times as many as rows, each row in as many at least."""
+    draw, n = np.random.default_rng(seed), PAIRS_PER_ROW * (len(good) + len(bad))
+    won, lost = (np.concatenate([draw.permutation(len(x)) for _ in range(-(-n // len(x)))])[:n] for x in (good, bad))
+    return good[won] - bad[lost]
+
+
+def slopes(difference: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the summed loss of pairs."""
+    p = 1.0 / (1.0 + np.exp(-np.clip(difference @ weights, -30, 30)))
+    return difference.T @ (1.0 - p), (difference * (p * (1.0 - p))[:, None]).T @ difference
+
+
+def in_blocks(labelled: DataFrame, n_good: int, n_bad: int) -> DataFrame:
+    """block, good, bad: the rows of a block, their features one after the other."""
+    blocks = -(-(n_good + n_bad) // BLOCK)
+    copies = [min(blocks, max(1, -(-blocks * LEAST // n))) for n in (n_good, n_bad)]
+    first = F.xxhash64("doc_id", "x")
+    turns = F.sequence(F.lit(0), F.when(F.col("quality") == 1, copies[0]).otherwise(copies[1]) - 1)
+    rows = labelled.select("doc_id", "x", "quality", first.alias("first"), F.explode(turns).alias("turn"))
+    row = F.struct("first", "doc_id", "x")
+    kinds = [F.sort_array(F.collect_list(F.when(F.col("quality") == q, row))).alias(k) for q, k in ((1, "good"), (0, "bad"))]
+    dealt = rows.groupBy(F.pmod(F.pmod(F.col("first"), F.lit(blocks)) + F.col("turn"), F.lit(blocks)).alias("block")).agg(*kinds)
+    return dealt.select("block", *[F.flatten(F.col(f"{k}.x")).alias(k) for k in ("good", "bad")])
+
+
+def newton(blocks: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """Weights of the strength, by Newton steps on the pairs of all blocks; a step brings one row of sums a task to the driver."""
+    size = len(weights)
+    for _ in range(STEPS):
+
+        def sums(batches: Iterator[pa.RecordBatch], weights: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 + size + size * size)
+            for batch in batches:
+                for block, *sides in zip(*batch.columns, strict=True):
+                    good, bad = (np.asarray(side.values).reshape(-1, size) for side in sides)
+                    if len(good) and len(bad):
+                        pairs = differences(good, bad, block.as_py())
+                        gradient, curvature = slopes(pairs, weights)
+                        total += np.concatenate([[len(pairs)], gradient, curvature.ravel()])
+            yield pa.RecordBatch.from_pydict({"total": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+        total = np.sum([r.total for r in sorted(blocks.mapInArrow(sums, "total array<double>").collect())], axis=0)
+        n = total[0]
+        if not n:
+            break
+        gradient = total[1 : 1 + size] / n - RIDGE * weights
+        curvature = total[1 + size :].reshape(size, size) / n + RIDGE * np.eye(size)
+        step = np.linalg.solve(curvature, gradient)
+        weights = weights + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return weights
+
+
+def strength(weights: np.ndarray) -> Column:
+    return sum((F.col("x")[i] * F.lit(float(w)) for i, w in enumerate(weights)), F.lit(0.0))
+
+
+def exact_threshold(scores: DataFrame, n: int, n_bad: int) -> float:
+    """Below it lie ``n_bad`` of the ``n`` scores: halfway between its neighbours in the order of all.
+
+    Only the different scores between two approximate quantiles around it reach the driver.
+    """
+    at = min(max(n_bad, 1), n - 1)
+    around = [min(max(at / n + d, 0.0), 1.0) for d in (-3 / ACCURACY, 3 / ACCURACY)]
+    low, high = scores.agg(F.percentile_approx("score", around, ACCURACY)).first()[0]
+    low = low if around[0] > 0 else -np.inf
+    high = high if around[1] < 1 else np.inf
+    below = scores.where(F.col("score") < F.lit(float(low))).count()
+    near = scores.where(F.col("score").between(F.lit(float(low)), F.lit(float(high)))).groupBy("score").count().collect()
+    near = sorted((r["score"], r["count"]) for r in near)
+    reach = below + np.cumsum([c for _, c in near])
+    left, right = (near[int(np.searchsorted(reach, k))][0] for k in (at, at + 1))
+    return float((left + right) / 2)
+
+
+def fit_all(x: DataFrame, labels: DataFrame, learn: Column) -> tuple[np.ndarray, float]:
+    """Weights and threshold from all distinct labelled rows for which ``learn`` holds.
+
+    The loss has one minimum; a sample only decides from where the steps set out for it.
+    """
+    labelled = written(labelled_rows(x, labels, learn), "labelled")
+    n, n_good = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("quality"), F.lit(0))).first()
+    n_bad = n - int(n_good)
+    if n < 2:
+        return np.zeros(len(FEATURES)), 0.0
+    weights = np.zeros(len(FEATURES))
+    if 0 < n_bad < n:
+        start, _ = fit(labelled.select("doc_id", "x"), labels, learn)
+        weights = newton(written(in_blocks(labelled, n - n_bad, n_bad), "blocks"), start)
+    return weights, exact_threshold(labelled.select(strength(weights).alias("score")), n, n_bad)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
     """doc_id, held_out, score and predicted of every document.
 
@@ -122,10 +227,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out
     scores are 0.5. Other columns are not read.
     """
     x = written(featured(docs), "features")
-    weights, at = fit(x, labels, fold("doc_id", folds) != held_out)
-    strength = sum((F.col("x")[i] * F.lit(float(w)) for i, w in enumerate(weights)), F.lit(-at))
+    weights, at = fit_all(x, labels, fold("doc_id", folds) != held_out)
     scored = x.select(
         "doc_id", F.coalesce(fold("doc_id", folds) == held_out, F.lit(False)).alias("held_out"),
-        (F.lit(1.0) / (F.lit(1.0) + F.exp(-strength))).alias("score"),
+        (F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(at) - strength(weights)))).alias("score"),
     )
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

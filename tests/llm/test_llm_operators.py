@@ -587,6 +587,40 @@ def test_quality_sample_is_bounded(spark, monkeypatch):
     assert sizes[0][0] == 200 and 0.35 < sizes[0][1] < 0.65 and at == 0.5
 
 
+def test_quality_learns_from_all_labelled_rows(spark, monkeypatch):
+    """A sample of 50 rows or of all gives one model; it is that of all pairs of all blocks, and the threshold parts all rows."""
+    rng = np.random.default_rng(3)
+    n, size = 3000, len(quality.FEATURES)
+    good = np.arange(n) % 3 > 0
+    x = rng.random((n, size)) + good[:, None] * np.linspace(0, 0.3, size)
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "doc_id bigint, x array<double>")
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id bigint, quality int")
+    monkeypatch.setattr(quality, "BLOCK", 400)
+    monkeypatch.setattr(quality, "LEAST", 20)
+    found = []
+    for sample in (50, 20_000):
+        monkeypatch.setattr(quality, "SAMPLE", sample)
+        found.append(quality.fit_all(df, labels, F.lit(True)))
+    (weights, at), (again, at_again) = found
+    assert np.allclose(weights, again, atol=1e-6) and abs(at - at_again) < 1e-6
+    assert sum(x @ weights < at) == sum(~good)  # the exact quantile of all scores
+    blocks = quality.in_blocks(quality.labelled_rows(df, labels, F.lit(True)), int(good.sum()), int(sum(~good))).collect()
+    assert len(blocks) == 8 and sum(len(b.good) + len(b.bad) for b in blocks) == n * size
+    # Every row of a block is in its pairs.
+    got = quality.differences(np.arange(1, 8)[:, None] * 1000.0, np.arange(30)[:, None] * 1.0)
+    assert len(got) == 8 * 37 and {round(v / 1000) for v in got[:, 0]} == set(range(1, 8)) and {int(-v % 1000) for v in got[:, 0]} == set(range(30))
+
+
+def test_quality_with_a_rare_label(spark, monkeypatch):
+    """A label of five rows meets all rows of the other, in every block."""
+    monkeypatch.setattr(quality, "BLOCK", 100)
+    monkeypatch.setattr(quality, "LEAST", 5)
+    size = len(quality.FEATURES)
+    rows = spark.range(1000).selectExpr("id AS doc_id", f"array_repeat(double(id), {size}) AS x", "int(id < 5) AS quality")
+    blocks = quality.in_blocks(rows, 5, 995).collect()
+    assert len(blocks) == 10 and sum(len(b.bad) for b in blocks) == 995 * size and {len(b.good) for b in blocks} == {5 * size}
+
+
 def test_quality_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, None), (2, 7), (None, 1)], "doc_id bigint, quality int")
     got = quality.score_documents(odd, labels).collect()
