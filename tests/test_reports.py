@@ -206,6 +206,31 @@ def test_campaign_metadata(spark):
     ]
 
 
+def test_campaigns_meet_pixels_after_all_shuffles(spark, conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false")
+    state = "deleted int, state string"
+    pixel = spark.range(50).selectExpr("int(id) AS id", "'hybrid' AS trigger_type", "0 AS deleted", "'active' AS state")
+    links = spark.range(50).selectExpr("id AS pixel_id", "1 AS campaign_group_id", "2D AS post_view_revenue",
+                                       "4D AS post_click_revenue", "0 AS deleted", "'active' AS state")
+    groups = spark.createDataFrame([(1, "EUR", 0, "active")], f"id int, currency string, {state}")
+    camps = spark.range(20).selectExpr("int(id) AS id", "1 AS campaign_group_id", "0 AS deleted", "'active' AS state")
+    rates = spark.createDataFrame([("EUR", 0.5)], "code string, conversion_rate double")
+    paid = spark.createDataFrame([(3, 7, "advertiser_goal", "pc_cpa", 1.0), (3, 8, "rtb_cpm_payout", "pv_cpa", 2.0)],
+                                 "campaign_id int, pixel_id int, type string, value_type string, value double")
+    goal = spark.createDataFrame([(1, 9, 3.0, None, "active")], "campaign_group_id int, pixel_id int, "
+                                 "post_view_goal_target double, post_click_goal_target double, state string")
+    got = campaign_meta.campaign_pixel_meta(pixel, links, groups, camps, rates, paid, goal)
+    assert rows(got) == sorted(
+        ((1, c, p, kind, revenue, 2.0 if (c, p, kind) == (3, 7, "click") else None,
+          4.0 if (c, p, kind) == (3, 8, "view") else None, 6.0 if (p, kind) == (9, "view") else None)
+         for c in range(20) for p in range(50) for kind, revenue in (("view", 4.0), ("click", 8.0))),
+        key=lambda t: t[:4],
+    )
+    plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    joins, shuffles = ([i for i, line in enumerate(plan) if kind in line] for kind in ("Join", "Exchange"))
+    assert "part" in plan[joins[0]] and joins[0] < shuffles[0] < joins[1]
+
+
 def test_campaigns_by_target(spark):
     camps = spark.createDataFrame([(1, 10, 5), (2, 10, None), (3, 11, 0), (4, None, 6), (5, 10, 6)],
                                   "id int, campaign_group_id int, profile_id int")
