@@ -1,10 +1,12 @@
 """The hourly aggregates on arriving logs.
 
-Impressions, bids and responses are streams of hourly rows. The response window is
-the time range of a stream-stream outer join: an impression waits for responses up
-to ``window_hours`` after its own hour, and no longer than the watermark allows, so
-that its state can be dropped. An hour's groups are given out once, when no row of
-them can change any more; the rows are those of the batch job.
+Impressions, bids and responses are streams of hourly rows. State is kept per auction
+and hour: one row gathers the impressions and counts the bids, and only when its hour
+is complete, and there are both, it goes on. The response window is the time range of
+a stream-stream outer join: such a row waits for responses up to ``window_hours``
+after its own hour, and no longer than the watermark allows, so that its state can be
+dropped. An hour's groups are given out once, when no row of them can change any more;
+the rows are those of the batch job.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from auctionlens.functions.predicates import bid_filter, size_area
 from auctionlens.functions.timeparts import with_partition_parts
-from auctionlens.operators.hourly import JOBS, responses_for
+from auctionlens.operators.hourly import JOBS, HourlyJob, responses_for
 from auctionlens.sources.ledger import HourLedger
 from auctionlens.sources.sinks import overwrite_partitions
 
@@ -45,6 +47,15 @@ def _timed(log: DataFrame, name: str, delay: str) -> DataFrame:
     return log.withColumn(name, hour_start(F.col("dh"))).withWatermark(name, delay)
 
 
+def _gathered_bids(job: HourlyJob) -> list[Column]:
+    """The bids of an auction and hour, as in ``attribution.count_bids``: their number, and each with its bid keys if the job has any."""
+    if job.bid_keys:
+        bids = (F.collect_set if job.bid_once else F.collect_list)("bid")
+        return [bids.alias("bids"), F.size(bids).cast("bigint").alias("n_bids")]
+    n = F.count("bid")
+    return [(F.least(n, F.lit(1).cast("bigint")) if job.bid_once else n).alias("n_bids")]
+
+
 def streamed_aggregate(
     name: str,
     imps: DataFrame,
@@ -62,7 +73,8 @@ def streamed_aggregate(
     wanted = _timed(imps, "at", delay).where(job.imp_filter())
     if "size" in job.keys:
         wanted = wanted.withColumn("size", size_area())
-    wanted = wanted.select("auction_id_64", "dh", "at", *[k for k in job.keys if k not in job.bid_keys])
+    own = [k for k in job.keys if k not in job.bid_keys]
+    wanted = wanted.select("auction_id_64", "at", F.struct("dh", *own).alias("imp"))
     if job.chosen_campaigns:
         if campaigns is None:
             raise ValueError("this job needs the chosen campaigns")
@@ -70,25 +82,32 @@ def streamed_aggregate(
         bought = bought.join(campaigns.select("campaign_id"), "campaign_id", "left_semi")
     else:
         bought = bids.where(bid_filter(job.payments))
-    bought = _timed(bought, "bid_at", delay).select(
-        F.col("auction_id_64").alias("bid_id"), "bid_at", *[k for k in job.bid_keys]
+    bought = _timed(bought, "at", delay).select("auction_id_64", "at", F.struct(F.lit(1), *job.bid_keys).alias("bid"))
+    auctions = (
+        wanted.unionByName(bought, allowMissingColumns=True)
+        .where("auction_id_64 IS NOT NULL AND at IS NOT NULL")
+        .repartition("auction_id_64", "at")  # an auction's rows are gathered once, not by each file first
+        .groupBy("auction_id_64", "at")
+        .agg(F.collect_list("imp").alias("imps"), *_gathered_bids(job))
+        .where((F.size("imps") > 0) & (F.col("n_bids") > 0))
     )
-    if job.bid_once:
-        bought = bought.dropDuplicates(["bid_id", "bid_at"])
     late = _timed(responses_for(job, responses), "response_at", delay).select(
         F.col("auction_id_64").alias("response_id"), "response_at"
     )
     window = F.expr(f"INTERVAL {job.window_hours} HOURS")
     in_time = (F.col("response_at") >= F.col("at")) & (F.col("response_at") <= F.col("at") + window)
-    matched = wanted.join(bought, (F.col("auction_id_64") == F.col("bid_id")) & (F.col("at") == F.col("bid_at"))).join(
-        late, (F.col("auction_id_64") == F.col("response_id")) & in_time, "left"
-    )
-    answered = F.when(F.col("response_id").isNotNull(), F.lit(1).cast("bigint"))
+    matched = auctions.join(late, (F.col("auction_id_64") == F.col("response_id")) & in_time, "left")
+    if job.bid_keys:
+        matched = matched.withColumn("bid", F.explode("bids")).withColumn("n_bids", F.lit(1).cast("bigint"))
+    matched = matched.withColumn("imp", F.explode("imps"))
+    answered = F.when(F.col("response_id").isNotNull(), F.col("n_bids"))
     if job.zero_fill:
         answered = F.coalesce(answered, F.lit(0).cast("bigint"))
+    keys = [F.col(f"{'bid' if k in job.bid_keys else 'imp'}.{k}").alias(k) for k in job.keys]
     return (
-        matched.groupBy(F.window("at", "1 hour"), "dh", *job.keys)
-        .agg(F.count(F.lit(1)).alias("imps"), F.sum(answered).alias(job.measure))
+        matched.select("at", "imp.dh", *keys, "n_bids", answered.alias("answered"))
+        .groupBy(F.window("at", "1 hour"), "dh", *job.keys)
+        .agg(F.sum("n_bids").alias("imps"), F.sum("answered").alias(job.measure))
         .drop("window")
     )
 

@@ -1,11 +1,15 @@
 """Hourly aggregates on streams: the rows of the batch jobs, late rows, restarts."""
 
+from pathlib import Path
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from auctionlens.operators import hourly
+from auctionlens.plans import stored as plans_stored
 from auctionlens.schemas import BIDS, CLICKS, CONVERSIONS, IMPS
+from auctionlens.sources.catalog import Catalog
 from auctionlens.sources.fixtures import fixture_catalog
 from auctionlens.sources.ledger import HourLedger, committed
 from auctionlens.streaming import hourly as stream
@@ -105,6 +109,62 @@ def test_click_windows_and_late_rows(spark, few, tmp_path):
     assert rows(stored(spark, tmp_path, columns_of(want)).select(want.columns)) == rows(want)
 
 
+def repeated():
+    """An auction with 40 impressions, 30 bids and 3 conversions, and rows without an auction or an hour."""
+    hour = "2024-01-01 05"
+    imps = [imp(1, hour, f"{i % 2}.example") for i in range(40)] + [imp(None, hour), imp(2, None), imp(3, hour)]
+    bids = [(1, hour, 0, 8)] * 30 + [(None, hour, 0, 8), (2, None, 0, 8), (4, hour, 0, 8)]
+    return {"imps": imps, "bids": bids, "conversions": [(1, hour, 1)] * 2 + [(1, "2024-01-02 04", 1), (1, "2024-01-02 05", 1), (None, hour, 1)]}
+
+
+def test_state_is_a_row_per_auction_and_hour(spark, few, tmp_path):
+    tables = {n: table(spark, SCHEMAS[n], *values) for n, values in repeated().items()}
+    logs = Logs(spark, tmp_path)
+    logs.add(**tables)
+    logs.end(*tables)
+    result = stream.streamed_aggregate("agg_conversions_seller", *logs.streams(*tables))
+    query = stream.start_hours(result, f"{tmp_path}/out", f"{tmp_path}/ledger", f"{tmp_path}/check", once=True)
+    query.awaitTermination()
+    want = hourly.hourly_aggregate("agg_conversions_seller", *tables.values())
+    got = stored(spark, tmp_path, columns_of(want)).select(want.columns)
+    assert rows(got) == rows(want) and [(r.imps, r.pc_convs) for r in got.collect()] == [(1800, 1800)] * 2
+    # Auctions 1, 3, 4 and the closing one; what is complete and its responses; the two groups.
+    assert sum(op["numRowsUpdated"] for p in query.recentProgress for op in p["stateOperators"]) <= 20
+
+
+def test_hours_arriving_one_by_one(spark, few, tmp_path):
+    """A batch for each hour, then one a day later: responses find auctions of earlier batches."""
+    hours = ["2024-01-01 05", "2024-01-01 06", "2024-01-01 07", "2024-01-03 07", "2024-01-03 08"]
+    logs, every = Logs(spark, tmp_path), {"imps": [], "bids": [], "clicks": []}
+    for n, hour in enumerate(hours):
+        part = {
+            "imps": [imp(10 * n + i, hour, f"{i}.example") for i in range(4)] * 2,
+            "bids": [(10 * n + i, hour, 0, 8) for i in range(3)] + [(10 * n, hour, 0, 9)],
+            # Of the hour itself, of the one before, and of two before, which is out of the window.
+            "clicks": [(10 * (n - back) + back, hour) for back in (0, 1, 2)] * 3 + [(10 * n + 3, hour)],
+        }
+        logs.add(**{name: table(spark, SCHEMAS[name], *values) for name, values in part.items()})
+        every = {name: every[name] + part[name] for name in every}
+    logs.end(*every)
+    result = stream.streamed_aggregate("agg_display_rtb", *logs.streams(*every, files_per_batch=1))
+    run(result, tmp_path)
+    want = hourly.hourly_aggregate("agg_display_rtb", *[table(spark, SCHEMAS[name], *values) for name, values in every.items()])
+    got = stored(spark, tmp_path, columns_of(want)).select(want.columns)
+    assert rows(got) == rows(want) and got.where("clicks > 0").count() == 8
+
+
+def test_state_of_a_stored_day_is_on_disk(spark, few):
+    tables = {n: table(spark, SCHEMAS[n], *values) for n, values in repeated().items()}
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(shared.glob("_stream-*"))
+    got = plans_stored.streamed(Catalog(spark, tables), "agg_conversions_seller", END)
+    assert rows(got) == rows(hourly.hourly_aggregate("agg_conversions_seller", *tables.values()))
+    (folder,) = set(shared.glob("_stream-*")) - before
+    parts = list(folder.glob("checkpoint/state/0/[0-9]*"))
+    assert len(parts) >= spark.sparkContext.defaultParallelism
+    assert list(folder.glob("checkpoint/state/0/*/*.changelog")) and not list(folder.rglob("checkpoint/state/**/*.delta"))
+
+
 def test_restart_from_the_checkpoint(spark, few, tmp_path):
     """The run dies after a batch was written and before it was journaled."""
     logs = Logs(spark, tmp_path)
