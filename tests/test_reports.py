@@ -231,6 +231,37 @@ def test_campaigns_meet_pixels_after_all_shuffles(spark, conf):
     assert "part" in plan[joins[0]] and joins[0] < shuffles[0] < joins[1]
 
 
+def test_the_product_of_a_large_group_is_stored_small(spark, conf, tmp_path):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    state = ("0 AS deleted", "'active' AS state")
+    pixel = spark.range(24).selectExpr("int(id) AS id", "'view' AS trigger_type", *state)
+    links = spark.range(24).selectExpr("int(id) AS pixel_id", "1 AS campaign_group_id", "2D AS post_view_revenue",
+                                       "4D AS post_click_revenue", *state)
+    groups = spark.range(1).selectExpr("1 AS id", "'EUR' AS currency", *state)
+    # 20,003 campaigns; one is there twice, one has no id, one no group.
+    camps = spark.range(20_003).selectExpr("int(nullif(id * 7, 21)) AS id", "1 AS campaign_group_id", *state).union(
+        spark.sql("SELECT 7, 1, 0, 'active' UNION ALL SELECT 1, CAST(NULL AS INT), 0, 'active'")
+    )
+    rates = spark.createDataFrame([("EUR", 0.5)], "code string, conversion_rate double")
+    paid = spark.createDataFrame([(7, 5, "advertiser_goal", "pv_cpa", 1.0), (7, 5, "rtb_cpm_payout", "pv_cpa", 2.0)],
+                                 "campaign_id int, pixel_id int, type string, value_type string, value double")
+    goal = spark.createDataFrame([(1, 9, 3.0, None, "active")], "campaign_group_id int, pixel_id int, "
+                                 "post_view_goal_target double, post_click_goal_target double, state string")
+    campaign_meta.campaign_pixel_meta(pixel, links, groups, camps, rates, paid, goal).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 20_004 * 24
+    assert rows(got.groupBy("campaign_id").count().where("count <> 24")) == [(7, 48)]
+    assert rows(got.where("campaign_id IS NULL AND pixel_id < 2").drop("campaign_id")) == [
+        (1, p, "view", 4.0, None, None, None) for p in range(2)
+    ]
+    assert rows(got.where("adv_goal IS NOT NULL OR rtb_cpm_payout IS NOT NULL")) == 2 * [
+        (1, 7, 5, "view", 4.0, 2.0, 4.0, None)
+    ]
+    assert got.where("goal_target = 6 AND pixel_id = 9").count() == got.where("goal_target IS NOT NULL").count() == 20_004
+    stored = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert stored < 20_004 * 24  # an id of four bytes alone would be four times that
+
+
 def test_campaigns_by_target(spark):
     camps = spark.createDataFrame([(1, 10, 5), (2, 10, None), (3, 11, 0), (4, None, 6), (5, 10, 6)],
                                   "id int, campaign_group_id int, profile_id int")
